@@ -3,15 +3,15 @@
 Texts fall into words, each a pre-token with the vocabulary's word mark before it. The
 best segmentation of a pre-token maximises the summed piece scores (ties: fewer tokens).
 Distinct pre-tokens of a block of rows are inserted in a trie; the forward score and token
-count of a prefix are computed once, when its node is made; a pre-token's count is stored
-at its terminal node and later looked up.
+count of a shared prefix are computed once, when its node is made; a pre-token's count is
+stored at its terminal and looked up for every later occurrence.
 
 The public vocabulary file carries ranks, not probabilities: a piece's score is that of a
 Zipf-Mandelbrot law at its rank, in millionths of a nat, so that sums are exact. Characters
 without a piece fall back to their UTF-8 bytes, each scored below every piece.
 
-Scale: no shuffle; memory is bounded by ``TRIE_NODES`` per worker, after which the trie is
-begun anew (counts don't depend on that). Whole texts are counted.
+Scale: no shuffle; a worker remembers the counts of ``KNOWN_WORDS`` pre-tokens at most and
+then begins anew (results don't depend on that). Whole texts are counted.
 
 Defined results: null and empty texts have no tokens. Repeated rows repeat; extra columns
 pass through.
@@ -20,7 +20,8 @@ pass through.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import os
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,8 @@ from pyspark.sql.functions import pandas_udf
 from tickforge.llm.common import small_batches
 
 MARK = "▁"
-TRIE_NODES = 300_000
+#: Words whose counts a worker remembers.
+KNOWN_WORDS = 400_000
 SHIFT = 2.7
 
 
@@ -53,68 +55,56 @@ def vocabulary(path: str) -> tuple[dict[str, int], int]:
 
 
 class Trie:
-    """Pre-tokens with the forward score of every prefix.
+    """Token counts of pre-tokens, by forward scores over a trie of those still unknown.
 
-    Nodes are numbered; ``child`` leads from (node, character) to a node. Per node stand the
-    best score of its prefix and the number of tokens of that segmentation.
+    A block's new pre-tokens are inserted in sorted order, which walks their trie depth
+    first: ``score`` and ``count`` stand for the nodes on the path from the root to the
+    current one, and only nodes beyond the prefix shared with the one before are made.
     """
 
-    def __init__(self, pieces: dict[str, int], byte: int, most: int = TRIE_NODES):
-        self.pieces, self.byte, self.most = pieces, byte, most
-        self.longest = max(map(len, pieces))
-        self.tails = {p[k:] for p in pieces for k in range(len(p))}
-        self.clear()
-
-    def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
-        self.score, self.count = [0], [0]
+    def __init__(self, pieces: dict[str, int], byte: int, most: int = KNOWN_WORDS):
+        self.byte, self.most = byte, most
+        #: every ending of a piece, with the piece's score if it is one itself
+        self.endings: dict[str, int | None] = {p[k:]: None for p in pieces for k in range(1, len(p))} | pieces
         self.terminal: dict[str, int] = {}
 
-    def insert(self, word: str) -> int:
-        """The token count of ``word``, stored at its terminal."""
-        node, path, child = 0, [0], self.child
-        token = MARK + word
-        for i, c in enumerate(token):
-            step = (node, c)
-            following = child.get(step)
-            if following is None:
-                following = child[step] = self._new(token, i + 1, path)
-            node = following
-            path.append(node)
-        self.terminal[word] = out = self.count[node]
-        return out
-
-    def _new(self, token: str, end: int, path: list[int]) -> int:
-        """A node for token[:end], whose shorter prefixes are the nodes of ``path``."""
-        score, count, pieces, tails = self.score, self.count, self.pieces, self.tails
-        c = token[end - 1]
-        size = len(c.encode("utf-8", "surrogatepass"))
-        best, tokens = score[path[end - 1]] + size * self.byte, count[path[end - 1]] + size
-        for k in range(1, min(self.longest, end) + 1):
-            tail = token[end - k : end]
-            if tail not in tails:
-                break
-            s = pieces.get(tail)
-            if s is not None:
-                s += score[path[end - k]]
-                n = count[path[end - k]] + 1
-                if s > best or s == best and n < tokens:
-                    best, tokens = s, n
-        score.append(best)
-        count.append(tokens)
-        return len(score) - 1
-
-    def total(self, text: str) -> tuple[int, int]:
-        """(tokens, words) of a text."""
-        words = text_words(text)
-        known = self.terminal
-        for w in set(words) - known.keys():
-            if len(self.score) > self.most:
-                self.clear()
-                known = self.terminal
-                return sum(self.insert(x) if x not in self.terminal else self.terminal[x] for x in words), len(words)
-            self.insert(w)
-        return sum(map(known.__getitem__, words)), len(words)
+    def insert(self, words: Iterable[str]) -> None:
+        """Stores the token counts of words at their terminals."""
+        endings, byte, terminal, absent = self.endings, self.byte, self.terminal, -1
+        score, count, before = [0], [0], ""
+        for word in sorted(words):
+            token = MARK + word
+            shared = len(os.path.commonprefix((before, token)))
+            del score[shared + 1 :], count[shared + 1 :]
+            for end in range(shared + 1, len(token) + 1):
+                start = end - 1
+                c = token[start]
+                size = 1 if c < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+                best, tokens = score[start] + size * byte, count[start] + size
+                while start >= 0:
+                    s = endings.get(token[start:end], absent)
+                    if s is not None:
+                        if s == absent:
+                            break
+                        s += score[start]
+                        if s > best or s == best and count[start] < tokens:
+                            best, tokens = s, count[start] + 1
+                    start -= 1
+                score.append(best)
+                count.append(tokens)
+            terminal[word] = count[-1]
+            before = token
+
+    def totals(self, texts: Iterable[str | None]) -> list[tuple[int, int]]:
+        """(tokens, words) of each text of a block."""
+        split = [text_words(x) if x else [] for x in texts]
+        unknown = set().union(*split) - self.terminal.keys()
+        if len(self.terminal) + len(unknown) > self.most:
+            self.terminal = {}
+            unknown = set().union(*split)
+        self.insert(unknown)
+        known = self.terminal.__getitem__
+        return [(sum(map(known, words)), len(words)) for words in split]
 
 
 def text_words(text: str) -> list[str]:
@@ -142,12 +132,12 @@ def counts(text: Column, path: str | None = None) -> Column:
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         trie = trie_of(path)
         for texts in batches:
-            yield pd.DataFrame([trie.total(x) if x else (0, 0) for x in texts], columns=["n_tokens", "n_words"])
+            yield pd.DataFrame(trie.totals(texts), columns=["n_tokens", "n_words"])
 
     return counted(text)
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens and n_words."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 512)
     return docs.select("doc_id", counts(docs["text"], path).alias("_c")).select("doc_id", F.col("_c.n_tokens").alias("n_tokens"), F.col("_c.n_words").alias("n_words"))
