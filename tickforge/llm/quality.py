@@ -100,7 +100,8 @@ def _statistics(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def statistics(text: Column) -> Column:
     """A struct of the base statistics of whole texts."""
-    return pandas_udf(_statistics, STATS)(text)
+    # not to be copied below a filter on its result, which would read each text twice
+    return pandas_udf(_statistics, STATS).asNondeterministic()(text)
 
 
 def features(s: str) -> list[Column]:
