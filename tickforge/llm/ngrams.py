@@ -39,14 +39,17 @@ from tickforge.llm.common import shared_path, small_batches, written
 END = b"\n"
 FOLDS, HELD_OUT = 7, 2
 #: Distinct words a task holds before it sends them, and words a worker remembers.
-WORDS = 500_000
+WORDS = 400_000
 #: Tokens whose bigrams a task holds before it sends them.
 TOKENS = 1 << 20
 LEAST_SHARDS = 64
 SHARD_TOKENS = 4_000_000
 RANGE = 500_000
 UNKNOWN = np.uint32(0xFFFFFFFF)
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: An odd factor and its inverse modulo 2^64: they spread bigrams over the numbers, and back.
+_MIX = 0x9E3779B97F4A7C15
+_BACK = np.uint64(pow(_MIX, -1, 1 << 64))
+_MIX = np.uint64(_MIX)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -187,34 +190,42 @@ class Words:
 # --- bigrams
 
 
-def bigram_shard(keys: np.ndarray, n: int) -> np.ndarray:
+def _pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hashes of bigrams: both numbers side by side, multiplied (one to one)."""
     with np.errstate(over="ignore"):
-        return (((keys * _MIX) >> np.uint64(40)) % np.uint64(n)).astype(np.int64)
+        return ((before.astype(np.uint64) << np.uint64(32)) | after) * _MIX
+
+
+def _cuts(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of sorted hashes: shards are equal ranges of hashes."""
+    shard = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    starts = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
+    for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
+        yield int(shard[a]), int(a), int(b)
 
 
 def _send_bigrams(held: list[np.ndarray], n: int) -> Iterator[pd.DataFrame]:
     keys, counts = np.unique(np.concatenate(held), return_counts=True)
-    shard = bigram_shard(keys, n)
-    order = np.argsort(shard, kind="stable")
-    keys, counts, shard = keys[order], counts[order].astype(np.uint32), shard[order]
-    starts = np.flatnonzero(np.diff(shard, prepend=-1))
-    rows = [(int(shard[a]), packed(keys[a:b]), counts[a:b].tobytes()) for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
+    counts = counts.astype(np.uint32)
+    rows = [(k, packed(keys[a:b]), counts[a:b].tobytes()) for k, a, b in _cuts(keys, n)]
     yield pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
 
-def _batch(words: Words, texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts all tokens' numbers, the numbers before them, and where texts start."""
+def _batch(texts: pd.Series) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of some texts the distinct words, the end first, all tokens as places in that list, and where texts start."""
     tokens: list[bytes] = []
     starts = []
     for text in texts:
         starts.append(len(tokens))
         tokens += words_of(text)
-    numbers = words.numbers([END, *tokens])
-    return numbers[1:], numbers[:-1], np.array(starts, np.int64)
+    distinct = [END, *(set(tokens) - {END})]
+    place = dict(zip(distinct, range(len(distinct)), strict=True))
+    return distinct, np.fromiter(map(place.__getitem__, tokens), np.int64, len(tokens)), np.array(starts, np.int64)
 
 
-def _pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return (before.astype(np.uint64) << np.uint64(32)) | after
+def _before(places: np.ndarray) -> np.ndarray:
+    """What stands before each token: the end before the first."""
+    return np.concatenate([[0], places[:-1]])
 
 
 def _pieces(texts: pd.Series) -> Iterator[pd.Series]:
@@ -232,9 +243,10 @@ def _count_bigrams(words: Words, n: int):
         size = 0
         for part in batches:
             for texts in _pieces(part["text"]):
-                after, before, _ = _batch(words, texts)
-                held.append(_pairs(before, after))
-                size += len(after)
+                distinct, places, _ = _batch(texts)
+                numbers = words.numbers(distinct)
+                held.append(_pairs(numbers[_before(places)], numbers[places]))
+                size += len(places)
                 if size >= TOKENS:
                     yield from _send_bigrams(held, n)
                     held, size = [], 0
@@ -262,11 +274,16 @@ def _store_bigrams(folder: str):
         store.put(folder, f"bigram-counts-{key[0]}", np.minimum(counts, 255).astype(np.uint8))
         large = np.flatnonzero(counts >= 255)
         store.put(folder, f"bigram-large-{key[0]}", np.stack([keys[large], counts[large]]))
-        context = (keys >> np.uint64(32)).astype(np.int64)
+        counts = counts.astype(np.uint64)
+        with np.errstate(over="ignore"):
+            plain = keys * _BACK
+        order = np.argsort(plain)
+        plain, counts = plain[order], counts[order]
+        context = (plain >> np.uint64(32)).astype(np.int64)
         parts = np.stack([counts, counts == 1, counts == 2, counts > 2], 1).astype(np.uint64)
         first = np.flatnonzero(np.diff(context, prepend=-1))
         sums = np.add.reduceat(parts, first, axis=0)
-        word, times = np.unique((keys & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
+        word, times = np.unique((plain & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
         rows = _ranges(0, context[first], sums) + _ranges(1, word, times[:, None])
         rows.append((-1, key[0], np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)], np.int64).tobytes(), b""))
         return pd.DataFrame(rows, columns=["kind", "cut", "numbers", "sums"])
@@ -315,6 +332,7 @@ class Model:
     lower: tuple[float, float, float]
     rest: float  # weight of the uniform distribution in P(w)
     pairs: int  # distinct bigrams
+    present: frozenset = frozenset()  # shards that hold any
     maps: dict = field(default_factory=dict)
 
     def _get(self, name: str, kind: type) -> np.ndarray:
@@ -333,22 +351,18 @@ class Model:
         return outs
 
     def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of distinct sorted bigrams."""
+        """Counts of distinct sorted bigram hashes."""
         out = np.zeros(len(keys), np.float64)
-        shard = bigram_shard(keys, self.shards)
-        order = np.argsort(shard, kind="stable")
-        ordered = shard[order]
-        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-            k, at = int(ordered[a]), order[a:b]
-            known = self._get(f"bigrams-{k}", np.uint64)
-            place = np.minimum(np.searchsorted(known, keys[at]), len(known) - 1)
-            hit = known[place] == keys[at]
-            counts = np.where(hit, self._get(f"bigram-counts-{k}", np.uint8)[place], 0).astype(np.float64)
+        for k, a, b in _cuts(keys, self.shards):
+            if k not in self.present:
+                continue
+            known, at = self._get(f"bigrams-{k}", np.uint64), keys[a:b]
+            place = np.minimum(np.searchsorted(known, at), len(known) - 1)
+            counts = np.where(known[place] == at, self._get(f"bigram-counts-{k}", np.uint8)[place], 0).astype(np.float64)
             if (large := np.flatnonzero(counts == 255)).size:
                 table, values = self._get(f"bigram-large-{k}", np.uint64).reshape(2, -1)
-                counts[large] = values[np.searchsorted(table, keys[at][large])]
-            out[at] = counts
+                counts[large] = values[np.searchsorted(table, at[large])]
+            out[a:b] = counts
         return out
 
     @staticmethod
@@ -358,28 +372,27 @@ class Model:
 
     def scores(self, texts: pd.Series) -> np.ndarray:
         """Per text: n_tokens, n_known, base score, score."""
-        after, before, starts = _batch(self.words, texts)
+        distinct, places, starts = _batch(texts)
+        before = _before(places)
         vocabulary = self.words.total
-        number, index = np.unique(after, return_inverse=True)
-        known = number != UNKNOWN
-        seen, cont = np.zeros(len(number)), np.zeros(len(number))
-        seen[known] = self.words.counts(number[known])
-        (cont[known],) = self.by_number(number[known], ("continuations", np.uint64))
+        numbers = self.words.numbers(distinct)
+        # arrays are read in order of number
+        order = np.argsort(numbers)
+        there = order[: np.searchsorted(numbers[order], UNKNOWN)]
+        seen, cont, total, gamma = (np.zeros(len(distinct)) for _ in range(4))
+        seen[there] = self.words.counts(numbers[there])
+        cont[there], total[there], gamma[there] = self.by_number(
+            numbers[there], ("continuations", np.uint64), ("context-sums", np.uint64), ("context-gammas", np.float32)
+        )
+        gamma = np.where(total > 0, gamma, 1.0)
         base = np.log10((seen + 1) / (self.tokens + vocabulary + 1))
         lower = self.rest / (vocabulary + 1) + self._less(cont, self.lower) / max(self.pairs, 1)
-        context, at = np.unique(before, return_inverse=True)
-        there = context != UNKNOWN
-        total, gamma = np.zeros(len(context)), np.ones(len(context))
-        total[there], gamma[there] = self.by_number(context[there], ("context-sums", np.uint64), ("context-gammas", np.float32))
-        keys, place = np.unique(_pairs(before, after), return_inverse=True)
-        asked = ((keys >> np.uint64(32)) != UNKNOWN) & ((keys & np.uint64(0xFFFFFFFF)) != UNKNOWN)
-        counts = np.zeros(len(keys))
-        counts[asked] = self.bigram_counts(keys[asked])
-        seen_before = total[at]
-        high = np.divide(self._less(counts, self.d)[place], seen_before, out=np.zeros(len(after)), where=seen_before > 0)
-        p = high + np.where(seen_before > 0, gamma[at], 1.0) * lower[index]
-        ends = np.append(starts[1:], len(after))
-        return np.stack([ends - starts, np.add.reduceat((seen > 0)[index].astype(np.int64), starts), np.add.reduceat(base[index], starts), np.add.reduceat(np.log10(p), starts)], 1)
+        keys, index = np.unique(_pairs(numbers[before], numbers[places]), return_inverse=True)
+        # pairs with an unknown word aren't in the arrays
+        high = np.divide(self._less(self.bigram_counts(keys), self.d)[index], total[before], out=np.zeros(len(places)), where=total[before] > 0)
+        p = high + gamma[before] * lower[places]
+        ends = np.append(starts[1:], len(places))
+        return np.stack([ends - starts, np.add.reduceat((seen > 0)[places].astype(np.int64), starts), np.add.reduceat(base[places], starts), np.add.reduceat(np.log10(p), starts)], 1)
 
 
 def train(texts: DataFrame) -> Model:
@@ -404,13 +417,14 @@ def train(texts: DataFrame) -> Model:
     n = max(LEAST_SHARDS, -(-tokens // SHARD_TOKENS))
     sent = texts.mapInPandas(_count_bigrams(words, n), "shard long, keys binary, counts binary")
     sums = written(sent.groupBy("shard").applyInPandas(_store_bigrams(folder), SUMS), "ngram-sums")
-    counted = sum(np.frombuffer(r[0], np.int64) for r in sums.filter("kind = -1").select("numbers").collect())
+    per_shard = sums.filter("kind = -1").select("cut", "numbers").collect()
+    counted = sum(np.frombuffer(r["numbers"], np.int64) for r in per_shard)
     d = discounts(counted)
     ranges = sums.filter("kind >= 0").groupBy("cut").applyInPandas(_store_ranges(folder, d, total), "n1 long, n2 long, n3 long, n4 long, some long, total long")
     lower = np.array([tuple(r) for r in ranges.collect()], np.int64).sum(0)
     d1, d2, d3 = discounts(lower)
     rest = (d1 * lower[0] + d2 * lower[1] + d3 * (lower[4] - lower[0] - lower[1])) / lower[5]
-    return Model(words, tokens, n, d, (d1, d2, d3), float(rest), int(counted[4]))
+    return Model(words, tokens, n, d, (d1, d2, d3), float(rest), int(counted[4]), frozenset(r["cut"] for r in per_shard))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
