@@ -91,15 +91,20 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return (keys[first], *[np.add.reduceat(v[order], first) for v in values])
 
 
+def _runs(values: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of runs of equal values, none of which is below 0."""
+    starts = np.flatnonzero(np.diff(values.astype(np.int64), prepend=-1))
+    return list(zip(starts.tolist(), np.append(starts[1:], len(values))[: len(starts)].tolist(), strict=True))
+
+
 # --- words
 
 
 def _send_words(held: Counter, shift: int) -> Iterator[pd.DataFrame]:
     hashes = np.fromiter(map(word_hash, held), np.uint64, len(held))
     keys, counts = summed(hashes, np.fromiter(held.values(), np.uint64, len(held)))
-    bounds = np.flatnonzero(np.diff(keys >> np.uint64(shift), prepend=~(keys[:1] >> np.uint64(shift))))
-    ends = np.append(bounds[1:], len(keys))
-    rows = [(int(keys[a] >> np.uint64(shift)), packed(keys[a:b]), counts[a:b].tobytes()) for a, b in zip(bounds, ends, strict=True)]
+    shard = keys >> np.uint64(shift)
+    rows = [(int(shard[a]), packed(keys[a:b]), counts[a:b].tobytes()) for a, b in _runs(shard)]
     yield pd.DataFrame(rows, columns=["shard", "keys", "counts"])
 
 
@@ -165,8 +170,7 @@ class Words:
             order = np.argsort(hashes)
             sorted_hashes = hashes[order]
             shards = (sorted_hashes >> np.uint64(self.shift)).astype(np.int64)
-            starts = np.flatnonzero(np.diff(shards, prepend=-1))
-            for a, b in zip(starts, np.append(starts[1:], len(shards)), strict=True):
+            for a, b in _runs(shards):
                 if (k := int(shards[a])) not in self.first:
                     continue
                 keys, _ = self.shard(k)
@@ -199,9 +203,8 @@ def _pairs(before: np.ndarray, after: np.ndarray) -> np.ndarray:
 def _cuts(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
     """(shard, from, to) of sorted hashes: shards are equal ranges of hashes."""
     shard = ((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-    starts = np.flatnonzero(np.diff(shard.astype(np.int64), prepend=-1))
-    for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True):
-        yield int(shard[a]), int(a), int(b)
+    for a, b in _runs(shard):
+        yield int(shard[a]), a, b
 
 
 def _send_bigrams(held: list[np.ndarray], n: int) -> Iterator[pd.DataFrame]:
@@ -259,8 +262,7 @@ def _count_bigrams(words: Words, n: int):
 def _ranges(kind: int, numbers: np.ndarray, values: np.ndarray) -> list[tuple]:
     """Sums by number as rows of packed arrays, one per range of numbers."""
     cut = numbers // RANGE
-    starts = np.flatnonzero(np.diff(cut, prepend=-1))
-    return [(kind, int(cut[a]), numbers[a:b].astype(np.uint32).tobytes(), values[a:b].astype(np.uint32).tobytes()) for a, b in zip(starts, np.append(starts[1:], len(numbers)), strict=True)]
+    return [(kind, int(cut[a]), numbers[a:b].astype(np.uint32).tobytes(), values[a:b].tobytes()) for a, b in _runs(cut)]
 
 
 #: kind 0: per context the sum and numbers of counts 1, 2, 3+; kind 1: per word the contexts before it; kind -1: counts of counts
@@ -284,7 +286,7 @@ def _store_bigrams(folder: str):
         first = np.flatnonzero(np.diff(context, prepend=-1))
         sums = np.add.reduceat(parts, first, axis=0)
         word, times = np.unique((plain & np.uint64(0xFFFFFFFF)).astype(np.int64), return_counts=True)
-        rows = _ranges(0, context[first], sums) + _ranges(1, word, times[:, None])
+        rows = _ranges(0, context[first], sums) + _ranges(1, word, times.astype(np.uint64))
         rows.append((-1, key[0], np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)], np.int64).tobytes(), b""))
         return pd.DataFrame(rows, columns=["kind", "cut", "numbers", "sums"])
 
@@ -310,9 +312,9 @@ def _store_ranges(folder: str, d: tuple[float, float, float], total: int):
         for kind, numbers, values in zip(part["kind"], part["numbers"], part["sums"], strict=True):
             at = np.frombuffer(numbers, np.uint32).astype(np.int64) - low  # distinct within a row
             if kind == 0:
-                sums[at] += np.frombuffer(values, np.uint32).reshape(-1, 4)
+                sums[at] += np.frombuffer(values, np.uint64).reshape(-1, 4)
             else:
-                before[at] += np.frombuffer(values, np.uint32)
+                before[at] += np.frombuffer(values, np.uint64)
         with np.errstate(invalid="ignore", divide="ignore"):
             gamma = (sums[:, 1:] @ np.array(d)) / sums[:, 0]
         store.put(folder, f"context-sums-{key[0]}", sums[:, 0].copy())
@@ -344,8 +346,7 @@ class Model:
         """Values of arrays by number, for distinct sorted numbers."""
         outs = [np.zeros(len(numbers), np.float64) for _ in arrays]
         cut = numbers // RANGE
-        starts = np.flatnonzero(np.diff(cut.astype(np.int64), prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(numbers)), strict=True):
+        for a, b in _runs(cut):
             for out, (name, kind) in zip(outs, arrays, strict=True):
                 out[a:b] = self._get(f"{name}-{int(cut[a])}", kind)[numbers[a:b] - cut[a] * np.uint32(RANGE)]
         return outs

@@ -12,7 +12,7 @@ size. Per shard at most k rows a query return, and the last step keeps k of them
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows
 without vec_id, take no part. Rows with a query's own vec_id are the query's own, so that a
 repeated row is no candidate for itself; rows of other ids count as often as they occur.
-Vectors of different lengths aren't compared. Extra columns are not looked at.
+Vectors of different lengths aren't compared. A score that 64 bits can't hold is an error. Extra columns are not looked at.
 """
 
 from __future__ import annotations
