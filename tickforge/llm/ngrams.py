@@ -41,10 +41,11 @@ FOLDS, HELD_OUT = 7, 2
 #: Distinct words a task holds before it sends them, and words a worker remembers.
 WORDS = 250_000
 #: Tokens whose bigrams a task holds before it sends them.
-TOKENS = 1 << 19
-LEAST_SHARDS = 128
-SHARD_TOKENS = 2_000_000
-RANGE = 500_000
+TOKENS = 1 << 20
+LEAST_SHARDS = 64
+SHARD_TOKENS = 4_000_000
+#: Word numbers whose context sums one task gathers: from every shard it gets a row.
+RANGE = 50_000
 UNKNOWN = np.uint32(0xFFFFFFFF)
 #: An odd factor and its inverse modulo 2^64: they spread bigrams over the numbers, and back.
 _MIX = 0x9E3779B97F4A7C15
