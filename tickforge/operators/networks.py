@@ -1,13 +1,15 @@
-"""Forward passes of the generators in NumPy: recurrent cells, the adversarial generator and the variational decoder.
+"""The generators in NumPy: recurrent cells, the adversarial and the variational model, and the convolutional denoiser.
 
-No tensor library is at hand, so that weights come from elsewhere (or from ``init``) and
-training of networks isn't offered. Sampling runs in Arrow batches on the executors, weights
-travelling with the task: they are of fixed size.
+Forward passes take arrays or ``gradients.Tensor`` weights, so that ``fitting`` trains them as
+they stand. Sampling runs in Arrow batches on the executors, weights travelling with the
+task: they are of fixed size. ``parameters`` names a model's weights; ``with_parameters``
+gives a model of other ones.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import copy
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -58,18 +60,18 @@ class Recurrent:
             w, u, b, c = (self.weights[f"{name}{k}"] for name in ("in", "rec", "in_bias", "rec_bias"))
             given = x @ w.T + b
             state = np.zeros((len(x), h)) if start is None else start
-            cell, out = np.zeros((len(x), h)), np.empty((*x.shape[:2], h))
+            cell, out = np.zeros((len(x), h)), []
             for t in range(x.shape[1]):
                 a, r = given[:, t], state @ u.T + c
                 if self.kind == "gru":
                     reset, keep = sigmoid(a[:, :h] + r[:, :h]), sigmoid(a[:, h : 2 * h] + r[:, h : 2 * h])
                     state = (1 - keep) * np.tanh(a[:, 2 * h :] + reset * r[:, 2 * h :]) + keep * state
                 else:
-                    i, f, g, o = np.split(a + r, 4, axis=1)
+                    i, f, g, o = ((a + r)[:, k * h : (k + 1) * h] for k in range(4))
                     cell = sigmoid(f) * cell + sigmoid(i) * np.tanh(g)
                     state = sigmoid(o) * np.tanh(cell)
-                out[:, t] = state
-            x = out
+                out.append(state)
+            x = np.stack(out, 1)
         return x
 
     def __call__(self, x: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
@@ -77,10 +79,33 @@ class Recurrent:
         return sigmoid(y) if self.squash else y
 
 
+class Parametrised:
+    """A model whose parts hold weights by name; a weight's full name is ``part.weight``."""
+
+    parts: tuple[str, ...] = ()
+
+    def _held(self, part: str) -> Weights:
+        found = getattr(self, part)
+        return found.weights if isinstance(found, Recurrent) else found
+
+    def parameters(self) -> Weights:
+        return {f"{p}.{k}": v for p in self.parts for k, v in self._held(p).items()}
+
+    def with_parameters(self, weights: Weights):
+        out = copy.copy(self)
+        for p in self.parts:
+            mine = {k: weights[f"{p}.{k}"] for k in self._held(p)}
+            found = getattr(self, p)
+            setattr(out, p, replace(found, weights=mine) if isinstance(found, Recurrent) else mine)
+        return out
+
+
 @dataclass
-class AdversarialModel:
+class AdversarialModel(Parametrised):
     """Embedder, recovery, generator, supervisor and discriminator over a shared latent space."""
 
+    parts = ("embedder", "recovery", "generator", "supervisor", "discriminator")
+
     features: int
     hidden: int = 24
     noise: int = 8
@@ -112,9 +137,11 @@ class AdversarialModel:
 
 
 @dataclass
-class VariationalModel:
+class VariationalModel(Parametrised):
     """Encoder to mean and log variance; decoder from a latent repeated over time."""
 
+    parts = ("encoder", "decoder", "first")
+
     features: int
     hidden: int = 32
     latent: int = 8
@@ -132,7 +159,7 @@ class VariationalModel:
 
     def decode(self, z: np.ndarray, length: int) -> np.ndarray:
         start = np.tanh(z @ self.first["w"].T + self.first["b"])
-        return self.decoder(np.repeat(z[:, None, :], length, 1), start)
+        return self.decoder(z[:, None, :] + np.zeros((1, length, 1)), start)
 
     def generate(self, spark: SparkSession, count: int, length: int, temperature: float = 1.0, copula: GaussianCopula | None = None, seed: int = 42) -> DataFrame:
         """Latents from the prior, or from a fitted copula."""
@@ -140,3 +167,91 @@ class VariationalModel:
             raise RuntimeError("fit the copula first")
         draw = (lambda rng, n: rng.standard_normal((n, self.latent)) * temperature) if copula is None else copula.latents
         return generate(spark, count, lambda rng, n: self.decode(draw(rng, n), length), seed)
+
+
+def silu(x: np.ndarray) -> np.ndarray:
+    return x * sigmoid(x)
+
+
+def time_embedding(t: np.ndarray, dim: int) -> np.ndarray:
+    """Sines and cosines of steps at geometric frequencies, (n, dim)."""
+    half = dim // 2
+    angle = np.asarray(t, np.float64)[:, None] * np.exp(-np.log(10000.0) * np.arange(half) / max(half - 1, 1))
+    return np.concatenate([np.sin(angle), np.cos(angle)], 1)
+
+
+@dataclass
+class Denoiser(Parametrised):
+    """A U-net over time without down-sampling: residual blocks widen up to the middle level and narrow again.
+
+    The state before each widening is kept and joined to the input of the mirrored level: one
+    skip a level. Channels stand last. ``denoiser(x, t)`` predicts the noise in x.
+    """
+
+    features: int = 8
+    widths: tuple[int, ...] = (64, 128, 256, 128, 64)
+    embedding: int = 128
+    blocks: int = 2
+    groups: int = 8
+    seed: int = 3
+
+    parts = ("net",)
+
+    def __post_init__(self) -> None:
+        middle = len(self.widths) // 2
+        self.plan: list[tuple[str, int, int, bool]] = []  # name, channels in and out, joins a skip
+        self.keeps: set[str] = set()  # blocks after which a skip is kept
+        at, skips = self.widths[0], [self.widths[0]]
+        for level, width in enumerate(self.widths):
+            for k in range(self.blocks):
+                joins = level > middle and k == 0
+                self.plan.append((f"b{level}_{k}", at + (skips.pop() if joins else 0), width, joins))
+                at = width
+            if level < middle:
+                skips.append(at)
+                self.keeps.add(self.plan[-1][0])
+        shapes: dict[str, tuple[int, ...]] = {"into": (self.widths[0], self.features), "out": (self.features, at)}
+        plain = {"into_bias": self.widths[0], "out_bias": self.features, "norm_bias": at}
+        scales = {"norm": at}
+        for name, a, b, _ in self.plan:
+            shapes |= {f"{name}.one": (b, 3 * a), f"{name}.two": (b, 3 * b), f"{name}.time": (b, self.embedding)}
+            plain |= {f"{name}.{k}_bias": b for k in ("one", "two", "time")} | {f"{name}.n1_bias": a, f"{name}.n2_bias": b}
+            scales |= {f"{name}.n1": a, f"{name}.n2": b}
+            if a != b:
+                shapes[f"{name}.skip"] = (b, a)
+                plain[f"{name}.skip_bias"] = b
+        self.net = init(np.random.default_rng(self.seed), shapes)
+        self.net |= {k: np.zeros(n) for k, n in plain.items()} | {k: np.ones(n) for k, n in scales.items()}
+
+    def _linear(self, x: np.ndarray, name: str) -> np.ndarray:
+        return x @ self.net[name].T + self.net[name + "_bias"]
+
+    def _wide(self, x: np.ndarray, name: str) -> np.ndarray:
+        """A convolution over three steps: each step beside its neighbours, and one product."""
+        edge = np.zeros((x.shape[0], 1, x.shape[2]))
+        return self._linear(np.concatenate([np.concatenate([edge, x[:, :-1]], 1), x, np.concatenate([x[:, 1:], edge], 1)], 2), name)
+
+    def _normed(self, x: np.ndarray, name: str) -> np.ndarray:
+        n, length, channels = x.shape
+        groups = min(self.groups, channels)
+        if channels % groups:
+            raise ValueError(f"{channels} channels don't divide into {groups} groups")
+        x = x.reshape(n, length, groups, channels // groups)
+        off = x - x.mean((1, 3), keepdims=True)
+        x = off / np.sqrt(np.square(off).mean((1, 3), keepdims=True) + 1e-5)
+        return x.reshape(n, length, channels) * self.net[name] + self.net[name + "_bias"]
+
+    def __call__(self, x: np.ndarray, t: np.ndarray | int) -> np.ndarray:
+        when = silu(time_embedding(np.broadcast_to(np.asarray(t), (len(x),)), self.embedding))
+        h = self._linear(x, "into")
+        skips = [h]
+        for name, a, b, joins in self.plan:
+            if joins:
+                h = np.concatenate([h, skips.pop()], 2)
+            y = self._wide(silu(self._normed(h, f"{name}.n1")), f"{name}.one")
+            y = y + self._linear(when, f"{name}.time")[:, None, :]
+            y = self._wide(silu(self._normed(y, f"{name}.n2")), f"{name}.two")
+            h = y + (h if a == b else self._linear(h, f"{name}.skip"))
+            if name in self.keeps:
+                skips.append(h)
+        return self._linear(silu(self._normed(h, "norm")), "out")
