@@ -1,35 +1,42 @@
 """Exact top-k inner product search: ball-tree branch and bound per shard.
 
-Candidates are dealt to shards by a hash of their id; each shard builds a ball tree (leaves
-of ``LEAF`` vectors). For a query a node's bound is q.center + |q| radius; nodes are visited
-in order of it and skipped when it is below the query's current kth score. Queries first
-search one shard; the kth score found there is shared with all the other shards, which start
-from it.
+Candidates are dealt to shards of bounded size and stored as arrays in the shared folder,
+queries to blocks likewise; a task maps one shard, builds its ball tree (leaves of ``LEAF``
+vectors) once and takes a run of query blocks through it. For a query a node's bound is
+q.center + |q| radius; nodes are visited in order of it and skipped when it is below the
+query's current kth score. Each block first searches one shard; the kth scores found there
+are stored beside it and shared with all the other shards, which start from them.
 
-Scale: queries are dealt in blocks; a task holds one shard and one block, both of bounded
-size. Per shard at most k rows a query return, and the last step keeps k of them.
+Scale: vectors are shuffled once, to be stored, and never copied to query blocks; what a
+search sends on are at most k rows a query and shard, and the last step keeps k of them.
 
 Defined results: vectors that are null or hold null, NaN or infinite components, and rows
 without vec_id, take no part. Rows with a query's own vec_id are the query's own, so that a
-repeated row is no candidate for itself; rows of other ids count as often as they occur.
-Vectors of different lengths aren't compared. A score that 64 bits can't hold is an error. Extra columns are not looked at.
+repeated row is no candidate for itself; rows of other ids count as often as they occur, and
+are dealt by row, so that a frequent id fills no shard. Vectors of different lengths aren't
+compared. A score that 64 bits can't hold is an error. Extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickforge.llm.common import written
+from tickforge.llm import store
+from tickforge.llm.common import shared_path, small_batches, written
 
 LEAF = 64
-#: Vectors in a shard at most (about), shards at least, and queries in a block.
+#: Vectors in a shard (about), shards at least, queries in a block, and blocks that one task takes.
 SHARD = 16_384
 LEAST_SHARDS = 64
-BLOCK = 4096
+BLOCK = 1024
+RUN = 32
 FOUND = "query_id long, vec_id long, score long"
+LOWEST = -(2**63) + 1
 
 
 class BallTree:
@@ -67,9 +74,9 @@ def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (whole(a) @ whole(b).T).astype(np.int64)
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> pd.DataFrame:
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, tree: BallTree | None = None) -> pd.DataFrame:
     """The k best candidates of each query that reach ``floor`` (ties: smaller id), its own id left out."""
-    tree = BallTree(vectors)
+    tree = tree or BallTree(vectors)
     worst = np.iinfo(np.int64).min
     best = np.full((len(queries), k), worst, np.int64)
     who = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
@@ -110,21 +117,59 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
     return pd.DataFrame({"query_id": query_ids[found[0]], "vec_id": who[found], "score": best[found]})
 
 
-def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
-    return np.array(rows.tolist(), np.float64).reshape(len(rows), dim)
+def _store(folder: str, kind: str):
+    """Puts a cell (dim, cell) of rows (vec_id, v) into the folder, in an order that reruns share."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        dim, cell = map(int, key)
+        ids = part["vec_id"].to_numpy(np.int64)
+        vectors = np.array(part["v"].tolist(), np.float64).reshape(len(part), dim)
+        order = np.lexsort((*vectors.T, ids))
+        store.put(folder, f"{kind}-ids-{dim}-{cell}", ids[order])
+        store.put(folder, f"{kind}-{dim}-{cell}", vectors[order])
+        return pd.DataFrame({"dim": [dim], "cell": [cell]})
+
+    return run
+
+
+def _stored(rows: DataFrame, folder: str, kind: str) -> DataFrame:
+    """(dim, cell) of the cells that rows (vec_id, v, dim, cell) fill."""
+    return written(rows.groupBy("dim", "cell").applyInPandas(_store(folder, kind), "dim int, cell int"), f"{kind}-cells")
+
+
+def _get(folder: str, kind: str, dim: int, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    ids = store.get(folder, f"{kind}-ids-{dim}-{cell}", np.int64)
+    return ids, store.get(folder, f"{kind}-{dim}-{cell}", np.float64).reshape(len(ids), dim)
+
+
+def _search(folder: str, k: int, floors: bool):
+    """Rows (dim, shard, blocks) in; a shard's best for every query of its blocks out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for dim, shard, blocks in zip(part["dim"], part["shard"], part["blocks"], strict=True):
+                ids, vectors = _get(folder, "shard", dim, shard)
+                tree = BallTree(np.asarray(vectors))
+                for block in blocks:
+                    query_ids, queries = _get(folder, "block", dim, block)
+                    floor = store.get(folder, f"floors-{dim}-{block}", np.int64) if floors else np.full(len(query_ids), LOWEST)
+                    yield search(ids, tree.vectors, query_ids, queries, floor, k, tree)
+
+    return run
 
 
-def _round(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Searches each cell (dim, shard, block): its candidates for its queries (query_id, v, floor)."""
+def _store_floors(folder: str, k: int):
+    """The kth score of each query of a block, where it has k."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        dim = int(key[0])
-        return search(left["vec_id"].to_numpy(), _matrix(left["v"], dim), right["query_id"].to_numpy(), _matrix(right["v"], dim), right["floor"].to_numpy(), k)
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        dim, block = map(int, key)
+        query_ids, _ = _get(folder, "block", dim, block)
+        kth = part.dropna().groupby("query_id")["score"].agg(["size", "min"])
+        kth = kth[kth["size"] >= k]["min"].reindex(query_ids)
+        store.put(folder, f"floors-{dim}-{block}", np.array([LOWEST if pd.isna(x) else int(x) for x in kth.astype("Int64")], np.int64))
+        return pd.DataFrame({"dim": [dim], "cell": [block]})
 
-    cell = ["dim", "shard", "block"]
-    return candidates.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(run, FOUND)
+    return run
 
 
 def integer_vectors(embeddings: DataFrame) -> DataFrame:
@@ -136,19 +181,30 @@ def integer_vectors(embeddings: DataFrame) -> DataFrame:
 
 def top_k(embeddings: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score) of every row whose id is divisible by ``every``."""
-    vectors = written(integer_vectors(embeddings).withColumn("dim", F.size("v")), "vectors")
+    spark = embeddings.sparkSession
+    small_batches(spark)
+    folder = shared_path(spark, "vectors")
+    vectors = written(integer_vectors(embeddings).withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()}), "vectors")
     asked = written(vectors.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
     n, m = vectors.count(), asked.count()
     shards, blocks = max(LEAST_SHARDS, -(-n // SHARD)), max(1, -(-m // BLOCK))
     hashed = lambda c, count: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-    queries = asked.select(F.col("vec_id").alias("query_id"), "v", "dim", hashed("vec_id", blocks).alias("block"), hashed("vec_id", shards).alias("own"))
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = vectors.select("vec_id", "v", "dim", hashed(F.col("vec_id") * 31 + 7, shards).alias("shard"), each.alias("block"))
-    lowest = F.lit(-(2**63) + 1).cast("long")
-    one = written(_round(dealt, queries.select("query_id", "v", "dim", F.col("own").alias("shard"), "block", lowest.alias("floor")), k), "first-shards")
-    floors = one.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
-    known = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("kth", lowest))
-    rest = known.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter(F.col("shard") != F.col("own"))
-    two = _round(dealt, rest.select("query_id", "v", "dim", "shard", "block", "floor"), k)
+    full = _stored(vectors.select("vec_id", "v", "dim", hashed("row", shards).alias("cell")), folder, "shard")
+    block = hashed("vec_id", blocks)
+    of = _stored(asked.select("vec_id", "v", "dim", block.alias("cell")), folder, "block")
+    # each block begins with one of its length's shards
+    turn = F.row_number().over(Window.partitionBy("dim").orderBy("cell")) - 1
+    per_dim = full.groupBy("dim").agg(F.array_sort(F.collect_set("cell")).alias("all"))
+    mine = of.withColumn("turn", turn).join(per_dim, "dim").select("dim", F.col("cell").alias("block"), F.get("all", F.pmod("turn", F.size("all"))).alias("own"), "all")
+    mine = written(mine.repartition(min(max(blocks, 1), 4096), "dim", "block"), "first-cells")
+    first = mine.select("dim", F.col("own").alias("shard"), F.array("block").alias("blocks"))
+    one = written(first.mapInPandas(_search(folder, k, False), FOUND), "first-shards")
+    dims = asked.select(F.col("vec_id").alias("query_id"), "dim", block.alias("cell")).join(one, "query_id", "left")
+    written(dims.groupBy("dim", "cell").applyInPandas(_store_floors(folder, k), "dim int, cell int"), "floor-cells")
+    # runs of blocks that one task takes through one shard
+    runs = mine.select("dim", "block", "own", F.explode("all").alias("shard")).filter(F.col("shard") != F.col("own"))
+    runs = runs.groupBy("dim", "shard", F.floor(F.col("block") / RUN).alias("run")).agg(F.collect_list("block").alias("blocks"))
+    runs = runs.repartition(min(shards * -(-blocks // RUN), 20_000), "dim", "shard", "run")
+    two = runs.select("dim", "shard", "blocks").mapInPandas(_search(folder, k, True), FOUND)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return one.union(two).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
