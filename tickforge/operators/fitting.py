@@ -4,8 +4,9 @@ Each partition starts an epoch from the same weights, takes Adam steps over its
 and returns what it ended with; weights and moments are averaged by rows (local steps with
 averaging), so that an epoch needs no shuffle of windows. Averages are made in slices on the
 executors before they reach the driver, which holds a few copies of the model, whatever the
-number of partitions. Batches and noise follow from seed, epoch and partition: a task
-that runs again takes the same steps.
+number of partitions. Windows are checkpointed first, in the folder that
+``spark.checkpoint.dir`` names: epochs don't compute them again, and as batches and noise
+follow from seed, epoch and partition, a task that runs again takes the same steps.
 
 An ``Objective`` names the weights that it moves and its loss; several take turns on each
 batch. Rows with null values take no part; without rows weights stay and losses are NaN.
@@ -14,6 +15,7 @@ batch. Rows with null values take no part; without rows weights stay and losses
 from __future__ import annotations
 
 import pickle
+import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -185,6 +187,14 @@ def _total(part: pd.DataFrame) -> pd.DataFrame:
 STATE = "slice int, rows long, steps long, losses binary, state binary, count binary"
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))  # unset: tests in local mode
+    return rows.checkpoint()
+
+
 def fit(
     windows: DataFrame,
     model: networks.Parametrised,
@@ -202,7 +212,7 @@ def fit(
     ``callbacks`` get (epoch, metrics); one with a ``rate`` sets the next epoch's. ``stop`` gets
     the first objective's loss.
     """
-    rows = windows.filter(F.col("values").isNotNull()).select("values")
+    rows = _kept(windows.filter(F.col("values").isNotNull()).select("values"))
     adam = Adam({k: np.asarray(v, np.float64) for k, v in model.parameters().items()}, rate, clip, {})
     history: dict[str, list[float]] = {o.name: [] for o in objectives}
     for epoch in range(epochs):

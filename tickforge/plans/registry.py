@@ -676,3 +676,55 @@ def n11_variational_generate(spark, sf_dir):
     from tickforge.operators.networks import VariationalModel
 
     return VariationalModel(8).generate(spark, 100, LENGTH)
+
+
+def _trained(spark: SparkSession, sf_dir: str, kind: str, *phases, **options) -> DataFrame:
+    """(phase, epoch, metric, value): losses of small models trained on all windows of the scaled bars."""
+    from tickforge.operators import fitting
+
+    made, _, columns = windows.preprocess(_bars(spark, sf_dir), stride=LENGTH)
+    model, out = fitting.build(kind, len(columns), **options), []
+    for k, (aims, epochs) in enumerate(phases):
+        model, history = fitting.fit(windows.as_arrays(made, columns), model, aims, epochs, 0.005, 32)
+        out += [(k, e + 1, name, x) for name, values in history.items() for e, x in enumerate(values)]
+    return spark.createDataFrame(out, "phase int, epoch int, metric string, value double")
+
+
+@query()
+def n3_n5_adversarial_training(spark, sf_dir):
+    from tickforge.operators import fitting
+
+    return _trained(spark, sf_dir, "adversarial", (fitting.autoencoding(), 2), (fitting.supervising(), 2), (fitting.adversarial(), 2), hidden=12, layers=1)
+
+
+@query()
+def n8_diffusion_training(spark, sf_dir):
+    from tickforge.operators import fitting
+
+    schedule = generative.schedule_constants(generative.linear_schedule(spark, 100)).orderBy("t").select("alpha_bar")
+    bars = [r[0] for r in schedule.collect()]  # the schedule alone
+    return _trained(spark, sf_dir, "diffusion", (fitting.denoising(bars), 2), widths=(16, 32, 16), embedding=16, blocks=1)
+
+
+@query()
+def n11_variational_training(spark, sf_dir):
+    from tickforge.operators import fitting
+
+    return _trained(spark, sf_dir, "variational", (fitting.variational(1.0, 2), 3), hidden=16)
+
+
+@query()
+def n17_plots(spark, sf_dir):
+    """The four pictures as SVG texts, of bars and of real against synthetic windows."""
+    from tickforge.operators import plots
+
+    bars = feats.log_returns(_bars(spark, sf_dir))
+    real, made = (stats.long_series(w, ["Close", "LogReturn"], LENGTH) for w in _window_sets(spark, sf_dir))
+    cells = stats.correlations(bars, COLUMNS)
+    out = [
+        ("candlestick", plots.candlestick(bars.filter(F.col("ticker") == REAL))),
+        ("distributions", plots.distributions(real, made)),
+        ("correlations", plots.heatmap(cells)),
+        ("time_series", plots.time_series(bars.select("ticker", "Date", "Close"), "Close")),
+    ]
+    return spark.createDataFrame(out, "plot string, svg string")
