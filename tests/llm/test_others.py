@@ -218,6 +218,22 @@ def test_floors_keep_ties():
     assert got["vec_id"].tolist() == [2, 3]
 
 
+@pytest.mark.parametrize("block,run", [(2, 2), (4, 1), (3, 100)])
+def test_many_query_blocks(spark, sf_dir, monkeypatch, block, run):
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "RUN", run)
+    monkeypatch.setattr(topk, "LEAST_SHARDS", 3)
+    monkeypatch.setattr(topk, "SHARD", 100)
+    assert rows(topk.top_k(table(spark, sf_dir, "embeddings")).toPandas()) == rows(duck(sf_dir, queries.oracle_sql()["op9_topk_search"]))
+
+
+def test_frequent_vector(spark):
+    made = [(7, [1.0, 2.0])] * 300 + [(50 * i, [float(i), 1.0]) for i in range(3)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df).collect()}
+    assert len(got) == 15 and got[0, 1] == (7, 2 * 65536) and got[50, 5] == (7, 3 * 65536) and got[100, 1] == (7, 4 * 65536)
+
+
 def test_vector_edges(spark):
     inf, nan = float("inf"), float("nan")
     made = [(0, [1.0, 2.0], 1), (50, [0.5, None], 1), (100, [nan, 1.0], 1), (150, [inf, 1.0], 1), (200, None, 1), (1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, [0.0, -1.0], 1), (3, [1.0], 1), (None, [9.0, 9.0], 1), (250, [], 1), (0, [1.0, 2.0], 1)]
