@@ -88,6 +88,16 @@ def test_quality_statistics_and_verdict(spark, documents, sf_dir):
     assert all(not r["kept"] for r in got if r["n_words"] > 50 and r["n_symbols"] > 2 * r["n_words"])
 
 
+def test_quality_rejects_moderate_symbol_junk(spark):
+    folder = "/root/testdata/sf0.01"
+    got = [r for r in quality.assess(table(spark, folder, "documents")).collect() if not r["base_failed"]]
+    junk = [r for r in got if r["n_words"] >= 100 and 0.35 < r["n_symbols"] / r["n_words"] < 0.5]
+    assert len(junk) > 10 and not any(r["kept"] for r in junk)
+    good = {r["doc_id"] for r in table(spark, folder, "labels").filter("quality = 1").collect()}
+    usable = [r for r in got if r["doc_id"] in good]
+    assert len(usable) > 100 and all(r["kept"] for r in usable)
+
+
 def brute_mcd(x):
     """The same start and steps on one group, in NumPy."""
     floors = np.square(quality.FLOORS)
