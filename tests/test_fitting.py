@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tickforge.operators import fitting, generative, networks, training
+from tickforge.plans import registry
 
 
 def series(spark, n=60, length=8, features=2, parts=3):
@@ -81,3 +82,12 @@ def test_no_rows_and_unknown_kind(spark):
     stop = training.EarlyStopping(1)
     _, history = fitting.fit(series(spark), start, fitting.variational(), 5, rate=0.0, stop=lambda x: stop(1.0))
     assert len(history["loss"]) == 2
+
+
+def test_training_queries_see_all_windows(spark, sf_dir, monkeypatch):
+    bars, seen = registry._bars(spark, sf_dir), []
+    # a return needs a bar before; a window of 30 begins at each but the last 29 of the others
+    want = sum(r["count"] - 1 - 29 for r in bars.groupBy("ticker").count().collect() if r["count"] > 30)
+    monkeypatch.setattr(fitting, "fit", lambda rows, model, *_: (seen.append(rows.count()), (model, {}))[1])
+    registry.queries()["n11_variational_training"](spark, sf_dir)
+    assert seen == [want]

@@ -682,7 +682,7 @@ def _trained(spark: SparkSession, sf_dir: str, kind: str, *phases, **options) ->
     """(phase, epoch, metric, value): losses of small models trained on all windows of the scaled bars."""
     from tickforge.operators import fitting
 
-    made, _, columns = windows.preprocess(_bars(spark, sf_dir), stride=LENGTH)
+    made, _, columns = windows.preprocess(_bars(spark, sf_dir))
     model, out = fitting.build(kind, len(columns), **options), []
     for k, (aims, epochs) in enumerate(phases):
         model, history = fitting.fit(windows.as_arrays(made, columns), model, aims, epochs, 0.005, 32)
