@@ -29,3 +29,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_two_sets_hold_all_tickers(spark, sf_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(registry.utility, "tstr_benchmark", lambda *sets: (seen.append([{r[0] for r in x.select("ticker").distinct().collect()} for x in sets]), {"trtr": {"accuracy": 0.0, "f1": 0.0, "roc_auc": 0.0}})[1])
+    registry.queries()["n15_tstr"](spark, sf_dir)
+    tickers = {r[0] for r in registry._bars(spark, sf_dir).select("ticker").distinct().collect()}
+    assert set.union(*seen[0]) == tickers and not set.intersection(*seen[0])

@@ -54,8 +54,11 @@ def _fitted_metrics(train: DataFrame, test: DataFrame) -> dict[str, float]:
 
 
 def tstr_benchmark(real: DataFrame, synthetic: DataFrame, test_ratio: float = 0.2) -> dict[str, dict[str, float]]:
-    """Models trained on real and on synthetic rows (window_id, x, y), both tested on the last real ones."""
-    order = real.withColumn("_r", F.row_number().over(Window.orderBy("window_id")))
+    """Models trained on real and on synthetic rows (window_id, x, y), both tested on the last real ones.
+
+    With a ticker, windows of one number are put in its order.
+    """
+    order = real.withColumn("_r", F.row_number().over(Window.orderBy(*[c for c in ("window_id", "ticker") if c in real.columns])))
     n = order.count()
     held = int(n * test_ratio)
     if not held:

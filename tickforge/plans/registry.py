@@ -95,6 +95,12 @@ def _window_sets(spark: SparkSession, sf_dir: str, columns: list[str] = COLUMNS)
     return every.filter(F.col("ticker") == REAL), every.filter(F.col("ticker") == SYNTHETIC)
 
 
+def _status_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows of all tickers: real ones of line status F, synthetic ones of O."""
+    every, status = windows.create_windows(feats.log_returns(_bars(spark, sf_dir)), LENGTH, COLUMNS), F.substring("ticker", 2, 1)
+    return every.filter(status == "F"), every.filter(status == "O")
+
+
 def _series(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     return tuple(stats.long_series(w, columns, LENGTH) for w in _window_sets(spark, sf_dir))  # type: ignore[return-value]
 
@@ -657,7 +663,7 @@ def n13_stopping_trace(spark, sf_dir):
 @query()
 def n15_tstr(spark, sf_dir):
     """Accuracy, F1 and area of models trained on real and on synthetic windows."""
-    real, made = (windows.classification(windows.as_arrays(w, COLUMNS), COLUMNS.index("LogReturn")) for w in _window_sets(spark, sf_dir))
+    real, made = (windows.classification(windows.as_arrays(w, COLUMNS), COLUMNS.index("LogReturn")) for w in _status_sets(spark, sf_dir))
     found = utility.tstr_benchmark(real, made)
     return spark.createDataFrame([(k, *v.values()) for k, v in found.items()], "model string, accuracy double, f1 double, roc_auc double")
 
@@ -719,7 +725,7 @@ def n17_plots(spark, sf_dir):
     from tickforge.operators import plots
 
     bars = feats.log_returns(_bars(spark, sf_dir))
-    real, made = (stats.long_series(w, ["Close", "LogReturn"], LENGTH) for w in _window_sets(spark, sf_dir))
+    real, made = (stats.long_series(w, ["Close", "LogReturn"], LENGTH) for w in _status_sets(spark, sf_dir))
     cells = stats.correlations(bars, COLUMNS)
     out = [
         ("candlestick", plots.candlestick(bars.filter(F.col("ticker") == REAL))),
