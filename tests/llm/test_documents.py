@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -292,8 +293,7 @@ def check_packing(pieces, ids):
 def token_ids(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(packing.default_vocabulary()[0])
     return {i: t.encode(x or "", add_special_tokens=False).ids + [packing.END] for i, x in texts.items()}
 
 
@@ -304,13 +304,43 @@ def test_packing_round_trip(documents):
     assert {p["doc_id"] for p in pieces} == set(ids) and sum(s < packing.WINDOW for s in sizes) <= documents.rdd.getNumPartitions()
 
 
-def test_both_encoders_agree(tmp_path):
-    import shutil
-
-    alone = shutil.copy(packing.default_vocabulary(), tmp_path / "v.json")
-    fast, slow = packing.encoder(packing.default_vocabulary()), packing.encoder(str(alone))
-    for text in ("a  b\n\n c's <|endoftext|> naïve\u00a0 \U0001f600\x00", "x" * 5000, " 12345  \t"):
+def test_both_encoders_agree():
+    fast, slow = packing.encoder(*packing.default_vocabulary()), packing.encoder(packing.default_vocabulary()[0])
+    for text in ("a  b\n\n c's <|endoftext|> naïve\u00a0 \U0001f600\x00", "x" * 5000, " 12345  \t", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext", "<|endoftext|>\n\n  x"):
         assert fast(text).tolist() == slow(text).tolist()
+    assert fast("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", " ", "\n", "a", "é", "'s", "12", "漢", "\u00a0"]) | st.text(max_size=6), max_size=12).map("".join))
+def test_both_encoders_agree_on_any_text(text):
+    files = packing.default_vocabulary()
+    if not _encoders:
+        _encoders.extend([packing.encoder(*files), packing.encoder(files[0])])
+    text = text.encode("utf-8", "ignore").decode()
+    assert _encoders[0](text).tolist() == _encoders[1](text).tolist()
+
+
+_encoders = []
+
+
+def test_special_strings_in_documents(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>" * 3000, "plain", None]
+    docs = docs_of(spark, texts)
+    check_packing(packing.pack(docs).collect(), token_ids(dict(enumerate(texts))))
+
+
+def test_long_documents_leave_their_rest_only(monkeypatch):
+    """Of a document with whole windows only the ids after them wait."""
+    seen, pack_shard = [], packing.pack_shard
+    monkeypatch.setattr(packing, "pack_shard", lambda rest, last: (seen.extend(len(d[1]) for d, _, _ in rest), list(pack_shard(rest, last)))[1])
+    monkeypatch.setattr(packing, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    texts = {i: "one two three " * 4000 for i in range(5)}
+    ids = token_ids(texts)
+    batch = pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())})
+    pieces = pd.concat(packing._pack(iter([batch]), *packing.default_vocabulary())).to_dict("records")
+    check_packing(pieces, ids)
+    assert seen and max(seen) < packing.WINDOW
 
 
 def test_scores_are_bm25():
@@ -327,6 +357,28 @@ def test_scores_are_bm25():
     assert index.scores(0).tolist() == pytest.approx([sum(weight(t, x) for t in shared) for x in texts], rel=1e-5)
 
 
+def slow_bm25(texts, seed):
+    mean = np.mean([len(x) for x in texts])
+    held = Counter(t for x in texts for t in set(x.tolist()))
+    out = []
+    for x in texts:
+        times = Counter(x.tolist())
+        norm = packing.K1 * (1 - packing.B + packing.B * len(x) / mean)
+        shared = [t for t in set(texts[seed].tolist()) & times.keys() if held[t] > 1]
+        out.append(sum(math.log1p((len(texts) - held[t] + 0.5) / (held[t] + 0.5)) * times[t] * (packing.K1 + 1) / (times[t] + norm) for t in shared))
+    return out
+
+
+@pytest.mark.parametrize("dense", [0.0, 1 / 16, 1.0])
+def test_all_terms_of_a_seed_count(monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    texts = [(rng.zipf(1.3, size) % 400).astype(np.uint32) for size in rng.integers(1, 300, 60)]
+    index = packing.Index(texts)
+    for seed in range(60):
+        assert index.scores(seed).tolist() == pytest.approx(slow_bm25(texts, seed), rel=1e-4, abs=1e-5)
+
+
 def test_neighbours_meet():
     rng = np.random.default_rng(0)
     topics = [rng.integers(1000 * k, 1000 * k + 60, (8, 512)).astype(np.uint32) for k in range(1, 5)]

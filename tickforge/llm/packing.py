@@ -2,23 +2,26 @@
 
 Documents become token ids and an end id. Whole windows are cut off long documents; what
 remains is indexed, shard by shard, in a BM25 inverted index over token ids. The largest
-unused remainder seeds a window; its rarest terms retrieve unused neighbours, which fill
-the window greedily in score order. The first one that is too long is cut, and its rest
-stays unused, so that every window but a task's last is full.
+unused remainder seeds a window; all its terms score the shard's documents, and the unused
+neighbours fill the window greedily in score order. The first one that is too long is cut,
+and its rest stays unused, so that every window but a task's last is full.
 
 Scale: shards are cut from the input's own partitions (``SHARD_TOKENS`` tokens or
-``SHARD_DOCS`` documents, to bound memory), so that no text and no id is shuffled. What a
-shard leaves over is carried into the task's next shard. Sequence ids join the partition's
-number and a count, so that a task that runs again makes the same ones.
+``SHARD_DOCS`` documents, to bound memory), so that no text and no id is shuffled. Of a
+document only the ids after its whole windows wait for their shard. What a shard leaves
+over is carried into the task's next shard. Sequence ids join the partition's number and a
+count, so that a task that runs again makes the same ones.
 
 Defined results: null text is empty and yields its end id alone. Rows are packed one by
-one: repeated rows appear repeatedly. Extra columns are not looked at. Empty tables give
+one: repeated rows appear repeatedly. The vocabulary's special strings in a text become
+their ids, as the tokenizer makes them. Extra columns are not looked at. Empty tables give
 empty results.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,59 +30,64 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tickforge.llm.common import small_batches
 
 WINDOW = 2048
 END = 1
 SHARD_TOKENS = 1 << 21
-SHARD_DOCS = 1 << 12
-QUERY_TERMS = 12
+SHARD_DOCS = 1 << 11
+#: Terms that more than this share of a shard's documents hold are kept as dense rows.
+DENSE = 1 / 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_length long"
 
 
-def default_vocabulary() -> str:
+def default_vocabulary() -> tuple[str, str]:
+    """A vocabulary for tokenizers and the same one's rank file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text by a byte-level BPE vocabulary.
+def encoder(path: str, ranks: str | None = None) -> Callable[[str], np.ndarray]:
+    """Ids of a text by the tokenizers file ``path``, as ``encode(text, add_special_tokens=False)`` gives them.
 
-    A ``.json`` file is read by tokenizers. Where its rank file stands beside it, tiktoken
-    computes the same ids several times faster (the tests compare them).
+    ``ranks`` may name the rank file of the same byte-level vocabulary: tiktoken then makes
+    the same ids several times faster (the tests compare them).
     """
-    import os
-
-    ranks = path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks):
+    if ranks is not None:
         import public_tokenizers
         import tiktoken
 
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in added):
+            raise ValueError("special tokens that take in their surroundings need tokenizers: leave ranks out")
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        return lambda text: np.asarray(fast.encode_to_numpy(text), np.uint32)
+        special = {t["content"]: t["id"] for t in added}
+        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
+        return lambda text: np.asarray(fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
     return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class Index:
-    """A shard's BM25 inverted index: postings by term, each with the weight of its document."""
+    """A shard's BM25 inverted index: postings by term, each with the weight of its document.
+
+    The rows of frequent terms are kept dense, which sums them faster; scores are the same.
+    """
 
     def __init__(self, texts: list[np.ndarray]):
-        n = len(texts)
+        n = self.n = len(texts)
         size = np.fromiter(map(len, texts), np.int64, n)
         both = (np.repeat(np.arange(n, dtype=np.uint64), size) | (np.concatenate(texts).astype(np.uint64) << np.uint64(32))) if n else np.empty(0, np.uint64)
         both.sort()
         first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.empty(0, np.int64)
         times = np.diff(np.append(first, len(both)))
         pair = both[first]
-        self.doc = (pair & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        self.doc = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         term = (pair >> np.uint64(32)).astype(np.int64)
         start = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.empty(0, np.int64)
         self.bounds = np.append(start, len(term))
@@ -87,26 +95,37 @@ class Index:
         idf = np.log1p((n - found + 0.5) / (found + 0.5))
         norm = K1 * (1 - B + B * size / max(1.0, size.mean() if n else 1.0))
         self.weight = (np.repeat(idf, found) * times * (K1 + 1) / (times + norm[self.doc])).astype(np.float32)
-        number = np.repeat(np.arange(len(found), dtype=np.int32), found)
-        # each document's terms that at least one other holds, best first
-        shared = np.flatnonzero(np.repeat(found > 1, found))
-        order = shared[np.lexsort((-self.weight[shared], self.doc[shared]))]
-        self.terms = number[order]
-        self.of = np.searchsorted(self.doc[order], np.arange(n + 1))
+        number = np.repeat(np.arange(len(found)), found)
+        dense = found > max(1.0, n * DENSE)
+        row = np.cumsum(dense) - 1
+        self.dense = np.zeros((int(dense.sum()), n), np.float32)
+        often = np.flatnonzero(dense[number])
+        self.dense[row[number[often]], self.doc[often]] = self.weight[often]
+        # each document's terms that at least one other holds: rows of frequent ones, numbers of the others
+        by_doc = np.argsort(self.doc, kind="stable")
+        self.rows, self.rows_of = self._split(by_doc[dense[number[by_doc]]], row[number])
+        rare = by_doc[(found[number[by_doc]] > 1) & ~dense[number[by_doc]]]
+        self.terms, self.terms_of = self._split(rare, number)
+
+    def _split(self, at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return values[at], np.searchsorted(self.doc[at], np.arange(self.n + 1))
 
     def scores(self, seed: int) -> np.ndarray:
-        """Of every document for the seed's weightiest terms."""
-        out = np.zeros(len(self.of) - 1, np.float32)
-        for t in self.terms[self.of[seed] : min(self.of[seed + 1], self.of[seed] + QUERY_TERMS)]:
-            a, b = self.bounds[t], self.bounds[t + 1]
-            out[self.doc[a:b]] += self.weight[a:b]
+        """BM25 of every document for all of the seed's terms, each once."""
+        out = self.dense[self.rows[self.rows_of[seed] : self.rows_of[seed + 1]]].sum(0)
+        terms = self.terms[self.terms_of[seed] : self.terms_of[seed + 1]]
+        start, size = self.bounds[terms], self.bounds[terms + 1] - self.bounds[terms]
+        end = np.cumsum(size)
+        if len(end):
+            at = np.arange(end[-1]) + np.repeat(start - end + size, size)
+            out += np.bincount(self.doc[at], self.weight[at], self.n).astype(np.float32)
         return out
 
 
 def pack_shard(rest: list[list], last: bool) -> Iterator[list[tuple[list, int, int]]]:
     """Windows as lists of (document, start, length); what stays unused is left in ``rest``.
 
-    ``rest`` holds [document, start, end], a document being (doc_id, ids).
+    ``rest`` holds [document, start, end], a document being (doc_id, ids, ...), and start and end places in its ids.
     """
     index = Index([d[1][a:b] for d, a, b in rest])
     unused = np.array([b - a for _, a, b in rest], np.int64)
@@ -141,8 +160,8 @@ def pack_shard(rest: list[list], last: bool) -> Iterator[list[tuple[list, int, i
     rest[:] = [r for r in rest if r[2] > r[1]]
 
 
-def _pack(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataFrame]:
-    encode = encoder(vocabulary)
+def _pack(batches: Iterator[pd.DataFrame], *vocabulary: str | None) -> Iterator[pd.DataFrame]:
+    encode = encoder(*vocabulary)
     count = TaskContext.get().partitionId() << 32
     rows: list[tuple] = []
     names = [x.split()[0] for x in PIECES.split(", ")]
@@ -150,10 +169,10 @@ def _pack(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataF
     def emit(window: list[tuple]) -> None:
         nonlocal count
         offset, filled = 0, sum(w[2] for w in window)
-        for (doc, ids), start, length in window:
+        for (doc, ids, before, total), start, length in window:
             crc = zlib.crc32(ids[start : start + length].astype("<u4").tobytes())
             # the last window may end at a power of two
-            rows.append((doc, start, length, crc, len(ids), count, offset, min(WINDOW, 1 << (filled - 1).bit_length())))
+            rows.append((doc, before + start, length, crc, total, count, offset, min(WINDOW, 1 << (filled - 1).bit_length())))
             offset += length
         count += 1
 
@@ -168,13 +187,13 @@ def _pack(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataF
     for part in batches:
         for doc, text in zip(part["doc_id"].array, part["text"], strict=True):
             ids = np.append(encode(text) if text else np.empty(0, np.uint32), np.uint32(END))
-            document = (None if pd.isna(doc) else int(doc), ids)
-            whole = len(ids) // WINDOW * WINDOW
+            name, total = None if pd.isna(doc) else int(doc), len(ids)
+            whole = total // WINDOW * WINDOW
             for start in range(0, whole, WINDOW):
-                emit([(document, start, WINDOW)])
-            if whole < len(ids):
-                rest.append([document, whole, len(ids)])
-                held += len(ids) - whole
+                emit([((name, ids, 0, total), start, WINDOW)])
+            if whole < total:
+                rest.append([(name, ids[whole:].copy(), whole, total), 0, total - whole])
+                held += total - whole
             if held >= SHARD_TOKENS or len(rest) >= SHARD_DOCS:
                 for window in pack_shard(rest, False):
                     emit(window)
@@ -186,11 +205,11 @@ def _pack(batches: Iterator[pd.DataFrame], vocabulary: str) -> Iterator[pd.DataF
     yield frame()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
     """Pieces of all documents: where each run of a document's ids stands in which sequence.
 
     sequence_length is what a sequence is padded to: ``WINDOW``, or less for a last one.
+    ``ranks``: see ``encoder``; the default vocabulary comes with its own.
     """
-    small_batches(docs.sparkSession)
-    path = vocabulary or default_vocabulary()
-    return docs.select("doc_id", "text").mapInPandas(lambda batches: _pack(batches, path), PIECES)
+    files = (vocabulary, ranks) if vocabulary else default_vocabulary()
+    return docs.select("doc_id", "text").mapInPandas(lambda batches: _pack(batches, *files), PIECES)
