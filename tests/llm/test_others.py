@@ -1,6 +1,7 @@
 """Pages, conversations, vectors and the pipeline."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.compare import duck, rows
 from tests.llm.test_documents import SCHEMA, check_packing, edge, token_ids  # noqa: F401
-from tickforge.llm import chat, html, quality, queries, simhash, topk, urlrules
+from tickforge.llm import chat, common, html, quality, queries, simhash, topk, urlrules
 from tickforge.llm.common import table
 
 
@@ -196,37 +197,67 @@ def test_no_urls(spark):
 # --- vectors
 
 
+def brute_top(rows, queries, k=5):
+    """Of (row, id, vector) rows: the k best (-score, id) for each query row, its own row left out."""
+    whole = lambda v: [int(x) for x in v]
+    every = [(row, i, whole(v)) for row, i, v in rows]
+    return {
+        row: sorted((-sum(a * b for a, b in zip(whole(v), c, strict=True)), j) for other, j, c in every if other != row and len(c) == len(v))[:k]
+        for row, _, v in queries
+    }
+
+
 @pytest.mark.parametrize("spread", [1, 1000, 2**24, 2**28])
 def test_search_equals_brute_force(spread):
     rng = np.random.default_rng(5)
     x = np.floor(rng.normal(size=(500, 6)) * spread)
     x[100:300] = x[0]  # many ties
     ids = rng.permutation(500) * 3
+    row = np.arange(500)
     q = np.concatenate([x[:20], np.zeros((1, 6))])
-    qid = np.concatenate([ids[:20], [-1]])
-    got = topk.search(ids, x, qid, q, np.full(21, -(2**63) + 1), 5)
-    whole = [[int(v) for v in r] for r in x.tolist()]
-    for i, v in zip(qid.tolist(), q.tolist(), strict=True):
-        scores = sorted((-sum(int(a) * b for a, b in zip(v, r, strict=True)), j) for j, r in zip(ids.tolist(), whole, strict=True) if j != i)
-        mine = sorted((-s, j) for s, j in got[got["query_id"] == i][["score", "vec_id"]].itertuples(index=False))
-        assert mine == scores[:5]
+    asked = np.concatenate([row[:20], [-1]])
+    search = topk.Search(asked, q, np.full(21, topk.LOWEST), 5)
+    for part in (slice(0, 150), slice(150, 500)):  # the second shard starts from the first one's scores
+        search.through(topk.Shard.of(row[part], ids[part], x[part]))
+    at, who, score = search.found()
+    wanted = brute_top(list(zip(row.tolist(), ids.tolist(), x.tolist(), strict=True)), list(zip(asked.tolist(), asked.tolist(), q.tolist(), strict=True)))
+    for i, r in enumerate(asked.tolist()):
+        assert sorted((-int(s), int(j)) for s, j in zip(score[at == i], who[at == i], strict=True)) == wanted[r]
 
 
 def test_floors_keep_ties():
     x = np.array([[1.0], [2.0], [2.0]])
-    got = topk.search(np.array([1, 2, 3]), x, np.array([9]), np.array([[1.0]]), np.array([2]), 5)
-    assert got["vec_id"].tolist() == [2, 3]
+    search = topk.Search(np.array([9]), np.array([[1.0]]), np.array([2]), 5)
+    search.through(topk.Shard.of(np.arange(3), np.array([1, 2, 3]), x))
+    assert search.found()[1].tolist() == [2, 3]
 
 
-@pytest.mark.parametrize("block,run", [(2, 2), (4, 1), (3, 100)])
-def test_many_query_blocks(spark, sf_dir, monkeypatch, block, run):
-    monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "RUN", run)
-    monkeypatch.setattr(topk, "LEAST_SHARDS", 3)
-    monkeypatch.setattr(topk, "SHARD", 100)
+@pytest.mark.parametrize("block,run,growth", [(2, 2, 1), (4, 1, 8), (3, 100, 2)])
+def test_many_query_blocks(spark, sf_dir, monkeypatch, block, run, growth):
+    for name, value in (("BLOCK", block), ("RUN", run), ("GROWTH", growth), ("SHARD", 20)):
+        monkeypatch.setattr(topk, name, value)
     assert rows(topk.top_k(table(spark, sf_dir, "embeddings")).toPandas()) == rows(duck(sf_dir, queries.oracle_sql()["op9_topk_search"]))
 
 
+@pytest.mark.parametrize("shard", [8192, 4])
+def test_repeated_ids(spark, tmp_path, monkeypatch, shard):
+    """Every row of a divisible id is a query of its own; other rows of the id are candidates. SQL agrees."""
+    monkeypatch.setattr(topk, "SHARD", shard)
+    rng = random.Random(3)
+    made = [(rng.choice([0, 0, 50, 50, 7, 8, 100]), [float(rng.randint(-3, 3)), float(rng.randint(-3, 3))]) for _ in range(40)]
+    spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    numbered = [(n, i, [256 * x for x in v]) for n, (i, v) in enumerate(made)]
+    wanted = brute_top(numbered, [r for r in numbered if r[1] % 50 == 0])
+    mine = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df).collect())
+    assert mine == sorted((numbered[q][1], rank, j, -s) for q, best in wanted.items() for rank, (s, j) in enumerate(best, 1))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS FROM '{tmp_path}/e/*.parquet'")
+    assert sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({queries.TOPK_SQL})").fetchall()) == mine
+
+
 def test_frequent_vector(spark):
     made = [(7, [1.0, 2.0])] * 300 + [(50 * i, [float(i), 1.0]) for i in range(3)]
     df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
@@ -238,8 +269,9 @@ def test_vector_edges(spark):
     inf, nan = float("inf"), float("nan")
     made = [(0, [1.0, 2.0], 1), (50, [0.5, None], 1), (100, [nan, 1.0], 1), (150, [inf, 1.0], 1), (200, None, 1), (1, [1.0, 1.0], 1), (1, [1.0, 1.0], 1), (2, [0.0, -1.0], 1), (3, [1.0], 1), (None, [9.0, 9.0], 1), (250, [], 1), (0, [1.0, 2.0], 1)]
     df = spark.createDataFrame(made, "vec_id long, embedding array<float>, score int")
-    got = [tuple(r) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 1, 3 * 65536), (0, 2, 1, 3 * 65536), (0, 3, 2, -2 * 65536)]
+    got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    own = [(0, 1, 0, 5 * 65536), (0, 2, 1, 3 * 65536), (0, 3, 1, 3 * 65536), (0, 4, 2, -2 * 65536)]
+    assert got == sorted(own * 2)
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -271,3 +303,13 @@ def test_pipeline_equals_its_stages(spark, sf_dir):
     assert all(n in (len(tokens[d]), 2 * len(tokens[d])) for d, n in whole.items())
     assert {p["sequence_length"] for p in pieces} <= {1 << k for k in range(12)}
     assert check_packing([], {}) == []
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from urllib.parse import urlparse
+
+    folder = common.own_dir(spark)
+    common.written(spark.range(3), "x")
+    assert os.listdir(urlparse(folder).path)
+    common.clear(spark)
+    assert not os.path.exists(urlparse(folder).path)

@@ -1,4 +1,4 @@
-"""Helpers that the operators share: durable intermediate tables and Arrow batch sizes."""
+"""Helpers that the operators share: durable intermediate tables and names of columns."""
 
 from __future__ import annotations
 
@@ -15,20 +15,34 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is empty (tests in local mode) is a folder of this machine used.
+    Only in local mode, where the setting may be empty (tests), is a folder of this machine used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one: all intermediate tables and arrays lie in it."""
+    return f"{shared_dir(spark)}/tickforge-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's folder."""
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the application's intermediate tables and arrays. Results that aren't yet read or written need them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -39,12 +53,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound what one Arrow batch holds: documents may be very long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def whole_row(df: DataFrame) -> Column:
     """All columns of a row as one struct _doc, so that added columns clash with none."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")

@@ -36,7 +36,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickforge.llm.common import small_batches
 
 TRAIN_PAGES = 2000
 MADE_PAGES = 700
@@ -484,7 +483,6 @@ def text_column(html: Column, model: Model | None = None) -> Column:
 
 def main_texts(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """Per page: page_id, url, text and n_chars."""
-    small_batches(pages.sparkSession)
     out = pages.select("page_id", "url", text_column(pages["html"], model).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickforge.llm.common import small_batches, whole_row, written
+from tickforge.llm.common import whole_row, written
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -222,7 +222,6 @@ def fit(narrow: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_statistics(docs: DataFrame, text: Column, lang: Column, source: Column) -> DataFrame:
     """``docs`` with _s (statistics), _lang, _key and the vector f0.."""
-    small_batches(docs.sparkSession)
     out = docs.withColumns({"_s": statistics(text), "_lang": lang.cast("string"), "_key": _key(lang, source)})
     return out.withColumns({f"f{j}": f for j, f in enumerate(features("_s"))} | {"_failed": base_failed("_s")})
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickforge.llm.common import small_batches, whole_row, written
+from tickforge.llm.common import whole_row, written
 
 SEED = 42
 WIDTH = 3
@@ -204,7 +204,6 @@ def component_of(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, fingerprint and component_id, the least doc_id of its component."""
-    small_batches(docs.sparkSession)
     prints = written(docs.select("doc_id", fingerprints(docs["text"]).alias("fp")), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     of = written(component_of(distinct), "fingerprint-roots")
@@ -216,7 +215,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: the least doc_id (nulls last), then the first row read."""
-    small_batches(docs.sparkSession)
     held = docs.select(whole_row(docs))  # one struct: no name of docs can clash with ours
     held = held.withColumns({"_fp": fingerprints(F.col("_doc.text")), "_row": F.monotonically_increasing_id()})
     held = written(held, "fingerprinted")

@@ -29,7 +29,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickforge.llm.common import small_batches
 
 MARK = "▁"
 #: Words whose counts a worker remembers.
@@ -139,5 +138,4 @@ def counts(text: Column, path: str | None = None) -> Column:
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens and n_words."""
-    small_batches(docs.sparkSession, 512)
     return docs.select("doc_id", counts(docs["text"], path).alias("_c")).select("doc_id", F.col("_c.n_tokens").alias("n_tokens"), F.col("_c.n_words").alias("n_words"))
