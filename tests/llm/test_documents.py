@@ -454,63 +454,101 @@ def test_mix_repeats_rows(edge):
 # --- language model
 
 
-def slow_model(texts, train):
+def slow_model(texts, train, order):
+    """(per document: n_tokens, n_known, N, base, score), P(word after context) and the unigram counts."""
+    pad = [ngrams.END] * (order - 1)
     words = lambda t: WORD.findall((t or "").encode().lower()) + [ngrams.END]
-    c, pairs = Counter(), Counter()
+    c = Counter()
+    a = {k: Counter() for k in range(1, order + 1)}
     for i in train:
         w = words(texts[i])
         c.update(w)
-        pairs.update(zip([ngrams.END, *w], w, strict=False))
+        line = [*pad, *w]
+        a[order].update(tuple(line[n : n + order]) for n in range(len(w)))
+    for k in range(order, 1, -1):
+        a[k - 1].update(g[1:] for g in a[k])
+    d = {k: ngrams.discounts(np.array([sum(v == n for v in a[k].values()) for n in (1, 2, 3, 4)])) for k in a}
+    after = {k: defaultdict(lambda: [0, 0, 0, 0]) for k in a}
+    for k in a:
+        for g, n in a[k].items():
+            sums = after[k][g[:-1]]
+            sums[0] += n
+            sums[min(n, 3)] += 1
     total, size = sum(c.values()), len(c)
-    before, after, kinds = Counter(), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (a, b), n in pairs.items():
-        before[b] += 1
-        after[a] += n
-        kinds[a][min(n, 3) - 1] += 1
-    counts = lambda x: np.array([sum(v == k for v in x) for k in (1, 2, 3, 4)])
-    d, low = ngrams.discounts(counts(pairs.values())), ngrams.discounts(counts(before.values()))
-    less = lambda n, d: max(0, n - (d[min(n, 3) - 1] if n else 0))
-    all_pairs = sum(before.values())
-    rest = sum(n - less(n, low) for n in before.values()) / all_pairs
-
-    def p(a, b):
-        lower = less(before[b], low) / all_pairs + rest / (size + 1)
-        if not after[a]:
+
+    def p(*gram):
+        """Of the last word after the others."""
+        k = len(gram)
+        if k == 0:
+            return 1 / (size + 1)
+        sums, lower = after[k].get(gram[:-1]), p(*gram[1:])
+        if sums is None:
             return lower
-        return less(pairs[a, b], d) / after[a] + sum(x * y for x, y in zip(d, kinds[a], strict=True)) / after[a] * lower
+        n = a[k][gram]
+        own = max(0, n - d[k][min(n, 3) - 1]) if n else 0
+        return own / sums[0] + sum(x * y for x, y in zip(d[k], sums[1:], strict=True)) / sums[0] * lower
 
     out = {}
     for i, t in texts.items():
         w = words(t)
         base = sum(math.log10((c[x] + 1) / (total + size + 1)) for x in w)
-        out[i] = (len(w), sum(c[x] > 0 for x in w), total, base, sum(math.log10(p(a, b)) for a, b in zip([ngrams.END, *w], w, strict=False)))
+        line = [*pad, *w]
+        out[i] = (len(w), sum(c[x] > 0 for x in w), total, base, sum(math.log10(p(*line[n : n + order])) for n in range(len(w))))
     return out, p, c
 
 
-def test_scores_equal_brute_force(documents):
-    got = ngrams.train_and_score(documents).collect()
-    texts = texts_of(documents)
+def check_scores(got, texts, order):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    want, p, c = slow_model(texts, [i for i in texts if not held[i]])
+    want, p, c = slow_model(texts, [i for i in texts if not held[i]], order)
+    assert len(got) == len(texts)
     for r in got:
         w = want[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], *w[:3])
-        assert r["base_score"] == pytest.approx(w[3]) and r["score"] == pytest.approx(w[4], rel=1e-6)
-    context = c.most_common(2)[1][0]
-    unknown = p(context, b"\x00never")
-    assert sum(p(context, x) for x in c) + unknown == pytest.approx(1)
+        assert r["base_score"] == pytest.approx(w[3]) and r["score"] == pytest.approx(w[4], rel=1e-9)
+    return p, c
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_brute_force(documents, order):
+    got = (ngrams.train_and_score(documents) if order == 3 else ngrams.train_and_score(documents, order)).collect()
+    p, c = check_scores(got, texts_of(documents), order)
+    context = [w for w, _ in c.most_common(order)[1:]]
+    assert sum(p(*context, x) for x in c) + p(*context, b"\x00never") == pytest.approx(1)
 
 
-def test_small_tables_and_flushes(documents, monkeypatch):
-    """Counts sent in many small parts give the same model."""
-    few = documents.limit(40).cache()
-    one = sorted(map(tuple, ngrams.train_and_score(few).collect()))
-    assert len(one) == 40 and all(math.isfinite(r[-1]) for r in one)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_small_parts_give_the_same_scores(spark, documents, order):
+    """Words sent in many parts, small pieces, cut texts, several shards, ranges and levels of sums."""
+    texts = texts_of(documents.filter("doc_id < 60"))
+    texts[1000] = " ".join(f"w{n % 37} x" for n in range(3000))
+    docs = docs_of(spark, []).select("doc_id", "text").unionAll(spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")).repartition(3)
+    small = ngrams.Sizes(piece=2000, long=3000, words=500, shard=900, range=64, fan=2, bucket=3)
+    check_scores(ngrams.train_and_score(docs, order, small).collect(), texts, order)
+
+
+def test_parts_of_a_long_text():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["a", "bb", "CC", "\u00e9"], k=n)) + rng.choice(["", " ", "\n"]) for n in (0, 1, 5, 100, 300, 2)]
+    for order in (1, 2, 3, 5):
+        found = defaultdict(list)
+        for s in ngrams.streams(pa.array([*texts, None]), order, ngrams.Sizes(long=50)):
+            grams = np.stack([s.ids[np.flatnonzero(s.scored) - k] for k in range(order - 1, -1, -1)], 1)
+            for row, g in zip(s.row.tolist(), grams.tolist(), strict=True):
+                found[row].append(tuple(s.words[i] for i in g))
+        for row, text in enumerate([*texts, ""]):
+            line = [ngrams.END] * (order - 1) + WORD.findall(text.encode().lower()) + [ngrams.END]
+            assert found[row] == [tuple(line[n : n + order]) for n in range(len(line) - order + 1)]
 
 
 def test_packed_numbers():
-    x = np.sort(np.random.default_rng(0).integers(0, 2**64, 1000, dtype=np.uint64))
-    assert (ngrams.unpacked(ngrams.packed(x)) == x).all() and len(ngrams.unpacked(ngrams.packed(x[:0]))) == 0
+    rng = np.random.default_rng(0)
+    columns = [np.sort(rng.integers(0, 2**32, 1000, dtype=np.uint32)), rng.integers(0, 2**32, 1000, dtype=np.uint32)]
+    values = [rng.integers(0, 600, 1000).astype(np.uint64), np.full(1000, 2**40, np.uint64)]
+    for n in (0, 1, 1000):
+        a, b = ngrams.unpacked(ngrams.packed([c[:n] for c in columns], [v[:n] for v in values]), 2, 2)
+        assert all((x == y[:n]).all() for x, y in zip([*a, *b], [*columns, *values], strict=True))
 
 
 def test_language_model_edges(spark, edge):
