@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from tickforge.llm import store
 from tickforge.llm.common import shared_path, written
 
-LEAF = 64
+LEAF = 128
+#: Queries that go their own way through a node's children.
+SPLIT = 256
 #: Vectors in a shard and queries in a block (about), shards that a task takes a block through, and how rounds grow.
 SHARD = 8192
 BLOCK = 1024
-RUN = 4
+RUN = 2
 GROWTH = 8
 FOUND = "dim int, block int, query long, query_id long, vec_id long, score long"
 LOWEST = -(2**63) + 1
@@ -97,17 +99,20 @@ class Shard:
         return cls(rows, ids, vectors.reshape(len(ids), dim), centers.reshape(len(radii), dim), radii, nodes.reshape(len(radii), 4))
 
 
-def _dot(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products: by doubles where they can hold them, else by integers."""
-    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, a.shape[1])
+def _dot(a: np.ndarray, b: np.ndarray, most: float) -> np.ndarray:
+    """Exact integer products, none beyond ``most``: by doubles where they can hold them, else by integers."""
     if most < 2**53:
-        return (a @ b.T).astype(np.int64)
+        return a @ b.T
     if most < 2**63:
         return a.astype(np.int64) @ b.T.astype(np.int64)
     whole = lambda x: np.array([[int(v) for v in r] for r in x.tolist()], object).reshape(x.shape)
     return (whole(a) @ whole(b).T).astype(np.int64)
 
 
+def _largest(x: np.ndarray) -> float:
+    return np.abs(x).max(initial=0)
+
+
 class Search:
     """The k best candidates of each query of a block that reach its floor (ties: smaller id), its own row left out."""
 
@@ -116,6 +121,7 @@ class Search:
         self.best = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
         self.who = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
         self.length = np.linalg.norm(queries, axis=1)
+        self.largest = _largest(queries)
 
     def _bound(self, shard: Shard, node: int, q: np.ndarray) -> np.ndarray:
         center, reach = shard.centers[node], self.length[q] * shard.radii[node]
@@ -124,6 +130,7 @@ class Search:
     def through(self, shard: Shard) -> None:
         if len(shard.nodes) and len(self.queries):
             root, everyone = len(shard.nodes) - 1, np.arange(len(self.queries))
+            self.most = self.largest * _largest(shard.vectors) * max(1, self.queries.shape[1])
             self._visit(shard, root, everyone, self._bound(shard, root, everyone))
 
     def _visit(self, shard: Shard, node: int, q: np.ndarray, upper: np.ndarray) -> None:
@@ -136,18 +143,23 @@ class Search:
                 self._leaf(shard, q, lo, min(b, lo + 4 * LEAF))
             return
         up_left, up_right = self._bound(shard, left, q), self._bound(shard, right, q)
+        ways = ((left, up_left), (right, up_right)), ((right, up_right), (left, up_left))
         first = up_left >= up_right
-        for mine, order in ((first, ((left, up_left), (right, up_right))), (~first, ((right, up_right), (left, up_left)))):
+        many = int(first.sum())
+        if min(many, len(q) - many) < SPLIT:  # few go with the others: the order costs them bounds, never results
+            groups = [(slice(None), ways[2 * many < len(q)])]
+        else:
+            groups = [(first, ways[0]), (~first, ways[1])]
+        for mine, order in groups:
             for child, up in order:
                 self._visit(shard, child, q[mine], up[mine])
 
     def _leaf(self, shard: Shard, q: np.ndarray, a: int, b: int) -> None:
         worst, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-        scores = _dot(self.queries[q], shard.vectors[a:b])
-        least = np.maximum(self.best[q, -1], self.floor[q])
-        out = (scores < least[:, None]) | (shard.rows[a:b][None, :] == self.rows[q][:, None])
+        scores = _dot(self.queries[q], shard.vectors[a:b], self.most)
+        out = (scores < np.maximum(self.best[q, -1], self.floor[q])[:, None]) | (shard.rows[a:b][None, :] == self.rows[q][:, None])
         some = np.flatnonzero(~out.all(1))
-        q, scores, out = q[some], scores[some], out[some]
+        q, scores, out = q[some], scores[some].astype(np.int64), out[some]
         if not len(q):
             return
         scores[out] = worst
