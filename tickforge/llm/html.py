@@ -16,8 +16,9 @@ Scale: pages are read once and never shuffled; a page is the unit of work and th
 few thousand numbers.
 
 Defined results: null and empty html, and html without content, give an empty text. Whole
-pages are parsed, unclosed and truncated markup included; repeated rows repeat; extra
-columns are not looked at.
+pages are parsed, unclosed and truncated markup included, in time that grows with their
+length: where ``UNFINISHED`` tags of a page never end, quotes hide no ``>`` from there on.
+Repeated rows repeat; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -66,6 +67,11 @@ ENDS = {
 }
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+#: The same without regard to quotes.
+_PLAIN_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>""", re.S)
+_TAG = re.compile("</?[a-zA-Z]")
+#: Tags with quotes that hide every ``>`` to the page's end, after which quotes hide none: each costs a look at all the rest.
+UNFINISHED = 8
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 _SENTENCE = re.compile(r"[.!?…。][\s\"'»”)]|[.!?…。]$")
@@ -96,8 +102,9 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack = [("html", 0, False, False)]  # tag, element, dropped, in a link
-        block, at, end = 0, 0, len(source)
-        unescape = entities.unescape
+        places: dict[str, list[int]] = {"html": [0]}  # of each tag's open elements in the stack
+        block, at, end, last, unfinished = 0, 0, len(source), source.rfind(">"), 0
+        token, unescape = _TOKEN, entities.unescape
 
         def text(upto: int) -> None:
             if at < upto:
@@ -106,20 +113,30 @@ class Page:
                     piece = source[at:upto]
                     self.runs.append((node, block, unescape(piece) if "&" in piece else piece, link))
 
+        def pop(i: int) -> None:
+            for open_tag, *_ in stack[i:]:
+                places[open_tag].pop()
+            del stack[i:]
+
         def close(wanted: set[str], stops: set[str]) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in wanted:
-                    del stack[i:]
-                    return
-                if stack[i][0] in stops:
-                    return
+            """Closes the innermost open element of ``wanted``, unless one of ``stops`` is open inside it."""
+            i = max([places[t][-1] for t in wanted if places.get(t)], default=0)
+            if i > 0 and i >= max([places[t][-1] for t in stops if places.get(t)], default=0):
+                pop(i)
 
         while at < end:
-            m = _TOKEN.search(source, at)
+            start = source.find("<", at)
+            m = None
+            # no tag ends beyond the last >, but a comment or declaration goes on to the page's end
+            while start >= 0 and (start > last and source[start + 1 : start + 2] not in ("!", "?") or (m := token.match(source, start)) is None):
+                if start < last and unfinished < UNFINISHED and _TAG.match(source, start):
+                    unfinished += 1
+                    token = _TOKEN if unfinished < UNFINISHED else _PLAIN_TOKEN
+                start = source.find("<", start + 1)
             if m is None:
                 text(end)
                 break
-            text(m.start())
+            text(start)
             at = m.end()
             if not m[2]:
                 continue
@@ -140,20 +157,21 @@ class Page:
                 continue
             if tag in VOID:
                 continue
-            if tag == "html" or tag == "body" and any(s[0] == "body" for s in stack):
+            if tag == "html" or tag == "body" and places.get("body"):
                 continue
             if tag in CLOSES_P:
                 close({"p"}, BOUNDARY)
             if tag in ENDS:
                 close(*ENDS[tag])
             if tag != "head" and stack[-1][0] == "head" and tag in BLOCK:
-                stack.pop()
+                pop(len(stack) - 1)
             _, parent, dropped, link = stack[-1]
             if tag in RAW:
                 closing = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
                 at = closing.end() if closing else end
                 continue
             node = parent if dropped else self._node(tag, m[3], parent, tag in BLOCK)
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, node, dropped or tag in DROPPED, link or tag == "a"))
 
 
