@@ -3,6 +3,8 @@
 import hashlib
 import os
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -72,6 +74,110 @@ def test_any_markup_parses(source):
     html.main_text(source, html.default_model())
 
 
+@pytest.mark.parametrize("unit", ["<div>", '<a href="x ', "<p>", "<b class=x>", "<a title='\"", "<ul><li>", "<table><tr><td>", "<button><span class=y>", "</div>", "<", "<a", "<!-"])
+@pytest.mark.parametrize("end", ["", '">'])
+def test_hostile_pages_take_linear_time(unit, end):
+    seconds = []
+    for size in (40_000, 320_000):
+        source = unit * (size // len(unit)) + end
+        began = time.process_time()
+        html.main_text(source, html.default_model())
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 20 * seconds[0] + 0.5 and seconds[1] < 6
+
+
+class Reader(HTMLParser):
+    """Plain text of blocks by where they stand, by another parser: inside article, or inside something around it."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.inside, self.outside, self.now = [], [], [], []
+
+    def flush(self):
+        text = " ".join("".join(self.now).split())
+        self.now = []
+        if text and "article" in self.open:
+            self.inside.append(text)
+        elif text and set(self.open) & {"nav", "header", "footer", "aside", "form", "script", "style", "title"}:
+            self.outside.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html.BLOCK or tag in html.RAW:
+            self.flush()
+        if tag not in html.VOID and tag not in ("p", "b", "li"):
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK or tag in html.RAW:
+            self.flush()
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        self.now.append(data)
+
+
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_pages_table(spark, folder):
+    """All pages of the table: blocks of articles are there, in order, and what stands around isn't."""
+    seen = missed = leaked = around = 0
+    source = {r["page_id"]: r["html"] or "" for r in table(spark, folder, "pages").collect()}
+    for r in queries.op1_html_extraction(spark, folder).collect():
+        reader = Reader()
+        reader.feed(source[r["page_id"]])
+        reader.flush()
+        lines = r["text"].split("\n")
+        inside = [x for x in reader.inside if x not in reader.outside]
+        seen += len(inside)
+        missed += sum(x not in lines for x in inside)
+        outside = [x for x in reader.outside if x not in reader.inside]
+        around += len(outside)
+        leaked += sum(x in lines for x in outside)
+        there = [lines.index(x) for x in dict.fromkeys(inside) if lines.count(x) == 1 and inside.count(x) == 1]
+        assert there == sorted(there)
+    assert seen > 200 and around > 100 and missed <= 0.01 * seen and leaked <= 0.01 * around
+
+
+WRITTEN = [
+    (
+        """<!doctype html><html lang=en><head><title>T</title><meta charset=utf-8></head><body class="home page">
+<div id="page"><header id="masthead" class="site-header"><div class="site-branding"><a href="/">The Daily Pot</a></div>
+<nav class="main-navigation"><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></nav></header>
+<div id="content" class="site-content"><main id="main"><article class="post-12 post hentry"><h1 class="entry-title">How to repair a pot</h1>
+<div class="entry-content"><p>A cracked pot need not be thrown away. With some patience it can be mended at home.</p>
+<h2>What you need</h2><ul><li>Glue for ceramics</li><li>A soft cloth</li></ul>
+<p>Clean the pot first.&nbsp;Let it dry for <em>two</em> days, then spread the glue thinly on both edges.</p>
+<blockquote><p>Never hurry a pot, my teacher used to say.</p></blockquote></div></article></main>
+<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2><ul><li><a href=/x>How to wash a pot</a></li></ul></section></aside></div>
+<footer id="colophon" class="site-footer"><p>&copy; 2020 The Daily Pot. All rights reserved.</p></footer></div></body></html>""",
+        "How to repair a pot\nA cracked pot need not be thrown away. With some patience it can be mended at home.\nWhat you need\nGlue for ceramics\nA soft cloth\n"
+        "Clean the pot first. Let it dry for two days, then spread the glue thinly on both edges.\nNever hurry a pot, my teacher used to say.",
+    ),
+    (
+        """<HTML><BODY><DIV CLASS=topnav><A HREF=1>News</A> <A HREF=2>Sport</A></DIV>
+<DIV CLASS="article-body"><H1>Rain expected on Friday</H1><P>Heavy rain will reach the coast on Friday morning, the weather office said.
+<P>Residents of low streets should move their cars. Schools stay open, as the water is expected to fall by noon.</DIV>
+<DIV CLASS="related"><H3>More</H3><UL><LI><A HREF=3>Wind on Thursday</A></UL></DIV>
+<DIV CLASS="comments"><DIV CLASS=comment><P>It always rains here.</P></DIV></DIV>
+<DIV CLASS=footer>Contact us</DIV></BODY></HTML>""",
+        "Rain expected on Friday\nHeavy rain will reach the coast on Friday morning, the weather office said.\n"
+        "Residents of low streets should move their cars. Schools stay open, as the water is expected to fall by noon.",
+    ),
+    (
+        """<body><div role="banner"><h2>Blog</h2></div><div class="cookie-banner">This site uses cookies. <button>OK</button></div>
+<main><h1>Three days on the river</h1><p>We left at dawn &mdash; the boat was small, and the river wide.</p><figure><img src=a.jpg><figcaption>Our boat at noon.</figcaption></figure>
+<table><tr><th>Day</th><td>Miles</td></tr><tr><th>One</th><td>12</td></tr></table><p>On the third day we came home, tired and content.</p></main>
+<form class="newsletter"><label>Your mail</label><input><button>Join</button></form><footer>Made by us</footer>""",
+        "Three days on the river\nWe left at dawn \u2014 the boat was small, and the river wide.\nOur boat at noon.\nDay\nMiles\nOne\n12\nOn the third day we came home, tired and content.",
+    ),
+]
+
+
+@pytest.mark.parametrize("source,text", WRITTEN)
+def test_pages_written_by_hand(source, text):
+    assert html.main_text(source, html.default_model()) == text
+
+
 def test_training_from_a_table(spark):
     model = html.train(spark.createDataFrame(html.labelled_pages(60), "html string, text string"))
     assert set(model.weights) and len(model.pair) == 3
@@ -186,10 +292,30 @@ def test_rules(spark, inline):
 def test_rarest_token(spark):
     df = spark.createDataFrame([(["org", "example"],), (["org"],)], "_tokens array<string>")
     rule = urlrules.host_rule("block", "example.org/es/")
-    assert rule.tokens == ("example", "org", "es") and urlrules.rarest(df, (rule,)) == ["es"]
+    assert rule.tokens == ("example", "org", "es") and urlrules.rarest(df, (rule,)) == (["es"], {"org": 2, "example": 1})
     assert urlrules.host_rule("block", "example.org/en/1").tokens == ("example", "org", "en")
 
 
+@pytest.mark.parametrize("inline", [urlrules.INLINE_RULES, 0])
+def test_rules_without_tokens_and_no_rules(spark, inline):
+    bare = urlrules.host_rule("block", "org")  # nothing delimits the token
+    assert bare.tokens == ()
+    got = verdicts(spark, URLS, rules=(bare, *urlrules.RULES), inline=inline)
+    assert got[3][2:] == ("org", "block") and got[2][2:] == ("org/", "allow") and got[0][2] == "example.org/es/" and got[9][2:] == (None, "allow")
+    assert [r[2:] for r in verdicts(spark, URLS, rules=(bare,), inline=inline)][:2] == [("org", "block")] * 2
+    assert {r[2:] for r in verdicts(spark, URLS, rules=(), inline=inline)} == {(None, "allow")}
+
+
+def test_hot_tokens_and_urls(spark, monkeypatch):
+    """Most rows hold one token, share one URL or have none; tokens are split over parts."""
+    monkeypatch.setattr(urlrules, "HOT", 3)
+    urls = URLS + ["http://a.com/de/x"] * 40 + [None] * 40 + [f"http://b{k}.com/fr/" for k in range(20)]
+    df = spark.createDataFrame([(k, u, "h", "c") for k, u in enumerate(urls)], "page_id long, url string, _host string, _row string")
+    joined = urlrules.judge(df, inline=0)
+    assert joined.columns == ["page_id", "url", "_host", "_row", "host", "path", "rule", "verdict"]
+    assert sorted(map(str, joined.collect())) == sorted(map(str, urlrules.judge(df).collect()))
+
+
 def test_no_urls(spark):
     assert urlrules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
