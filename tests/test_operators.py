@@ -350,6 +350,82 @@ def test_streaming(spark, tmp_path):
     assert got["Close"].tolist() == pytest.approx(want["Close"].tolist())
 
 
+def test_streaming_sorts_across_chunks(spark, tmp_path):
+    """More unordered rows of a ticker in a micro-batch than an Arrow chunk holds, then late ones."""
+    from tickforge.streaming import bars as streams
+
+    n = 25_000
+    at = F.timestamp_seconds(1_600_000_000 + 60 * F.col("id"))
+    rows = spark.range(n).select(F.lit("A").alias("ticker"), at.alias("Date"), (100 + 50 * F.sin(F.col("id") / 7.0) * F.pmod(F.col("id"), F.lit(3))).alias("Close"))
+    rows.orderBy(F.xxhash64("Date")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def run(name, made):
+        q = made.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        return spark.table(name).orderBy("Date").toPandas()
+
+    got = run("many", streams.stream_continuity(stream))
+    assert got["Close"].tolist() == pytest.approx(constraints.enforce_price_continuity(rows).orderBy("Date").toPandas()["Close"].tolist())
+    assert run("smooth", streams.stream_ema(stream, 0.1))["EMA"].tolist() == pytest.approx(rows.orderBy("Date").toPandas()["Close"].ewm(alpha=0.1, adjust=False).mean().tolist())
+    late = rows.filter("Date = timestamp_seconds(1600000600)").union(rows.select("ticker", (F.col("Date") + F.expr("INTERVAL 100 DAYS")).alias("Date"), "Close").limit(1))
+    late.write.mode("append").parquet(str(tmp_path / "in"))
+    again = run_again(spark, streams.stream_continuity(stream), "late", str(tmp_path / "many"))
+    assert again["Close"].isna().tolist() == [True, False]
+
+
+def run_again(spark, made, name, checkpoint):
+    """The next batch of a query that goes on from its checkpoint."""
+    out = []
+    q = made.writeStream.foreachBatch(lambda df, _: out.append(df.orderBy("Date").toPandas())).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    return out[-1]
+
+
+@pytest.mark.parametrize("parts", [2, 4, 256])
+def test_running_sums_and_percentiles(spark, parts):
+    from tickforge.operators import ordered
+
+    rng = np.random.default_rng(0)
+    made = [(k, float(x)) for k in "ab" for x in np.round(rng.normal(size=300), 1)] + [("c", 1.0), ("d", None)]
+    rows = spark.createDataFrame(made, "k string, x double").repartition(3)
+    counts = rows.dropna().groupBy("k", "x").agg(F.count("*").alias("n"))
+    got = {(r["k"], r["x"]): r["n_before"] for r in ordered.running(counts, ["k"], "x", ["n"], parts).collect()}
+    assert got == {(k, x): sum(1 for j, y in made if j == k and y is not None and y < x) for k, x in set(made) if x is not None}
+    found = {r["k"]: r["q"] for r in ordered.percentiles(rows, ["k"], "x", [0.0, 0.05, 0.5, 0.9, 1.0]).collect()}
+    assert set(found) == set("abc")
+    for k, q in found.items():
+        assert q == pytest.approx(np.percentile([x for j, x in made if j == k], [0, 5, 50, 90, 100]).tolist())
+    assert ordered.percentiles(rows.limit(0), [], "x", [0.5]).count() == 0
+
+
+def test_tail_split(spark):
+    made = [(w, t) for w in range(10) for t in "abc"]
+    rows = spark.createDataFrame(made, "window_id long, ticker string").repartition(4)
+    for ratio in (0.1, 0.2, 0.35, 0.9):
+        train, test = (sorted(map(tuple, x.collect())) for x in utility.tail_split(rows, ratio))
+        held = int(30 * ratio)
+        assert train == sorted(made)[: 30 - held] and test == sorted(made)[30 - held :]
+    with pytest.raises(ValueError):
+        utility.tail_split(rows, 0.01)
+
+
+def test_exact_ks_tail():
+    """All orders of two samples, counted."""
+    import itertools
+
+    from tickforge.functions import special
+
+    for n, m in ((3, 4), (5, 5), (1, 3), (6, 4)):
+        distances = []
+        for chosen in itertools.combinations(range(n + m), n):
+            i = np.cumsum([k in chosen for k in range(n + m)])
+            distances.append(np.abs(i / n - (np.arange(1, n + m + 1) - i) / m).max())
+        for d in {0.0, *distances}:
+            assert special.exact_ks_tail(d, n, m) == pytest.approx(np.mean(np.array(distances) >= d - 1e-9))
+    assert special.exact_ks_tail(0.03, 5000, 4000) == pytest.approx(special.kolmogorov_tail(0.03 * (5000 * 4000 / 9000) ** 0.5), abs=0.003)
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.dictionaries(st.text(max_size=3), st.integers()), st.dictionaries(st.text(max_size=3), st.integers()))
 def test_merge_prefers_the_right(a, b):

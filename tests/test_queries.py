@@ -5,7 +5,7 @@ import pytest
 from tests.compare import duck, rows
 from tickforge.plans import registry
 
-SLOW = {"a19_full_report", "n15_tstr"}
+SLOW = {"n15_tstr"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

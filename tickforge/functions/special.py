@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+
 NORMAL = NormalDist()
+#: Values of the larger sample up to which two-sample p-values are exact.
+EXACT = 10_000
 
 
 def kolmogorov_tail(x: float) -> float:
@@ -18,9 +22,41 @@ def kolmogorov_tail(x: float) -> float:
     return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 40)))
 
 
-def ks_p_value(d: float, n: int, m: int) -> float:
-    """Asymptotic two-sided p of a two-sample statistic."""
-    return kolmogorov_tail(d * math.sqrt(n * m / (n + m)))
+def exact_ks_tail(d: float, n: int, m: int) -> float:
+    """P(D >= d) for samples of n and m without ties.
+
+    Orders of both samples are lattice paths from (0, 0) to (n, m), all as likely. Those that
+    stay nearer than d to the diagonal are counted row by row: a row's counts are running sums
+    of the row before, inside the band.
+    """
+    g = math.gcd(n, m)
+    a, b = m // g, n // g
+    h = math.ceil(d * n * m / g - 1e-6)  # distances |i / n - j / m| are whole numbers of g / (n m)
+    if h <= 0:
+        return 1.0
+    row, scale = np.zeros(m + 1), 0.0
+    for i in range(n + 1):
+        low, high = max(0, (i * a - h) // b + 1), min(m, -((-i * a - h) // b) - 1)
+        if low > high:
+            return 1.0
+        inside = np.ones(high - low + 1) if i == 0 else np.cumsum(row[low : high + 1])
+        row = np.zeros(m + 1)
+        row[low : high + 1] = inside
+        most = inside[-1]
+        if most > 1e200:
+            row /= most
+            scale += math.log(most)
+    if row[m] <= 0:
+        return 1.0
+    every = math.lgamma(n + m + 1) - math.lgamma(n + 1) - math.lgamma(m + 1)
+    return min(1.0, max(0.0, -math.expm1(math.log(row[m]) + scale - every)))
+
+
+def ks_p_value(d: float | None, n: int, m: int) -> float | None:
+    """Two-sided p of a two-sample statistic: exact up to ``EXACT`` values, else asymptotic."""
+    if d is None or not n or not m:
+        return None
+    return exact_ks_tail(d, n, m) if max(n, m) <= EXACT else kolmogorov_tail(d * math.sqrt(n * m / (n + m)))
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:

@@ -15,7 +15,6 @@ batch. Rows with null values take no part; without rows weights stay and losses
 from __future__ import annotations
 
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import networks
 from tickforge.operators.gradients import Tensor, derivatives
+from tickforge.sources.shared import shared_folder
 
 #: Sums that reach the driver.
 SLICES = 8
@@ -188,10 +188,7 @@ STATE = "slice int, rows long, steps long, losses binary, state binary, count bi
 
 
 def _kept(rows: DataFrame) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))  # unset: tests in local mode
+    rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
 
 

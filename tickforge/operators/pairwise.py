@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.operators import ordered
+
 BLOCK = 2048
 
 
@@ -95,12 +97,12 @@ def closest_record(real: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def dcr_summary(dcr: DataFrame) -> DataFrame:
-    p = F.percentile("dcr", [0.05, 0.5])
-    return dcr.agg(F.avg("dcr").alias("mean_dcr"), F.min("dcr").alias("min_dcr"), p.alias("p")).select("mean_dcr", F.col("p")[1].alias("median_dcr"), "min_dcr", F.col("p")[0].alias("p5_dcr"))
+    q = ordered.percentiles(dcr, [], "dcr", [0.05, 0.5])
+    return dcr.agg(F.avg("dcr").alias("mean_dcr"), F.min("dcr").alias("min_dcr")).crossJoin(q).select("mean_dcr", F.col("q")[1].alias("median_dcr"), "min_dcr", F.col("q")[0].alias("p5_dcr"))
 
 
 def membership_risk(dcr: DataFrame, percentile: float = 5.0) -> DataFrame:
     """The summary, and the share of rows no farther than the percentile of their own distances."""
-    limit = dcr.agg(F.percentile("dcr", percentile / 100).alias("threshold"))
+    limit = ordered.percentiles(dcr, [], "dcr", [percentile / 100]).select(F.col("q")[0].alias("threshold"))  # one row
     risk = dcr.crossJoin(F.broadcast(limit)).agg(F.avg((F.col("dcr") <= F.col("threshold")).cast("double")).alias("membership_inference_risk"), F.first("threshold").alias("threshold"))
     return dcr_summary(dcr).crossJoin(risk)

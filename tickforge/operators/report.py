@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import pairwise, stats, utility, windows
 from tickforge.sources.files import save_report
+from tickforge.sources.shared import new_path
 
 
 def realism_score(report: dict) -> float | None:
@@ -25,6 +26,12 @@ def realism_score(report: dict) -> float | None:
     return sum(terms) / len(terms) if terms else None
 
 
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    path = new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def compute_all_metrics(
     real: DataFrame,
     synthetic: DataFrame,
@@ -35,41 +42,37 @@ def compute_all_metrics(
     run_tstr: bool = True,
     synthetic_uses_real_volume: bool = False,
 ) -> dict:
-    """Everything about windows (ticker, window_id, step, columns) of one series each.
+    """Everything about windows (ticker, window_id, step, columns), series one after the other in order of ticker.
 
-    Both inputs are cached once for all metrics. Columns are found by name. With
+    Both inputs are written once, for all metrics. Columns are found by name. With
     ``synthetic_uses_real_volume`` synthetic returns are paired with real volume and volatility
     by place, as far as both reach.
     """
-    real, synthetic = real.cache(), synthetic.cache()
-    try:
-        n, length, _ = windows.shape(real)
-        m, length2, _ = windows.shape(synthetic)
-        r, s = stats.long_series(real, columns, length), stats.long_series(synthetic, columns, length2)
-        report: dict = {"ks_tests": stats.ks_test(r, s)}
-        arrays = [windows.as_arrays(w, columns) for w in (real, synthetic)]
-        v = [windows.flat_vectors(a).select(F.col("window_id").alias("id"), "v") for a in arrays]
-        report["mmd"] = pairwise.mmd_rbf(*v)["mmd"]
-        report["acf"] = {x["feature"]: {k: x[k] for k in ("real_acf", "synthetic_acf", "mae")} for x in stats.acf_comparison(r, s).collect()}
-        cells = stats.cross_correlation(real, synthetic, columns).collect()
-        grid = lambda name: [[next(c[name] for c in cells if (c["i"], c["j"]) == (i, j)) for j in columns] for i in columns]
-        report["cross_correlation"] = {k: grid(k) for k in ("real_corr", "synthetic_corr", "diff")} | {"frobenius_norm": math.sqrt(sum((c["signed_diff"] or 0.0) ** 2 for c in cells))}
-        facts = lambda w, size: w.select((F.col("window_id") * size + F.col("step")).alias("idx"), F.col(returns).cast("double").alias("r"), F.col(volume).cast("double").alias("volume"), F.abs(F.col(returns).cast("double")).alias("vol"))
-        real_rows, synth_rows = facts(real, length), facts(synthetic, length2)
-        if synthetic_uses_real_volume:
-            synth_rows = synth_rows.select("idx", "r").join(real_rows.select("idx", "volume", "vol"), "idx")
-        report["stylized_facts_real"], report["stylized_facts_synthetic"] = stats.stylized_facts(real_rows), stats.stylized_facts(synth_rows)
-        report["privacy"] = {
-            "nndr": pairwise.nndr(*v).first().asDict(),
-            "membership_inference": pairwise.membership_risk(pairwise.closest_record(*v)).first().asDict(),
-        }
-        if run_tstr and n > 50 and m > 50:
-            at = columns.index(returns)
-            report["tstr"] = utility.tstr_benchmark(*[windows.classification(a, at) for a in arrays])
-        report["realism_score"] = realism_score(report)
-    finally:
-        real.unpersist()
-        synthetic.unpersist()
+    real, synthetic = (_stored(windows.number(w), f"report-{k}") for k, w in enumerate((real, synthetic)))
+    n, length, _ = windows.shape(real)
+    m, length2, _ = windows.shape(synthetic)
+    r, s = stats.long_series(real, columns, length), stats.long_series(synthetic, columns, length2)
+    report: dict = {"ks_tests": stats.ks_test(r, s)}
+    arrays = [windows.as_arrays(w, columns) for w in (real, synthetic)]
+    v = [windows.flat_vectors(a).select(F.col("window_id").alias("id"), "v") for a in arrays]
+    report["mmd"] = pairwise.mmd_rbf(*v)["mmd"]
+    report["acf"] = {x["feature"]: {k: x[k] for k in ("real_acf", "synthetic_acf", "mae")} for x in stats.acf_comparison(r, s).collect()}
+    cells = stats.cross_correlation(real, synthetic, columns).collect()
+    grid = lambda name: [[next(c[name] for c in cells if (c["i"], c["j"]) == (i, j)) for j in columns] for i in columns]
+    report["cross_correlation"] = {k: grid(k) for k in ("real_corr", "synthetic_corr", "diff")} | {"frobenius_norm": math.sqrt(sum((c["signed_diff"] or 0.0) ** 2 for c in cells))}
+    facts = lambda w, size: w.select((F.col("window_id") * size + F.col("step")).alias("idx"), F.col(returns).cast("double").alias("r"), F.col(volume).cast("double").alias("volume"), F.abs(F.col(returns).cast("double")).alias("vol"))
+    real_rows, synth_rows = facts(real, length), facts(synthetic, length2)
+    if synthetic_uses_real_volume:
+        synth_rows = synth_rows.select("idx", "r").join(real_rows.select("idx", "volume", "vol"), "idx")
+    report["stylized_facts_real"], report["stylized_facts_synthetic"] = stats.stylized_facts(real_rows), stats.stylized_facts(synth_rows)
+    report["privacy"] = {
+        "nndr": pairwise.nndr(*v).first().asDict(),
+        "membership_inference": pairwise.membership_risk(pairwise.closest_record(*v)).first().asDict(),
+    }
+    if run_tstr and n > 50 and m > 50:
+        at = columns.index(returns)
+        report["tstr"] = utility.tstr_benchmark(*[windows.classification(a, at) for a in arrays])
+    report["realism_score"] = realism_score(report)
     if output_dir:
         save_report(report, output_dir)
     return report

@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions import special
+from tickforge.operators import ordered
 
 #: Rows of a series in a block.
 BLOCK = 100_000
 
 
-def long_series(windows: DataFrame, columns: list[str], length: int) -> DataFrame:
-    """(feature, idx, x) of windows (window_id, step, columns), one window after the other."""
+def long_series(windows: DataFrame, columns: list[str], length: int, key: Column | None = None) -> DataFrame:
+    """(feature, idx, x) of windows (window_id, step, columns), one window after the other.
+
+    With a ``key``, as a ticker, features are named ``key:column``: a series for each.
+    """
     idx = F.col("window_id") * length + F.col("step")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
+    name = lambda c: F.lit(c) if key is None else F.concat(key, F.lit(f":{c}"))
+    pairs = F.explode(F.array(*[F.struct(name(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
     return windows.select(idx.alias("idx"), pairs.alias("p")).select("p.feature", "idx", "p.x")
 
 
@@ -57,20 +62,19 @@ def acf_comparison(real: DataFrame, synthetic: DataFrame, max_lag: int = 20) ->
 def ks_statistic(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """(feature, ks_statistic, n, m) of series (feature, x).
 
-    Equal values are counted before they are shuffled, so that ties meet and the running sums
-    go over distinct values.
+    Equal values are counted before they are shuffled, so that ties meet; running sums go over
+    parts of each feature's distinct values.
     """
     tagged = real.select("feature", "x", F.lit(1).alias("r")).unionAll(synthetic.select("feature", "x", F.lit(0).alias("r"))).filter("x IS NOT NULL")
     counts = tagged.groupBy("feature", "x").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("s"))
     sizes = counts.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("s").alias("m"))
-    upto = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.withColumns({"r": F.sum("r").over(upto), "s": F.sum("s").over(upto)})
+    run = ordered.running(counts, ["feature"], "x", ["r", "s"]).withColumns({"r": F.col("r") + F.col("r_before"), "s": F.col("s") + F.col("s_before")})
     gap = F.abs(F.try_divide(F.col("r"), F.col("n")) - F.try_divide(F.col("s"), F.col("m")))
-    return run.join(F.broadcast(sizes), "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
+    return run.join(sizes, "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
 
 
 def ks_test(real: DataFrame, synthetic: DataFrame) -> dict[str, dict[str, float]]:
-    """Statistic and asymptotic p per feature."""
+    """Statistic and p per feature: exact for samples up to special.EXACT values, else asymptotic."""
     return {r["feature"]: {"ks_statistic": r["ks_statistic"], "p_value": special.ks_p_value(r["ks_statistic"], r["n"], r["m"])} for r in ks_statistic(real, synthetic).collect()}
 
 
@@ -129,10 +133,9 @@ def leverage_effect(pairs: DataFrame, lags: int = 10) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds ranks from 1, ties averaged: running counts over distinct values, joined back."""
-    counts = rows.groupBy("feature", column).agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy("feature").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.select("feature", column, (before + (F.col("_c") + 1) / 2).alias(name)), ["feature", column])
+    """Adds ranks from 1, ties averaged: counts before distinct values, joined back. Rows without a value go."""
+    counts = ordered.counted(rows, ["feature"], column)
+    return rows.join(counts.select("feature", column, (F.col("n_before") + (F.col("n") + 1) / 2).alias(name)), ["feature", column])
 
 
 def volume_volatility(pairs: DataFrame) -> DataFrame:
@@ -143,20 +146,32 @@ def volume_volatility(pairs: DataFrame) -> DataFrame:
     return out.withColumn("has_vol_volume_corr", F.col("pearson") > 0.1)
 
 
+def stylized_table(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> DataFrame:
+    """All facts of series (feature, idx, r, volume, vol), a row each; p-values are left to ``stylized_facts``."""
+    series = rows.select("feature", "idx", F.col("r").alias("x"))
+    parts = [fat_tails(series), volatility_clustering(series, max_lag), leverage_effect(rows, lags), volume_volatility(rows)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, "feature", "left")
+    return out
+
+
+_FACTS = {
+    "fat_tails": ("kurtosis", "excess_kurtosis", "is_fat_tailed"),
+    "volatility_clustering": ("acf_abs_returns", "acf_sq_returns", "has_clustering"),
+    "leverage_effect": ("correlations", "mean_leverage_corr", "has_leverage_effect"),
+    "volume_volatility": ("pearson", "spearman", "has_vol_volume_corr"),
+}
+
+
 def stylized_facts(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> dict:
-    """All facts of one series (idx, r, volume, vol)."""
-    one = rows.withColumn("feature", F.lit("returns"))
-    series = one.select("feature", "idx", F.col("r").alias("x"))
-    first = lambda df: {k: v for k, v in (df.first() or {}).asDict().items() if k != "feature"}
-    volume = first(volume_volatility(one))
-    n = volume.pop("n")
-    volume |= {"pearson_p": special.correlation_p_value(volume["pearson"], n), "spearman_p": special.correlation_p_value(volume["spearman"], n)}
-    return {
-        "fat_tails": first(fat_tails(series)),
-        "volatility_clustering": first(volatility_clustering(series, max_lag)),
-        "leverage_effect": first(leverage_effect(one, lags)),
-        "volume_volatility": volume,
-    }
+    """All facts of one series (idx, r, volume, vol), with p-values of its correlations."""
+    found = stylized_table(rows.withColumn("feature", F.lit("returns")), max_lag, lags).first()
+    found = found.asDict() if found else {}
+    out = {k: {c: found.get(c) for c in columns} for k, columns in _FACTS.items()}
+    n = found.get("n") or 0
+    out["volume_volatility"] |= {f"{k}_p": special.correlation_p_value(found.get(k), n) for k in ("pearson", "spearman")}
+    return out
 
 
 def histogram(series: DataFrame, bins: int = 50) -> DataFrame:
@@ -176,8 +191,8 @@ def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max) with exact, interpolated quartiles."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
     long = rows.select(pairs.alias("p")).select("p.*")
-    q = F.percentile("x", [0.25, 0.5, 0.75])
-    out = long.groupBy("feature").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
+    out = long.groupBy("feature").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = out.join(ordered.percentiles(long, ["feature"], "x", [0.25, 0.5, 0.75]), "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.operators import ordered
+
 
 def classification_metrics(rows: DataFrame) -> DataFrame:
     """(accuracy, f1, roc_auc) of rows (y, prediction, score).
@@ -19,8 +21,8 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
     y, p = F.col("y") == 1, F.col("prediction") == 1
     hits = rows.agg(total(y & p).alias("tp"), total(p).alias("pp"), total(y).alias("pos"), F.count("*").alias("n"), F.avg((F.col("y") == F.col("prediction")).cast("double")).alias("accuracy"))
     scores = rows.groupBy("score").agg(total(y).alias("pos"), F.count("*").alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = scores.withColumn("rank", before + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
+    ranked = ordered.running(scores, [], "score", ["c"])
+    ranks = ranked.withColumn("rank", F.col("c_before") + (F.col("c") + 1) / 2).agg(F.sum(F.col("rank") * F.col("pos")).alias("ranks"))
     pos, neg = F.col("pos"), F.col("n") - F.col("pos")
     auc = F.coalesce(F.try_divide(F.col("ranks") - pos * (pos + 1) / 2, pos * neg), F.lit(0.5))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("pp") + pos), F.lit(0.0))
@@ -53,16 +55,32 @@ def _fitted_metrics(train: DataFrame, test: DataFrame) -> dict[str, float]:
     return found
 
 
+def tail_split(rows: DataFrame, test_ratio: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(first rows, last rows) in order of window_id, then ticker: about ``test_ratio`` of them last.
+
+    The cut is found by counting, not by a sort of the rows. Rows of one window_id and ticker stay together, in front.
+    """
+    keys = [c for c in ("window_id", "ticker") if c in rows.columns]
+    per_id = rows.groupBy("window_id").agg(F.count("*").alias("n"))
+    n = per_id.agg(F.sum("n")).first()[0] or 0
+    first = n - int(n * test_ratio)
+    if first == n:
+        raise ValueError("too few windows to hold any out")
+    placed = ordered.running(per_id, [], "window_id", ["n"]).filter(F.col("n_before") < first).orderBy(F.col("window_id").desc()).first()
+    before, at = F.col("window_id") < placed["window_id"], F.col("window_id") == placed["window_id"]
+    if len(keys) == 2:
+        own = rows.filter(at).groupBy("ticker").agg(F.count("*").alias("n"))  # one row a ticker of one window_id
+        upto = F.sum("n").over(Window.orderBy("ticker"))
+        last = own.withColumn("_upto", upto).filter(F.col("_upto") - F.col("n") < first - placed["n_before"]).agg(F.max("ticker")).first()[0]
+        at = at & (F.col("ticker") <= last)
+    return rows.filter(before | at), rows.filter(~(before | at))
+
+
 def tstr_benchmark(real: DataFrame, synthetic: DataFrame, test_ratio: float = 0.2) -> dict[str, dict[str, float]]:
     """Models trained on real and on synthetic rows (window_id, x, y), both tested on the last real ones.
 
     With a ticker, windows of one number are put in its order.
     """
-    order = real.withColumn("_r", F.row_number().over(Window.orderBy(*[c for c in ("window_id", "ticker") if c in real.columns])))
-    n = order.count()
-    held = int(n * test_ratio)
-    if not held:
-        raise ValueError("too few windows to hold any out")
-    test, train = order.filter(F.col("_r") > n - held), order.filter(F.col("_r") <= n - held)
+    train, test = tail_split(real, test_ratio)
     trtr, tstr = _fitted_metrics(train, test), _fitted_metrics(synthetic, test)
     return {"trtr": trtr, "tstr": tstr, "gap": {k: trtr[k] - tstr[k] for k in trtr}}

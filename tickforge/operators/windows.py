@@ -135,16 +135,23 @@ def union_all(parts: dict[str, DataFrame]) -> DataFrame:
     for ticker, f in frames:
         if [c for c in f.columns if c != "ticker"] != names:
             raise ValueError(f"{ticker} has other features")
-    lengths = {f.agg(F.max("step")).first()[0] for _, f in frames}
-    if len(lengths) > 1:
-        raise ValueError("windows of different lengths")
     every = reduce(DataFrame.unionByName, [f.withColumns({"ticker": F.lit(t), "_part": F.lit(k)}) for k, (t, f) in enumerate(frames)])
+    lengths = every.groupBy("_part").agg(F.max("step").alias("n")).agg(F.count_distinct("n")).first()[0]
+    if lengths > 1:
+        raise ValueError("windows of different lengths")
     # prefix sums over the parts, not a sort of all rows
     sizes = every.groupBy("_part").agg((F.max("window_id") + 1).alias("_size"))
     start = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return every.join(F.broadcast(sizes.select("_part", start.alias("_start"))), "_part").withColumn("idx", F.col("_start") + F.col("window_id")).drop("_part", "_start")
 
 
+def number(windows: DataFrame) -> DataFrame:
+    """Windows of all series under one running window_id, series in order of ticker; no series is scanned by itself."""
+    sizes = windows.groupBy("ticker").agg((F.max("window_id") + 1).alias("_size"))  # one row a ticker
+    start = F.coalesce(F.sum("_size").over(Window.orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return windows.join(sizes.select("ticker", start.alias("_start")), "ticker").withColumn("window_id", F.col("_start") + F.col("window_id")).select(*windows.columns)
+
+
 def shape(windows: DataFrame) -> tuple[int, int, int]:
     """(windows, length, features)."""
     n, steps = windows.agg(F.count_distinct("ticker", "window_id"), F.max("step")).first()

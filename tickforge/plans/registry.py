@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +16,14 @@ from tickforge.functions import losses
 from tickforge.operators import constraints, generative, pairwise, report, stats, training, utility, windows
 from tickforge.operators import features as feats
 from tickforge.sources import bars as sources
+from tickforge.sources import files
+from tickforge.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
 
-REAL, SYNTHETIC, LENGTH = "AF", "RO", 30
+LENGTH = 30
 COLUMNS = ["Open", "High", "Low", "Close", "Volume", "LogReturn"]
 
 
@@ -65,8 +69,12 @@ win AS (
 WINDOWS = f"{RETURNS},\n{_windows_sql('ret', COLUMNS)}"
 
 
+_REAL = "(substr(ticker, 2, 1) = 'F')"
+
+
 def _series_sql(columns: list[str]) -> str:
-    each = " UNION ALL ".join(f"SELECT ticker, '{c}' AS feature, window_id * {LENGTH} + step AS idx, {c}::DOUBLE AS x FROM win WHERE ticker IN ('{REAL}', '{SYNTHETIC}')" for c in columns)
+    """Series of every ticker; feature is flag:column, real those of line status F."""
+    each = " UNION ALL ".join(f"SELECT ticker, {_REAL} AS real, substr(ticker, 1, 1) || ':{c}' AS feature, window_id * {LENGTH} + step AS idx, {c}::DOUBLE AS x FROM win" for c in columns)
     return f"{WINDOWS},\nseries AS ({each})"
 
 
@@ -90,19 +98,24 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.lineitem_bars(spark, sf_dir)
 
 
-def _window_sets(spark: SparkSession, sf_dir: str, columns: list[str] = COLUMNS) -> tuple[DataFrame, DataFrame]:
-    every = windows.create_windows(feats.log_returns(_bars(spark, sf_dir)), LENGTH, columns)
-    return every.filter(F.col("ticker") == REAL), every.filter(F.col("ticker") == SYNTHETIC)
+def _windows(spark: SparkSession, sf_dir: str, stride: int = 1) -> DataFrame:
+    return windows.create_windows(feats.log_returns(_bars(spark, sf_dir)), LENGTH, COLUMNS, stride)
 
 
-def _status_sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _status_sets(spark: SparkSession, sf_dir: str, stride: int = 1) -> tuple[DataFrame, DataFrame]:
     """Windows of all tickers: real ones of line status F, synthetic ones of O."""
-    every, status = windows.create_windows(feats.log_returns(_bars(spark, sf_dir)), LENGTH, COLUMNS), F.substring("ticker", 2, 1)
+    every, status = _windows(spark, sf_dir, stride), F.substring("ticker", 2, 1)
     return every.filter(status == "F"), every.filter(status == "O")
 
 
 def _series(spark: SparkSession, sf_dir: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    return tuple(stats.long_series(w, columns, LENGTH) for w in _window_sets(spark, sf_dir))  # type: ignore[return-value]
+    """Real and synthetic series of all tickers, paired by return flag: features are flag:column."""
+    return tuple(stats.long_series(w, columns, LENGTH, F.substring("ticker", 1, 1)) for w in _status_sets(spark, sf_dir))  # type: ignore[return-value]
+
+
+def _own_series(spark: SparkSession, sf_dir: str, columns: list[str]) -> DataFrame:
+    """Series of every ticker by itself: features are ticker:column."""
+    return stats.long_series(_windows(spark, sf_dir), columns, LENGTH, F.col("ticker"))
 
 
 # --- sources
@@ -121,6 +134,83 @@ def d1_event_bars(spark, sf_dir):
     return sources.event_bars(spark, sf_dir, "hour").select("ticker", F.date_format("Date", "yyyy-MM-dd HH").alias("hour"), *sources.OHLCV)
 
 
+_BARS_SQL = f"WITH {BARS} SELECT ticker, {DAY}, Open, High, Low, Close, Volume FROM bars"
+
+
+def _ingested(spark, sf_dir, file_format: str) -> DataFrame:
+    """All tickers' bars fetched one by one, written to a store and loaded again."""
+    bars, folder = _bars(spark, sf_dir), new_path(spark, "store")
+    tickers = [r[0] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]  # one row a ticker
+    found = files.ingest(spark, [*tickers, "none"], lambda session, t: bars.filter(F.col("ticker") == t), folder, file_format=file_format)
+    one = files.load_bars(spark, tickers[0], folder, file_format=file_format)
+    return _day(one.unionByName(found.filter(F.col("ticker") != tickers[0])), *sources.OHLCV)
+
+
+@query(_BARS_SQL)
+def s1_s2_s4_parquet_store(spark, sf_dir):
+    return _ingested(spark, sf_dir, "parquet")
+
+
+@query(_BARS_SQL)
+def s3_csv_store(spark, sf_dir):
+    return _ingested(spark, sf_dir, "csv")
+
+
+@query(_BARS_SQL)
+def s5_load_by_suffix(spark, sf_dir):
+    path = new_path(spark, "bars") + ".parquet"
+    _bars(spark, sf_dir).write.parquet(path)
+    return _day(files.load_table(spark, path), *sources.OHLCV)
+
+
+@query(f"WITH {RETURNS}, {_windows_sql('ret', ['Close', 'Volume'], LENGTH, LENGTH)} SELECT window_id, step, Close AS f0, Volume AS f1 FROM win WHERE ticker = 'NO'")
+def s7_npy_round_trip(spark, sf_dir):
+    """One series' windows as the array file that the driver holds."""
+    path = new_path(spark, "windows") + ".npy"
+    files.save_array(_windows(spark, sf_dir, LENGTH).filter(F.col("ticker") == "NO"), path, ["Close", "Volume"])
+    return files.load_table(spark, path)
+
+
+@query(f"WITH {BARS} SELECT ticker, count(*) AS rows, round(avg(Close), 6) AS close FROM bars GROUP BY 1")
+def s8_json_report(spark, sf_dir):
+    made = _bars(spark, sf_dir).groupBy("ticker").agg(F.count("*").alias("rows"), F.round(F.avg("Close"), 6).alias("close")).collect()  # one row a ticker
+    path = files.save_report({"tickers": [r.asDict() for r in made]}, new_path(spark, "report"))
+    read = spark.read.schema("tickers array<struct<ticker string, rows long, close double>>").json(path, multiLine=True)
+    return read.select(F.explode("tickers").alias("t")).select("t.*")
+
+
+@query("SELECT k, round(avg(x), 6) AS mean FROM (SELECT unnest(range(1, 65)) - 1 AS k, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY k")
+def s9_checkpoint_round_trip(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.posexplode("embedding").alias("k", "x")).groupBy("k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    path = new_path(spark, "state") + ".npz"
+    files.save_checkpoint(path, {"means": np.array([r["m"] for r in rows.orderBy("k").collect()])}, 3, {"loss": 0.5})  # one row a dimension
+    state, meta = files.load_checkpoint(path)
+    assert meta == {"epoch": 3, "metrics": {"loss": 0.5}}
+    return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(state["means"])], "k long, mean double")
+
+
+@query("SELECT extract(day FROM ts)::INT AS epoch, event_type AS metric, round(avg(value), 6) AS value FROM events GROUP BY ALL")
+def s10_scalar_log(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.dayofmonth("ts").alias("epoch")).pivot("event_type").agg(F.avg("value"))
+    path = new_path(spark, "log")
+    for r in rows.orderBy("epoch").collect():  # one row a day of the month
+        values = r.asDict()
+        files.log_metrics(spark, path, values.pop("epoch"), {k: v for k, v in values.items() if v is not None})
+    return spark.read.parquet(path).select("epoch", "metric", *_rounded("value"))
+
+
+@query("SELECT unnest(['data.tickers', 'data.window', 'model.rate', 'model.layers.hidden', 'model.layers.depth']) AS name, unnest(['AF,RO', '30', '0.01', '24', '3']) AS value")
+def s12_j11_merged_config(spark, sf_dir):
+    paths = [new_path(spark, "config") + ".yaml" for _ in range(2)]
+    for path, text in zip(paths, ("data: {tickers: 'AF', window: 30}\nmodel: {rate: 0.1, layers: {hidden: 24, depth: 2}}", "data: {tickers: 'AF,RO'}\nmodel: {rate: 0.01, layers: {depth: 3}}"), strict=True):
+        files.write_bytes(path, text.encode())
+
+    def flat(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
+        return [x for k, v in tree.items() for x in (flat(v, f"{prefix}{k}.") if isinstance(v, dict) else [(f"{prefix}{k}", str(v))])]
+
+    return spark.createDataFrame(flat(files.load_and_merge(*paths)), "name string, value string")
+
+
 # --- projections and repairs
 
 
@@ -315,9 +405,7 @@ SELECT ticker, step, min(s + window_id)::BIGINT AS first, max(s + window_id)::BI
 )
 def u1_union_of_tickers(spark, sf_dir):
     every = windows.create_windows(feats.log_returns(_bars(spark, sf_dir)), LENGTH, ["Close"])
-    tickers = [r[0] for r in every.select("ticker").distinct().orderBy("ticker").collect()]  # one row a ticker
-    both = windows.union_all({t: every.filter(F.col("ticker") == t) for t in tickers})
-    return both.groupBy("ticker", "step").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    return windows.number(every).groupBy("ticker", "step").agg(F.min("window_id").alias("first"), F.max("window_id").alias("last"))
 
 
 # --- scaling, tests, stylised facts
@@ -335,7 +423,7 @@ def a2_zscore(spark, sf_dir):
 
 @query(
     f"""WITH {_series_sql(['Close', 'LogReturn'])},
-c AS (SELECT feature, x, count(*) FILTER (ticker = '{REAL}') AS r, count(*) FILTER (ticker = '{SYNTHETIC}') AS s FROM series GROUP BY ALL),
+c AS (SELECT feature, x, count(*) FILTER (real) AS r, count(*) FILTER (NOT real) AS s FROM series GROUP BY ALL),
 f AS (SELECT feature, sum(r) OVER w / sum(r) OVER p AS fr, sum(s) OVER w / sum(s) OVER p AS fs, sum(r) OVER p AS n, sum(s) OVER p AS m FROM c
   WINDOW w AS (PARTITION BY feature ORDER BY x), p AS (PARTITION BY feature))
 SELECT feature, round(max(abs(fr - fs)), 9) AS ks_statistic, max(n)::BIGINT AS n, max(m)::BIGINT AS m FROM f GROUP BY 1"""
@@ -344,6 +432,35 @@ def a4_ks_test(spark, sf_dir):
     return stats.ks_statistic(*_series(spark, sf_dir, ["Close", "LogReturn"])).select("feature", *_rounded("ks_statistic", digits=9), "n", "m")
 
 
+#: Suppliers' balances by region, even keys against odd ones, and the exact p of each region's statistic: lattice paths
+#: within the band, counted row by row.
+EXACT_KS = """bal AS (SELECT r_name AS feature, s_acctbal AS x, s_suppkey % 2 = 0 AS real FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT feature, x, count(*) FILTER (real) AS r, count(*) FILTER (NOT real) AS s FROM bal GROUP BY ALL),
+f AS (SELECT feature, sum(r) OVER w / sum(r) OVER p AS fr, sum(s) OVER w / sum(s) OVER p AS fs, sum(r) OVER p AS n, sum(s) OVER p AS m FROM c
+  WINDOW w AS (PARTITION BY feature ORDER BY x), p AS (PARTITION BY feature)),
+d AS (SELECT feature, max(abs(fr - fs)) AS d, max(n)::INT AS n, max(m)::INT AS m FROM f GROUP BY 1 HAVING max(n) > 0 AND max(m) > 0),
+band AS (SELECT *, ceil(d * n * m - 1e-6) AS h FROM d),
+paths AS (
+  SELECT feature, n, m, h, 0 AS i, list_transform(range(0, m + 1), lambda j: CASE WHEN j * n < h THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS cells FROM band
+  UNION ALL
+  SELECT feature, n, m, h, i + 1, list_transform(range(0, m + 1), lambda j: CASE WHEN abs((i + 1) * m - j * n) < h THEN list_sum(list_transform(range(0, j + 1), lambda k: CASE WHEN abs((i + 1) * m - k * n) < h THEN cells[k + 1] ELSE 0.0::DOUBLE END)) ELSE 0.0::DOUBLE END)
+  FROM paths WHERE i < n),
+p AS (SELECT d.feature, d.d, d.n, d.m, 1 - cells[d.m + 1] / exp(lgamma(d.n + d.m + 1) - lgamma(d.n + 1) - lgamma(d.m + 1)) AS p FROM paths JOIN d USING (feature) WHERE i = d.n)"""
+
+
+def _balances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rows = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = rows.select(F.col("r_name").alias("feature"), F.col("s_acctbal").cast("double").alias("x"), (F.col("s_suppkey") % 2 == 0).alias("real"))
+    return rows.filter("real"), rows.filter("NOT real")
+
+
+@query(f"WITH RECURSIVE {EXACT_KS} SELECT feature, round(d, 9) AS ks_statistic, round(p, 6) AS p_value FROM p")
+def a4_exact_ks(spark, sf_dir):
+    found = {k: v for k, v in stats.ks_test(*_balances(spark, sf_dir)).items() if v["p_value"] is not None}
+    return spark.createDataFrame([(k, round(v["ks_statistic"], 9), round(v["p_value"], 6)) for k, v in found.items()], "feature string, ks_statistic double, p_value double")
+
+
 _KERNEL = "avg(exp(-list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 2))"
 
 
@@ -368,7 +485,7 @@ acf AS (SELECT ticker, feature, 0 AS lag, 1.0::DOUBLE AS acf FROM base UNION ALL
 @query(
     f"""WITH {_series_sql(['Close', 'LogReturn'])}, {_acf_query(20)}
 SELECT r.feature, r.lag::INT AS lag, round(r.acf, 6) AS real_acf, round(s.acf, 6) AS synthetic_acf FROM acf r JOIN acf s ON r.feature = s.feature AND r.lag = s.lag
-WHERE r.ticker = '{REAL}' AND s.ticker = '{SYNTHETIC}'"""
+WHERE substr(r.ticker, 2, 1) = 'F' AND substr(s.ticker, 2, 1) = 'O'"""
 )
 def a6_acf(spark, sf_dir):
     r, s = (stats.acf(x) for x in _series(spark, sf_dir, ["Close", "LogReturn"]))
@@ -379,7 +496,7 @@ def a6_acf(spark, sf_dir):
 @query(
     f"""WITH {_series_sql(['Close', 'LogReturn'])}, {_acf_query(20)}
 SELECT r.feature, round(avg(abs(r.acf - s.acf)), 6) AS mae, count(*) AS lags FROM acf r JOIN acf s ON r.feature = s.feature AND r.lag = s.lag
-WHERE r.ticker = '{REAL}' AND s.ticker = '{SYNTHETIC}' GROUP BY 1"""
+WHERE substr(r.ticker, 2, 1) = 'F' AND substr(s.ticker, 2, 1) = 'O' GROUP BY 1"""
 )
 def a7_acf_comparison(spark, sf_dir):
     return stats.acf_comparison(*_series(spark, sf_dir, ["Close", "LogReturn"])).select("feature", *_rounded("mae"), F.size("real_acf").cast("long").alias("lags"))
@@ -387,55 +504,53 @@ def a7_acf_comparison(spark, sf_dir):
 
 def _corr_sql() -> str:
     cell = " UNION ALL ".join(
-        f"SELECT '{i}' AS i, '{j}' AS j, corr({i}::DOUBLE, {j}::DOUBLE) FILTER (ticker = '{REAL}') AS r, corr({i}::DOUBLE, {j}::DOUBLE) FILTER (ticker = '{SYNTHETIC}') AS s FROM win" for i in COLUMNS for j in COLUMNS
+        f"SELECT '{i}' AS i, '{j}' AS j, corr({i}::DOUBLE, {j}::DOUBLE) FILTER ({_REAL}) AS r, corr({i}::DOUBLE, {j}::DOUBLE) FILTER (NOT {_REAL}) AS s FROM win" for i in COLUMNS for j in COLUMNS
     )
     return f"{WINDOWS}, cells AS ({cell})"
 
 
 @query(f"WITH {_corr_sql()} SELECT i, j, round(r, 6) AS real_corr, round(s, 6) AS synthetic_corr, round(r - s, 6) AS signed_diff, round(abs(r - s), 6) AS diff FROM cells")
 def a8_cross_correlation(spark, sf_dir):
-    cells = stats.cross_correlation(*_window_sets(spark, sf_dir), COLUMNS)
+    cells = stats.cross_correlation(*_status_sets(spark, sf_dir), COLUMNS)
     return cells.select("i", "j", *[(F.round(c, 6) + 0.0).alias(c) for c in ("real_corr", "synthetic_corr", "signed_diff", "diff")])
 
 
 @query(f"WITH {_corr_sql()} SELECT round(sqrt(sum((r - s) * (r - s))), 6) AS frobenius_norm FROM cells")
 def a8_frobenius(spark, sf_dir):
-    return stats.frobenius(stats.cross_correlation(*_window_sets(spark, sf_dir), COLUMNS)).select(*_rounded("frobenius_norm"))
+    return stats.frobenius(stats.cross_correlation(*_status_sets(spark, sf_dir), COLUMNS)).select(*_rounded("frobenius_norm"))
 
 
-@query(f"WITH {_series_sql(COLUMNS)} SELECT feature, round(kurtosis_pop(x) + 3, 5) AS kurtosis, round(kurtosis_pop(x), 5) AS excess_kurtosis, kurtosis_pop(x) > 1.0 AS is_fat_tailed FROM series WHERE ticker = '{REAL}' GROUP BY 1")
+@query(f"WITH {_series_sql(COLUMNS)} SELECT ticker || substr(feature, 2) AS feature, round(kurtosis_pop(x) + 3, 5) AS kurtosis, round(kurtosis_pop(x), 5) AS excess_kurtosis, kurtosis_pop(x) > 1.0 AS is_fat_tailed FROM series GROUP BY 1")
 def a9_fat_tails(spark, sf_dir):
-    return stats.fat_tails(_series(spark, sf_dir, COLUMNS)[0]).select("feature", *_rounded("kurtosis", "excess_kurtosis", digits=5), "is_fat_tailed")
+    return stats.fat_tails(_own_series(spark, sf_dir, COLUMNS)).select("feature", *_rounded("kurtosis", "excess_kurtosis", digits=5), "is_fat_tailed")
 
 
 @query(
-    f"""WITH {_series_sql(['LogReturn'])}, kinds AS (SELECT ticker, 'abs' AS feature, idx, abs(x) AS x FROM series WHERE ticker = '{REAL}' UNION ALL SELECT ticker, 'sq', idx, x * x FROM series WHERE ticker = '{REAL}'),
+    f"""WITH {_series_sql(['LogReturn'])}, kinds AS (SELECT ticker, 'abs' AS feature, idx, abs(x) AS x FROM series UNION ALL SELECT ticker, 'sq', idx, x * x FROM series),
 {_acf_query(20, 'kinds')},
-m AS (SELECT avg(abs(acf)) FILTER (feature = 'abs') AS a, avg(abs(acf)) FILTER (feature = 'sq') AS s FROM acf WHERE lag > 0)
-SELECT 'LogReturn' AS feature, round(a, 6) AS acf_abs_returns, round(s, 6) AS acf_sq_returns, a > 0.05 AS has_clustering FROM m"""
+m AS (SELECT ticker, avg(abs(acf)) FILTER (feature = 'abs') AS a, avg(abs(acf)) FILTER (feature = 'sq') AS s FROM acf WHERE lag > 0 GROUP BY 1)
+SELECT ticker || ':LogReturn' AS feature, round(a, 6) AS acf_abs_returns, round(s, 6) AS acf_sq_returns, a > 0.05 AS has_clustering FROM m"""
 )
 def a10_volatility_clustering(spark, sf_dir):
-    return stats.volatility_clustering(_series(spark, sf_dir, ["LogReturn"])[0]).select("feature", *_rounded("acf_abs_returns", "acf_sq_returns"), "has_clustering")
+    return stats.volatility_clustering(_own_series(spark, sf_dir, ["LogReturn"])).select("feature", *_rounded("acf_abs_returns", "acf_sq_returns"), "has_clustering")
 
 
 @query(
-    f"""WITH {_series_sql(['LogReturn'])}, r AS (SELECT idx, x FROM series WHERE ticker = '{REAL}'),
-c AS (SELECT unnest([{", ".join(f"corr(x, l{k})" for k in range(1, 11))}]) AS c FROM (SELECT x, {", ".join(f"lead(abs(x), {k}) OVER (ORDER BY idx) AS l{k}" for k in range(1, 11))} FROM r))
-SELECT 'LogReturn' AS feature, round(avg(c), 6) AS mean_leverage_corr, avg(c) < -0.05 AS has_leverage_effect FROM c"""
+    f"""WITH {_series_sql(['LogReturn'])}, c AS (SELECT ticker, unnest([{", ".join(f"corr(x, l{k})" for k in range(1, 11))}]) AS c FROM (SELECT ticker, x, {", ".join(f"lead(abs(x), {k}) OVER (PARTITION BY ticker ORDER BY idx) AS l{k}" for k in range(1, 11))} FROM series) GROUP BY ticker)
+SELECT ticker || ':LogReturn' AS feature, round(avg(c), 6) AS mean_leverage_corr, avg(c) < -0.05 AS has_leverage_effect FROM c GROUP BY 1"""
 )
 def a11_leverage_effect(spark, sf_dir):
-    rows = _series(spark, sf_dir, ["LogReturn"])[0].select("feature", "idx", F.col("x").alias("r"), F.abs("x").alias("vol"))
+    rows = _own_series(spark, sf_dir, ["LogReturn"]).select("feature", "idx", F.col("x").alias("r"), F.abs("x").alias("vol"))
     return stats.leverage_effect(rows).select("feature", *_rounded("mean_leverage_corr"), "has_leverage_effect")
 
 
 @query(
-    f"""WITH {WINDOWS}, p AS (SELECT Volume::DOUBLE AS a, abs(LogReturn::DOUBLE) AS b FROM win WHERE ticker = '{REAL}'),
-r AS (SELECT *, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM p)
-SELECT 'returns' AS feature, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, count(*) AS n, corr(a, b) > 0.1 AS has_vol_volume_corr FROM r"""
+    f"""WITH {WINDOWS}, p AS (SELECT ticker, Volume::DOUBLE AS a, abs(LogReturn::DOUBLE) AS b FROM win),
+r AS (SELECT *, rank() OVER (PARTITION BY ticker ORDER BY a) + (count(*) OVER (PARTITION BY ticker, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY ticker ORDER BY b) + (count(*) OVER (PARTITION BY ticker, b) - 1) / 2 AS rb FROM p)
+SELECT ticker AS feature, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, count(*) AS n, corr(a, b) > 0.1 AS has_vol_volume_corr FROM r GROUP BY 1"""
 )
 def a12_volume_volatility(spark, sf_dir):
-    real = _window_sets(spark, sf_dir)[0]
-    rows = real.select(F.lit("returns").alias("feature"), F.col("Volume").cast("double").alias("volume"), F.abs(F.col("LogReturn").cast("double")).alias("vol"))
+    rows = _windows(spark, sf_dir).select(F.col("ticker").alias("feature"), F.col("Volume").cast("double").alias("volume"), F.abs(F.col("LogReturn").cast("double")).alias("vol"))
     return stats.volume_volatility(rows).select("feature", *_rounded("pearson", "spearman"), "n", "has_vol_volume_corr")
 
 
@@ -484,13 +599,92 @@ def a17_classification_metrics(spark, sf_dir):
     return utility.classification_metrics(rows).select(*_rounded("accuracy", "f1", "roc_auc"))
 
 
-@query()
-def a19_full_report(spark, sf_dir):
-    """All metrics of two tickers' windows as one JSON document and its score."""
-    import json
+def _facts_sql(rows: str) -> str:
+    """Facts of series (series, idx, r, volume) named ``rows``, without p-values."""
+    ks, ls = range(1, 21), range(1, 11)
+    acf = lambda x, m, v: "(" + " + ".join(f"abs(sum(({x} - {m}) * (lag_{x}_{k} - {m})) / (any_value(n) - {k}) / (any_value({v}) + 1e-10))" for k in ks) + ") / 20"
+    return f"""moved AS (
+  SELECT series, idx, r, volume, abs(r) AS a, r * r AS q, {", ".join(f"lag(abs(r), {k}) OVER w AS lag_a_{k}, lag(r * r, {k}) OVER w AS lag_q_{k}" for k in ks)},
+    {", ".join(f"lead(abs(r), {k}) OVER w AS next_{k}" for k in ls)} FROM {rows} WINDOW w AS (PARTITION BY series ORDER BY idx)),
+base AS (SELECT series, avg(abs(r)) AS ma, var_pop(abs(r)) AS va, avg(r * r) AS mq, var_pop(r * r) AS vq, count(*) AS n FROM {rows} GROUP BY 1),
+ranked AS (SELECT series, rank() OVER (PARTITION BY series ORDER BY volume) + (count(*) OVER (PARTITION BY series, volume) - 1) / 2 AS rv, rank() OVER (PARTITION BY series ORDER BY abs(r)) + (count(*) OVER (PARTITION BY series, abs(r)) - 1) / 2 AS ra FROM {rows}),
+ranks AS (SELECT series, corr(rv, ra) AS spearman FROM ranked GROUP BY 1),
+facts AS (
+  SELECT series, kurtosis_pop(r) AS excess_kurtosis, {acf("a", "ma", "va")} AS acf_abs_returns, {acf("q", "mq", "vq")} AS acf_sq_returns,
+    ({" + ".join(f"corr(r, next_{k})" for k in ls)}) / 10 AS mean_leverage_corr, corr(volume, a) AS pearson, any_value(spearman) AS spearman, count(*) AS n
+  FROM moved JOIN base USING (series) JOIN ranks USING (series) GROUP BY series)"""
+
+
+@query(
+    f"""WITH {WINDOWS}, rows AS (SELECT ticker AS series, window_id * {LENGTH} + step AS idx, LogReturn::DOUBLE AS r, Volume::DOUBLE AS volume FROM win), {_facts_sql("rows")}
+SELECT series AS feature, round(excess_kurtosis + 3, 5) AS kurtosis, excess_kurtosis > 1 AS is_fat_tailed, {_round_sql("acf_abs_returns", "acf_sq_returns")}, acf_abs_returns > 0.05 AS has_clustering,
+  {_round_sql("mean_leverage_corr")}, mean_leverage_corr < -0.05 AS has_leverage_effect, {_round_sql("pearson", "spearman")}, n, pearson > 0.1 AS has_vol_volume_corr FROM facts"""
+)
+def a13_stylized_facts(spark, sf_dir):
+    r, idx = F.col("LogReturn").cast("double"), F.col("window_id") * LENGTH + F.col("step")
+    rows = _windows(spark, sf_dir).select(F.col("ticker").alias("feature"), idx.alias("idx"), r.alias("r"), F.col("Volume").cast("double").alias("volume"), F.abs(r).alias("vol"))
+    first, second = ["acf_abs_returns", "acf_sq_returns"], ["pearson", "spearman"]
+    return stats.stylized_table(rows).select(
+        "feature", F.round("kurtosis", 5).alias("kurtosis"), "is_fat_tailed", *_rounded(*first), "has_clustering", *_rounded("mean_leverage_corr"), "has_leverage_effect", *_rounded(*second), "n", "has_vol_volume_corr"
+    )
+
+
+_NEAREST = """s AS (SELECT d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM (SELECT a.id, list_distance(a.v, b.v) AS d FROM syn a, real b)),
+t AS (SELECT d, row_number() OVER (PARTITION BY id ORDER BY d) AS k FROM (SELECT a.id, list_distance(a.v, b.v) AS d FROM real a, real b)),
+near AS (SELECT (SELECT avg(d) FROM s WHERE k BETWEEN 2 AND 6) AS s2r, (SELECT avg(d) FROM t WHERE k BETWEEN 2 AND 6) AS r2r, (SELECT avg(d) FROM s WHERE k = 1) AS mean_dcr),
+kernel AS (SELECT (SELECT avg(exp(-(list_distance(a.v, b.v) ** 2) / 2)) FROM real a, real b) + (SELECT avg(exp(-(list_distance(a.v, b.v) ** 2) / 2)) FROM syn a, syn b) - 2 * (SELECT avg(exp(-(list_distance(a.v, b.v) ** 2) / 2)) FROM real a, syn b) AS mmd)"""
+
 
-    found = report.compute_all_metrics(*_window_sets(spark, sf_dir), COLUMNS)
-    return spark.createDataFrame([(found["realism_score"], json.dumps(found, default=float))], "realism_score double, report string")
+@query(
+    f"""WITH RECURSIVE {EXACT_KS}, {VECTORS}, {_NEAREST}
+SELECT round(((SELECT avg((p > 0.05)::INT) FROM p) + exp(-mmd) + least(1.0, s2r / (r2r + 1e-10))) / 3, 6) AS realism_score FROM near, kernel"""
+)
+def a18_realism_score(spark, sf_dir):
+    """The score of three terms: exact tests of suppliers' balances, kernel distance and neighbour ratio of embeddings."""
+    sets = sources.vectors(spark, sf_dir)
+    tests = {k: v for k, v in stats.ks_test(*_balances(spark, sf_dir)).items() if v["p_value"] is not None}
+    found = {"ks_tests": tests, "mmd": pairwise.mmd_rbf(*sets)["mmd"], "privacy": {"nndr": pairwise.nndr(*sets).first().asDict()}}
+    return spark.createDataFrame([(round(report.realism_score(found), 6),)], "realism_score double")
+
+
+def _report_sql() -> str:
+    side = f"""numberless AS (SELECT *, {_REAL} AS real FROM win),
+starts AS (SELECT ticker, real, coalesce(sum(k) OVER (PARTITION BY real ORDER BY ticker ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT ticker, real, max(window_id) + 1 AS k FROM numberless GROUP BY ALL)),
+every AS (SELECT real, (s + window_id)::BIGINT AS id, step, {", ".join(f"{c}::DOUBLE AS {c}" for c in COLUMNS)} FROM numberless JOIN starts USING (ticker, real))"""
+    series = " UNION ALL ".join(f"SELECT real, '{c}' AS feature, id * {LENGTH} + step AS idx, {c} AS x FROM every" for c in COLUMNS)
+    flat = ", ".join(COLUMNS)
+    lags = range(1, 21)
+    return f"""WITH {RETURNS}, {_windows_sql('ret', COLUMNS, LENGTH, LENGTH)}, {side}, series AS ({series}),
+c AS (SELECT feature, x, count(*) FILTER (real) AS r, count(*) FILTER (NOT real) AS o FROM series GROUP BY ALL),
+e AS (SELECT feature, sum(r) OVER w / sum(r) OVER p AS fr, sum(o) OVER w / sum(o) OVER p AS fo FROM c WINDOW w AS (PARTITION BY feature ORDER BY x), p AS (PARTITION BY feature)),
+cb AS (SELECT real, feature, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM series GROUP BY ALL),
+cl AS (SELECT real, feature, x - m AS x, m, v, n, {", ".join(f"lag(x - m, {k}) OVER (PARTITION BY real, feature ORDER BY idx) AS l{k}" for k in lags)} FROM series JOIN cb USING (real, feature)),
+acf AS (SELECT real, feature, [{", ".join(f"sum(x * l{k}) / (any_value(n) - {k}) / (any_value(v) + 1e-10)" for k in lags)}] AS a FROM cl GROUP BY ALL),
+mae AS (SELECT x.feature, list_sum(list_transform(list_zip(x.a, y.a), lambda z: abs(z[1] - z[2]))) / 21 AS mae FROM acf x JOIN acf y ON x.feature = y.feature AND x.real AND NOT y.real),
+cells AS ({" UNION ALL ".join(f"SELECT corr({i}, {j}) FILTER (real) - corr({i}, {j}) FILTER (NOT real) AS d FROM every" for i in COLUMNS for j in COLUMNS)}),
+rows AS (SELECT CASE WHEN real THEN 'real' ELSE 'synthetic' END AS series, id * {LENGTH} + step AS idx, LogReturn AS r, Volume AS volume FROM every), {_facts_sql("rows")},
+flat AS (SELECT real AS side, id, flatten(list([{flat}] ORDER BY step)) AS v FROM every GROUP BY ALL),
+real AS (SELECT id, v FROM flat WHERE side), syn AS (SELECT id, v FROM flat WHERE NOT side), {_NEAREST},
+out AS (
+  SELECT 'ks.' || feature AS metric, max(abs(fr - fo)) AS value FROM e GROUP BY feature UNION ALL SELECT 'acf_mae.' || feature, mae FROM mae
+  UNION ALL SELECT 'frobenius_norm', sqrt(sum(d * d)) FROM cells UNION ALL SELECT 'mmd', mmd FROM kernel
+  UNION ALL SELECT 'nndr', s2r / (r2r + 1e-10) FROM near UNION ALL SELECT 'mean_dcr', mean_dcr FROM near
+  UNION ALL SELECT unnest([series || '.excess_kurtosis', series || '.acf_abs_returns', series || '.mean_leverage_corr', series || '.pearson', series || '.spearman']),
+    unnest([excess_kurtosis, acf_abs_returns, mean_leverage_corr, pearson, spearman]) FROM facts)
+SELECT metric, round(value, 5) + 0.0 AS value FROM out"""
+
+
+@query(_report_sql())
+def a19_full_report(spark, sf_dir):
+    """Metrics of the whole report on windows side by side (stride 30: every bar once) of all tickers, F against O; models are left to n15_tstr."""
+    found = report.compute_all_metrics(*_status_sets(spark, sf_dir, LENGTH), COLUMNS, run_tstr=False)
+    out = {f"ks.{k}": v["ks_statistic"] for k, v in found["ks_tests"].items()} | {f"acf_mae.{k}": v["mae"] for k, v in found["acf"].items()}
+    out |= {"frobenius_norm": found["cross_correlation"]["frobenius_norm"], "mmd": found["mmd"], "nndr": found["privacy"]["nndr"]["nndr"], "mean_dcr": found["privacy"]["membership_inference"]["mean_dcr"]}
+    for side in ("real", "synthetic"):
+        facts = {k: v for part in found[f"stylized_facts_{side}"].values() for k, v in part.items()}
+        out |= {f"{side}.{k}": facts[k] for k in ("excess_kurtosis", "acf_abs_returns", "mean_leverage_corr", "pearson", "spearman")}
+    rows = spark.createDataFrame(list(out.items()), "metric string, value double")
+    return rows.select("metric", (F.round("value", 5) + 0.0).alias("value"))
 
 
 @query(
@@ -503,6 +697,14 @@ def a21_copula_fit(spark, sf_dir):
     return spark.createDataFrame(found, "k long, mean double, std double")
 
 
+@query("SELECT i - 1 AS i, j - 1 AS j, round(corr(embedding[i]::DOUBLE, embedding[j]::DOUBLE), 4) + 0.0 AS corr FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY ALL")
+def a21_copula_correlations(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("embedding").alias("v"))
+    corr = generative.get_copula("gaussian", 64).fit(rows).corr
+    found = [(i, j, round(float(corr[i, j]), 4) + 0.0) for i in range(64) for j in range(64)]
+    return spark.createDataFrame(found, "i long, j long, corr double")
+
+
 @query(
     """SELECT epoch, metric, round(avg(value), 6) AS value FROM (SELECT extract(day FROM ts)::INT AS epoch, event_type AS metric, value FROM events) GROUP BY ALL"""
 )
@@ -539,9 +741,9 @@ def a26_ticker_summary(spark, sf_dir):
     return found.select("ticker", "rows", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("first", "last")])
 
 
-@query(f"WITH {WINDOWS} SELECT window_id, step, Close FROM win WHERE ticker = '{REAL}' AND window_id < 5")
+@query(f"WITH {WINDOWS} SELECT ticker, window_id, step, Close FROM win WHERE window_id < 5")
 def t4_sample_series(spark, sf_dir):
-    return stats.sample_series(_window_sets(spark, sf_dir)[0], 5).select("window_id", "step", "Close")
+    return stats.sample_series(_windows(spark, sf_dir), 5).select("ticker", "window_id", "step", "Close")
 
 
 # --- losses, schedules, samplers
@@ -576,8 +778,8 @@ LINEAR = "s AS (SELECT range::INT AS t, 1e-4 + range * (0.02 - 1e-4) / 999 AS be
 COSINE = "s AS (SELECT t::INT AS t, least(greatest(1 - pow(cos(((t + 1) / 1000.0::DOUBLE + 0.008) / 1.008 * pi() / 2), 2) / pow(cos((t / 1000.0::DOUBLE + 0.008) / 1.008 * pi() / 2), 2), 0), 0.999) AS beta FROM range(1000) r(t))"
 CONSTANTS = """c AS (SELECT *, 1 - beta AS alpha, product(1 - beta) OVER (ORDER BY t) AS bar FROM s),
 k AS (SELECT *, lag(bar, 1, 1.0) OVER (ORDER BY t) AS before FROM c)"""
-_CONST = "round(bar, 9) AS alpha_bar, round(before, 9) AS alpha_bar_prev, round(sqrt(bar), 9) AS sqrt_alpha_bar, round(sqrt(1 - bar), 9) AS sqrt_one_minus_alpha_bar, round(ln(1 - bar), 6) AS log_one_minus_alpha_bar, round(sqrt(1 / bar), 4) AS sqrt_recip_alpha_bar, round(beta * (1 - before) / (1 - bar), 9) AS posterior_variance"
-_CONST_NAMES = [("alpha_bar", 9), ("alpha_bar_prev", 9), ("sqrt_alpha_bar", 9), ("sqrt_one_minus_alpha_bar", 9), ("log_one_minus_alpha_bar", 6), ("sqrt_recip_alpha_bar", 4), ("posterior_variance", 9)]
+_CONST = "round(bar, 9) AS alpha_bar, round(before, 9) AS alpha_bar_prev, round(sqrt(bar), 9) AS sqrt_alpha_bar, round(sqrt(1 - bar), 9) AS sqrt_one_minus_alpha_bar, round(ln(1 - bar), 6) AS log_one_minus_alpha_bar, round(sqrt(1 / bar), 4) AS sqrt_recip_alpha_bar, round(sqrt(1 / bar - 1), 4) AS sqrt_recipm1_alpha_bar, round(beta * (1 - before) / (1 - bar), 9) AS posterior_variance"
+_CONST_NAMES = [("alpha_bar", 9), ("alpha_bar_prev", 9), ("sqrt_alpha_bar", 9), ("sqrt_one_minus_alpha_bar", 9), ("log_one_minus_alpha_bar", 6), ("sqrt_recip_alpha_bar", 4), ("sqrt_recipm1_alpha_bar", 4), ("posterior_variance", 9)]
 
 
 @query(f"WITH {LINEAR}, {CONSTANTS} SELECT t, round(beta, 9) AS beta, {_CONST} FROM k")
@@ -601,6 +803,45 @@ def m10_q_sample(spark, sf_dir):
     return out.select("vec_id", "t", F.round(F.aggregate("x_t", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+_STEPS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding::DOUBLE[], lambda y: y * y) AS z, (vec_id % 999 + 1)::INT AS t FROM embeddings)"""
+
+
+def _stepped(spark, sf_dir, step) -> DataFrame:
+    """Sums of each embedding after ``step(x, noise, t, constants)``, the noise being its squares."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
+    constants = [tuple(r) for r in generative.schedule_constants(generative.linear_schedule(spark, 1000)).orderBy("t").select("beta", "alpha_bar", "alpha_bar_prev", "posterior_variance").collect()]  # the schedule alone
+
+    def run(parts):
+        for part in parts:
+            made = [step(np.array(v, float), np.array(v, float) ** 2, *constants[i % 999 + 1]) for i, v in zip(part["vec_id"], part["v"], strict=True)]
+            yield pd.DataFrame({"vec_id": part["vec_id"], "total": [x.sum() for x in made]})
+
+    return rows.mapInPandas(run, "vec_id long, total double").select("vec_id", *_rounded("total", digits=5))
+
+
+@query(
+    f"""WITH {LINEAR}, {CONSTANTS}, {_STEPS}
+SELECT vec_id, round(list_sum(list_transform(list_zip(x, z), lambda y: (y[1] - beta / sqrt(1 - bar) * y[2]) / sqrt(1 - beta) + sqrt(beta * (1 - before) / (1 - bar)) * 0.5)), 5) AS total FROM e JOIN k USING (t)"""
+)
+def m11_ddpm_step(spark, sf_dir):
+    return _stepped(spark, sf_dir, lambda x, noise, beta, bar, before, variance: generative.ddpm_step(x, noise, beta, bar, variance, 0.5))
+
+
+@query(
+    f"""WITH {LINEAR}, {CONSTANTS}, {_STEPS}, g AS (SELECT *, 0.3 * sqrt((1 - before) / (1 - bar)) * sqrt(1 - bar / before) AS sigma FROM k)
+SELECT vec_id, round(list_sum(list_transform(list_zip(x, z), lambda y: sqrt(before) * (y[1] - sqrt(1 - bar) * y[2]) / sqrt(bar) + sqrt(1 - before - sigma * sigma) * y[2] + sigma * 0.5)), 5) AS total FROM e JOIN g USING (t)"""
+)
+def m12_ddim_step(spark, sf_dir):
+    return _stepped(spark, sf_dir, lambda x, noise, beta, bar, before, variance: generative.ddim_step(x, noise, bar, before, 0.3, 0.5))
+
+
+@query("SELECT n::INT AS count, i::INT AS i, ((ceil(1000 / (1000 // n)) - 1 - i) * (1000 // n))::INT AS t FROM (SELECT unnest([7, 50, 1000]) AS n) JOIN range(1000) r(i) ON i < n")
+def t6_strided_timesteps(spark, sf_dir):
+    # of the steps 0, s, 2 s.. all are walked from the last one on, no more than asked for
+    made = [(n, i, t) for n in (7, 50, 1000) for i, t in enumerate(generative.ddim_timesteps(1000, n))]
+    return spark.createDataFrame(made, "count int, i int, t int")
+
+
 @query()
 def m12_ddim_sampler(spark, sf_dir):
     """Sequences under a denoiser that predicts no noise."""
@@ -635,11 +876,11 @@ def m16_copula_samples(spark, sf_dir):
 
 @query(
     f"""WITH {WINDOWS}, l AS (SELECT ticker, step, unnest(['Close', 'LogReturn']) AS dim, unnest([Close, LogReturn])::DOUBLE AS x FROM win),
-r AS (SELECT step, dim, avg(x) AS m, sqrt(var_samp(x) + 1e-6) AS s FROM l WHERE ticker = '{REAL}' GROUP BY ALL), s AS (SELECT step, dim, avg(x) AS m, sqrt(var_samp(x) + 1e-6) AS s FROM l WHERE ticker = '{SYNTHETIC}' GROUP BY ALL)
+r AS (SELECT step, dim, avg(x) AS m, sqrt(var_samp(x) + 1e-6) AS s FROM l WHERE {_REAL} GROUP BY ALL), s AS (SELECT step, dim, avg(x) AS m, sqrt(var_samp(x) + 1e-6) AS s FROM l WHERE NOT {_REAL} GROUP BY ALL)
 SELECT round(avg(abs(r.m - s.m)), 5) AS mean_gap, round(avg(abs(r.s - s.s)), 5) AS std_gap, round(avg(abs(r.m - s.m)) + avg(abs(r.s - s.s)), 5) AS loss FROM r JOIN s USING (step, dim)"""
 )
 def m19_moment_matching(spark, sf_dir):
-    cells = [stats.long_series(w, ["Close", "LogReturn"], LENGTH).select((F.col("idx") % LENGTH).alias("step"), F.col("feature").alias("dim"), "x") for w in _window_sets(spark, sf_dir)]
+    cells = [stats.long_series(w, ["Close", "LogReturn"], LENGTH).select((F.col("idx") % LENGTH).alias("step"), F.col("feature").alias("dim"), "x") for w in _status_sets(spark, sf_dir)]
     return generative.moment_matching(*cells).select(*_rounded("mean_gap", "std_gap", "loss", digits=5))
 
 
@@ -660,6 +901,17 @@ def n13_stopping_trace(spark, sf_dir):
     return training.stopping_trace(rows, 5).select("metric", "epoch", *_rounded("best"), "waited")
 
 
+@query(
+    f"""WITH {WINDOWS}, w AS (SELECT DISTINCT ticker, window_id FROM win WHERE {_REAL}),
+r AS (SELECT *, row_number() OVER (ORDER BY window_id, ticker) AS r, count(*) OVER () AS n FROM w)
+SELECT CASE WHEN r <= n - floor(n * 0.2::DOUBLE) THEN 'train' ELSE 'test' END AS part, ticker, count(*) AS n, min(window_id) AS first, max(window_id) AS last FROM r GROUP BY ALL"""
+)
+def t3_tail_split(spark, sf_dir):
+    rows = _status_sets(spark, sf_dir)[0].select("ticker", "window_id").distinct()
+    train, test = (x.withColumn("part", F.lit(k)) for k, x in zip(("train", "test"), utility.tail_split(rows), strict=True))
+    return train.union(test).groupBy("part", "ticker").agg(F.count("*").alias("n"), F.min("window_id").alias("first"), F.max("window_id").alias("last"))
+
+
 @query()
 def n15_tstr(spark, sf_dir):
     """Accuracy, F1 and area of models trained on real and on synthetic windows."""
@@ -727,8 +979,9 @@ def n17_plots(spark, sf_dir):
     bars = feats.log_returns(_bars(spark, sf_dir))
     real, made = (stats.long_series(w, ["Close", "LogReturn"], LENGTH) for w in _status_sets(spark, sf_dir))
     cells = stats.correlations(bars, COLUMNS)
+    tickers = [r[0] for r in bars.select("ticker").distinct().orderBy("ticker").collect()]  # one picture a ticker
     out = [
-        ("candlestick", plots.candlestick(bars.filter(F.col("ticker") == REAL))),
+        *[(f"candlestick {t}", plots.candlestick(bars.filter(F.col("ticker") == t))) for t in tickers],
         ("distributions", plots.distributions(real, made)),
         ("correlations", plots.heatmap(cells)),
         ("time_series", plots.time_series(bars.select("ticker", "Date", "Close"), "Close")),

@@ -1,7 +1,8 @@
 """File sources and sinks: bars, arrays, reports, metric logs, configuration.
 
 Tables go through Spark's readers and writers, partitioned by ticker so that scans prune.
-Arrays in NumPy files and YAML are small artefacts of the driver.
+Arrays in NumPy files, reports and YAML are small artefacts of the driver; their paths may
+be local ones or URIs of a shared or remote store.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ import io
 import json
 import logging
 import os
+import re
 from collections.abc import Callable, Iterable
 from typing import Any
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,35 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def _store(path: str):
+    """(filesystem, path there) of a local path or a URI."""
+    from pyarrow import fs
+
+    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    system, place = _store(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_output_stream(place) as out:
+        out.write(data)
+
+
+def read_bytes(path: str) -> bytes:
+    system, place = _store(path)
+    with system.open_input_file(place) as f:
+        return f.read()
+
+
+def _there(path: str) -> bool:
+    from pyarrow import fs
+
+    system, place = _store(path)
+    return system.get_file_info(place).type == fs.FileType.File
+
+
 def write_bars(bars: DataFrame, folder: str, interval: str = "1d", file_format: str = "parquet") -> None:
     """One folder per ticker below ``folder/interval``. Rows with null values are left out."""
     if file_format not in FORMATS:
@@ -66,7 +98,7 @@ def ingest(
     for ticker in tickers:
         try:
             rows = fetch(spark, ticker)
-        except Exception:
+        except (OSError, ValueError, LookupError, AnalysisException):  # the source's errors; the cluster's go on
             log.exception("%s can't be fetched", ticker)
             continue
         if rows is None or rows.isEmpty():
@@ -108,7 +140,9 @@ def save_array(windows: DataFrame, path: str, features: list[str]) -> None:
     """Windows as one ``.npy`` file: an export of what fits the driver."""
     rows = windows.orderBy("window_id", "step").select("window_id", *features).collect()
     count = len({r[0] for r in rows})
-    np.save(path, np.array([r[1:] for r in rows], np.float32).reshape(count, -1, len(features)))
+    out = io.BytesIO()
+    np.save(out, np.array([r[1:] for r in rows], np.float32).reshape(count, -1, len(features)))
+    write_bytes(path, out.getvalue())
 
 
 def load_processed(spark: SparkSession, processed: str, ticker: str, raw: str, interval: str = "1d") -> DataFrame | None:
@@ -123,10 +157,8 @@ def save_report(report: dict, folder: str) -> str:
     def plain(x: Any) -> Any:
         return x.item() if isinstance(x, np.generic) else x.tolist() if isinstance(x, np.ndarray) else str(x)
 
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, "evaluation_report.json")
-    with open(path, "w") as f:
-        json.dump(report, f, indent=2, default=plain)
+    path = f"{folder.rstrip('/')}/evaluation_report.json"
+    write_bytes(path, json.dumps(report, indent=2, default=plain).encode())
     return path
 
 
@@ -137,14 +169,15 @@ def log_metrics(spark: SparkSession, path: str, epoch: int, metrics: dict[str, f
 
 
 def save_checkpoint(path: str, state: dict[str, np.ndarray], epoch: int, metrics: dict[str, float] | None = None) -> None:
-    """Arrays of a model with their epoch and metrics."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    np.savez(path, __meta__=np.array(json.dumps({"epoch": epoch, "metrics": metrics or {}})), **state)
+    """Arrays of a model with their epoch and metrics, in ``path`` (``.npz`` is added where it lacks)."""
+    out = io.BytesIO()
+    np.savez(out, __meta__=np.array(json.dumps({"epoch": epoch, "metrics": metrics or {}})), **state)
+    write_bytes(path if path.endswith(".npz") else f"{path}.npz", out.getvalue())
 
 
 def load_checkpoint(path: str) -> tuple[dict[str, np.ndarray], dict]:
     """(arrays, {epoch, metrics}); arrays saved without a wrapper are accepted too."""
-    with np.load(path, allow_pickle=False) as data:
+    with np.load(io.BytesIO(read_bytes(path)), allow_pickle=False) as data:
         meta = json.loads(str(data["__meta__"])) if "__meta__" in data.files else {"epoch": None, "metrics": {}}
         return {k: data[k] for k in data.files if k != "__meta__"}, meta
 
@@ -152,10 +185,9 @@ def load_checkpoint(path: str) -> tuple[dict[str, np.ndarray], dict]:
 def load_config(path: str) -> dict:
     import yaml
 
-    if not os.path.exists(path):
+    if not _there(path):
         raise FileNotFoundError(path)
-    with open(path) as f:
-        return yaml.safe_load(f) or {}
+    return yaml.safe_load(read_bytes(path)) or {}
 
 
 def merge_configs(base: dict, override: dict) -> dict:

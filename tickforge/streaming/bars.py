@@ -28,19 +28,28 @@ def stream_bars(events: DataFrame, width: str = "1 hour", late: str = "1 hour")
 
 
 def _recurrence(rows: DataFrame, step: Callable[[float | None, float], float], price_col: str, out: str) -> DataFrame:
+    """A fold over each ticker's rows in order of Date; the state is the last value and its Date.
+
+    A micro-batch's rows of a ticker are sorted as a whole, however many chunks they come in: a
+    trigger bounds them. Rows dated before the last of an earlier batch come too late for an
+    append-only result: they are returned with a null value and change nothing.
+    """
+
     def run(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for part in parts:
-            part = part.sort_values("Date", kind="stable")
-            values = []
-            for x in part[price_col]:
-                last = step(last, float(x))
-                values.append(last)
-            yield pd.DataFrame({"ticker": key[0], "Date": part["Date"], out: values})
+        last, seen = state.get if state.exists else (None, None)
+        part = pd.concat(list(parts), ignore_index=True).sort_values("Date", kind="stable")
+        values: list[float | None] = []
+        for date, x in zip(part["Date"], part[price_col], strict=True):
+            if seen is not None and date < seen or pd.isna(date):
+                values.append(None)
+                continue
+            last, seen = step(last, float(x)), date
+            values.append(last)
         if last is not None:
-            state.update((last,))
+            state.update((last, seen))
+        yield pd.DataFrame({"ticker": key[0], "Date": part["Date"], out: pd.Series(values, part.index, "float64")})
 
-    return rows.groupBy("ticker").applyInPandasWithState(run, f"ticker string, Date timestamp, {out} double", "last double", "append", "NoTimeout")
+    return rows.groupBy("ticker").applyInPandasWithState(run, f"ticker string, Date timestamp, {out} double", "last double, seen timestamp", "append", "NoTimeout")
 
 
 def stream_continuity(rows: DataFrame, max_gap_pct: float = 0.2, price_col: str = "Close") -> DataFrame:
