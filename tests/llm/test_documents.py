@@ -624,6 +624,42 @@ def test_trie_equals_a_public_unigram_model(documents):
     assert [trie.terminal[w] for w in words] == [len(model.encode(tokencount.MARK + w).tokens) for w in words]
 
 
+def best_pieces(word, pieces, byte):
+    """The pieces of the best segmentation: most score, fewest tokens, longest last piece; None for bytes."""
+    token = tokencount.MARK + word
+    best = [(0, 0, [])]
+    for end in range(1, len(token) + 1):
+        size = len(token[end - 1].encode())
+        score, tokens, used = best[end - 1]
+        options = [(score + size * byte, -(tokens + size), 0, [*used, None])]
+        options += [(best[s][0] + pieces[token[s:end]], -(best[s][1] + 1), end - s, [*best[s][2], token[s:end]]) for s in range(end) if token[s:end] in pieces]
+        score, tokens, _, used = max(options, key=lambda o: o[:3])
+        best.append((score, -tokens, used))
+    return best[-1][2]
+
+
+@pytest.mark.parametrize("passes", [1, 2])
+def test_fitted_scores_and_totals_equal_brute_force(documents, monkeypatch, passes):
+    """Every document's total by scores that are fitted to all documents, against plain dynamic programming."""
+    texts = texts_of(documents)
+    words = Counter(w.decode() for t in texts.values() for w in WORD.findall((t or "").encode()))
+    pieces, byte = tokencount.vocabulary(tokencount.default_vocabulary())
+    for _ in range(passes):
+        uses = Counter()
+        for w, n in words.items():
+            for p in best_pieces(w, pieces, byte):
+                uses[p] += n
+        weights = np.array([uses[p] + 1 for p in pieces], float)
+        values = np.round(1e6 * np.log(weights / weights.sum())).astype(int).tolist()
+        pieces, byte = dict(zip(pieces, values, strict=True)), min(values) - int(1e6 * math.log(10))
+    assert tokencount.fit(documents, passes=passes) == (pieces, byte)
+    per_word = {w: best_counts(w, pieces, byte) for w in words}
+    got = {r["doc_id"]: (r["n_tokens"], r["n_words"]) for r in tokencount.token_counts(documents, scores=(pieces, byte) if passes > 1 else None).collect()}
+    for i, t in texts.items():
+        own = [w.decode() for w in WORD.findall((t or "").encode())]
+        assert got[i] == (sum(per_word[w] for w in own), len(own))
+
+
 def test_token_count_edges(edge):
     got = tokencount.token_counts(edge).collect()
     assert len(got) == edge.count() and all((r["n_tokens"] == 0) == (r["n_words"] == 0) for r in got)
