@@ -5,6 +5,7 @@ import pytest
 
 from tickforge.operators import fitting, generative, networks, training
 from tickforge.plans import registry
+from tickforge.sources import files
 
 
 def series(spark, n=60, length=8, features=2, parts=3):
@@ -73,6 +74,23 @@ def test_diffusion_training(spark):
     assert generative.diffusion_sample(spark, schedule, model, 3, 8, 2, "ddpm").count() == 3
 
 
+def test_validation_best_checkpoint_and_resume(spark, tmp_path):
+    rows, held = series(spark).filter("id < 40"), series(spark).filter("id >= 40")
+    start = lambda: fitting.build("variational", 2, hidden=4, latent=2)
+    options = {"rate": 0.02, "batch": 8, "held_out": held}
+    whole, history = fitting.fit(rows, start(), fitting.variational(), 4, checkpoint=str(tmp_path / "a"), **options)
+    assert len(history["val_loss"]) == 4 and np.isfinite(history["val_loss"]).all()
+    _, meta = files.load_checkpoint(str(tmp_path / "a" / "best.npz"))
+    assert meta["epoch"] == int(np.argmin(history["val_loss"])) + 1 and meta["metrics"]["val_loss"] == min(history["val_loss"])
+    last = fitting.restored(str(tmp_path / "a" / "last.npz"), start())
+    assert all(np.array_equal(v, whole.parameters()[k]) for k, v in last.parameters().items())
+    # two epochs and two more are the four
+    fitting.fit(rows, start(), fitting.variational(), 2, checkpoint=str(tmp_path / "b"), **options)
+    again, more = fitting.fit(rows, start(), fitting.variational(), 4, checkpoint=str(tmp_path / "b"), resume=True, **options)
+    assert more["val_loss"] == pytest.approx(history["val_loss"][2:])
+    assert all(v == pytest.approx(whole.parameters()[k]) for k, v in again.parameters().items())
+
+
 def test_no_rows_and_unknown_kind(spark):
     start = fitting.build("variational", 2, hidden=3, latent=2)
     model, history = fitting.fit(series(spark).limit(0), start, fitting.variational(), 1)

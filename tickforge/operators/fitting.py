@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import networks
 from tickforge.operators.gradients import Tensor, derivatives
+from tickforge.sources import files
 from tickforge.sources.shared import shared_folder
 
 #: Sums that reach the driver.
@@ -192,6 +193,32 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def _held_out_loss(rows: DataFrame, model: networks.Parametrised, aims: list[Objective], weights: networks.Weights, batch: int, seed: int, epoch: int) -> list[float]:
+    """Mean losses by objective over rows that no step is taken on: sums a partition, noise from the seed and the epoch."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId(), 1])
+        sums, n = np.zeros(len(aims)), 0
+        for part in parts:
+            values = part["values"].tolist()
+            for a in range(0, len(values), batch):
+                x = np.array([np.stack(v) for v in values[a : a + batch]], np.float64)
+                sums += [len(x) * loss_and_gradients(model, weights, aim, x, rng, epoch)[0] for aim in aims]
+                n += len(x)
+        yield pd.DataFrame({"aim": np.arange(len(aims)), "s": sums, "n": n})
+
+    total = rows.mapInPandas(run, "aim int, s double, n long").groupBy("aim").agg(F.sum("s"), F.sum("n"))
+    found = {k: s / n if n else float("nan") for k, s, n in map(tuple, total.collect())}  # a row an objective
+    return [found.get(k, float("nan")) for k in range(len(aims))]
+
+
+def restored(path: str, model: networks.Parametrised) -> networks.Parametrised:
+    """``model`` with the weights of a checkpoint that ``fit`` wrote (``best.npz`` or ``last.npz`` of its folder)."""
+    adam = Adam({k: np.asarray(v, np.float64) for k, v in model.parameters().items()}, 0.0, None, {})
+    adam.restore(files.load_checkpoint(path)[0]["state"])
+    return model.with_parameters(adam.weights)
+
+
 def fit(
     windows: DataFrame,
     model: networks.Parametrised,
@@ -203,16 +230,28 @@ def fit(
     clip: float | None = 1.0,
     callbacks: tuple[Callable[[int, dict], None], ...] = (),
     stop: Callable[[float], bool] | None = None,
+    held_out: DataFrame | None = None,
+    checkpoint: str | None = None,
+    resume: bool = False,
 ) -> tuple[networks.Parametrised, dict[str, list[float]]]:
     """The trained model and its history of mean losses by objective.
 
-    ``callbacks`` get (epoch, metrics); one with a ``rate`` sets the next epoch's. ``stop`` gets
-    the first objective's loss.
+    ``callbacks`` get (epoch, metrics); one with a ``rate`` sets the next epoch's. With
+    ``held_out`` windows the first objective's loss on them is the metric ``val_loss``. ``stop``
+    gets it, or else the first objective's loss. ``checkpoint`` names a folder (a local path or
+    a URI) for ``last.npz``, written each epoch, and ``best.npz``, the epoch of the least such
+    loss; ``resume`` goes on from ``last.npz`` where there is one, up to ``epochs`` in all.
     """
     rows = _kept(windows.filter(F.col("values").isNotNull()).select("values"))
+    judge = None if held_out is None else _kept(held_out.filter(F.col("values").isNotNull()).select("values"))
     adam = Adam({k: np.asarray(v, np.float64) for k, v in model.parameters().items()}, rate, clip, {})
-    history: dict[str, list[float]] = {o.name: [] for o in objectives}
-    for epoch in range(epochs):
+    history: dict[str, list[float]] = {o.name: [] for o in objectives} | ({} if judge is None else {"val_loss": []})
+    begin, best = 0, None
+    if resume and checkpoint and files.is_file(f"{checkpoint}/last.npz"):
+        state, meta = files.load_checkpoint(f"{checkpoint}/last.npz")
+        adam.restore(state["state"])
+        begin, best, adam.count, adam.rate = meta["epoch"], meta["metrics"]["best"], meta["metrics"]["steps"], meta["metrics"]["rate"]
+    for epoch in range(begin, epochs):
         parts = rows.mapInPandas(_epoch(model, objectives, adam, batch, seed, epoch), STATE)
         done = parts.groupBy("slice").applyInPandas(_total, STATE).orderBy("slice").toPandas()  # SLICES rows
         metrics = {o.name: float("nan") for o in objectives}
@@ -221,12 +260,21 @@ def fit(
             adam.restore(np.frombuffer(all_["state"]) / all_["rows"])
             adam.count = pickle.loads(all_["count"])
             metrics = dict(zip(metrics, (np.frombuffer(all_["losses"]) / all_["steps"]).tolist(), strict=True))
+        if judge is not None:
+            metrics["val_loss"] = _held_out_loss(judge, model, objectives[:1], adam.weights, batch, seed, epoch)[0]
         for k, v in metrics.items():
             history[k].append(v)
         for call in callbacks:
             call(epoch + 1, metrics)
             adam.rate = getattr(call, "rate", adam.rate)
-        if stop and stop(metrics[objectives[0].name]):
+        watched = metrics.get("val_loss", metrics[objectives[0].name])
+        if checkpoint:
+            gained = not np.isnan(watched) and (best is None or watched < best)
+            best = watched if gained else best
+            kept = {**metrics, "best": best, "steps": adam.count, "rate": adam.rate}
+            for name in ["last", "best"] if gained else ["last"]:
+                files.save_checkpoint(f"{checkpoint}/{name}.npz", {"state": adam.state()}, epoch + 1, kept)
+        if stop and stop(watched):
             break
     return model.with_parameters(adam.weights), history
 

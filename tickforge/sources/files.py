@@ -56,7 +56,7 @@ def read_bytes(path: str) -> bytes:
         return f.read()
 
 
-def _there(path: str) -> bool:
+def is_file(path: str) -> bool:
     from pyarrow import fs
 
     system, place = _store(path)
@@ -185,7 +185,7 @@ def load_checkpoint(path: str) -> tuple[dict[str, np.ndarray], dict]:
 def load_config(path: str) -> dict:
     import yaml
 
-    if not _there(path):
+    if not is_file(path):
         raise FileNotFoundError(path)
     return yaml.safe_load(read_bytes(path)) or {}
 
