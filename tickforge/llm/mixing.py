@@ -13,7 +13,9 @@ the budget ends is sorted. What is joined to the rows is one row per source. Tex
 shuffled.
 
 Defined results: null text has size 0. Null source is a source, last in order. A null
-doc_id has a key like any other. Ties are ordered by doc_id, size and place in the table.
+doc_id has a key like any other. Ties are ordered by doc_id, size and place in the table;
+the place depends on how the input is split, so that rows alike in id, size and key may trade places
+between runs that split it otherwise: sizes and totals stay the same.
 If all sizes are 0, targets are 0. Extra columns pass through ``mix``.
 """
 
