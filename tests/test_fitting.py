@@ -20,6 +20,7 @@ def models():
     yield from [(small("gru"), o) for o in (*fitting.autoencoding(), *fitting.supervising(), *fitting.adversarial())]
     yield from [(small("lstm"), o) for o in fitting.autoencoding()]
     yield from [(networks.VariationalModel(2, 5, 3, "lstm"), o) for o in fitting.variational(warmup=0)]
+    yield from [(networks.VariationalModel(2, 5, 3, layers=layers, dropout=0.3), o) for layers in (1, 3) for o in fitting.variational(warmup=0)]
     yield from [(networks.Denoiser(2, (4, 8, 4), 6, blocks, 2), o) for blocks in (1, 2) for o in fitting.denoising(bars)]
 
 
@@ -49,6 +50,18 @@ def test_default_denoiser_keeps_one_skip_a_level():
         networks.Denoiser(2, (6, 6, 6), 8, 1, 4)(np.ones((1, 5, 2)), 0)
 
 
+def test_dropout_works_in_training_alone():
+    x = np.random.default_rng(1).uniform(size=(40, 6, 2))
+    for model, run in [(networks.VariationalModel(2, 8, 3, layers=2, dropout=0.5), lambda m: m.encode(x)[0]), (networks.Denoiser(2, (4, 8, 4), 6, 1, 2, dropout=0.5), lambda m: m(x, 3))]:
+        assert np.array_equal(run(model), run(model))
+        one, same, other = (run(model.training(np.random.default_rng(k))) for k in (1, 1, 2))
+        assert np.array_equal(one, same) and not np.allclose(one, other) and not np.allclose(one, run(model))
+    kept = networks.dropped(np.ones((400, 400)), 0.25, np.random.default_rng(3))
+    assert set(np.unique(kept)) == {0.0, 1 / 0.75} and abs(kept.mean() - 1) < 0.01
+    deep = networks.VariationalModel(2, 8, 3, "lstm").parameters()
+    assert deep["encoder.in1"].shape == (32, 8) and deep["decoder.in1"].shape == (32, 8)
+
+
 def test_variational_training(spark):
     model, history = fitting.fit(series(spark), fitting.build("variational", 2, hidden=8, latent=2), fitting.variational(0.01, 5), 12, 0.02, 4)
     assert history["loss"][-1] < 0.5 * history["loss"][0]

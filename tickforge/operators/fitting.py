@@ -148,8 +148,9 @@ class Adam:
 
 
 def loss_and_gradients(model: networks.Parametrised, weights: networks.Weights, aim: Objective, x: np.ndarray, rng: np.random.Generator, epoch: int) -> tuple[float, networks.Weights]:
+    """Dropout draws from ``rng`` as well."""
     leaves = {k: Tensor(v) if k.split(".")[0] in aim.moves else v for k, v in weights.items()}
-    loss = aim.loss(model.with_parameters(leaves), x, rng, epoch)
+    loss = aim.loss(model.with_parameters(leaves).training(rng), x, rng, epoch)
     found = derivatives(loss)
     return float(loss.value), {k: found[id(v)] for k, v in leaves.items() if id(v) in found}
 
@@ -194,7 +195,8 @@ def _kept(rows: DataFrame) -> DataFrame:
 
 
 def _held_out_loss(rows: DataFrame, model: networks.Parametrised, aims: list[Objective], weights: networks.Weights, batch: int, seed: int, epoch: int) -> list[float]:
-    """Mean losses by objective over rows that no step is taken on: sums a partition, noise from the seed and the epoch."""
+    """Mean losses by objective over rows that no step is taken on, without dropout: sums a partition, noise from the seed and the epoch."""
+    judged = model.with_parameters(weights)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId(), 1])
@@ -203,7 +205,7 @@ def _held_out_loss(rows: DataFrame, model: networks.Parametrised, aims: list[Obj
             values = part["values"].tolist()
             for a in range(0, len(values), batch):
                 x = np.array([np.stack(v) for v in values[a : a + batch]], np.float64)
-                sums += [len(x) * loss_and_gradients(model, weights, aim, x, rng, epoch)[0] for aim in aims]
+                sums += [len(x) * float(aim.loss(judged, x, rng, epoch)) for aim in aims]
                 n += len(x)
         yield pd.DataFrame({"aim": np.arange(len(aims)), "s": sums, "n": n})
 
@@ -279,16 +281,18 @@ def fit(
     return model.with_parameters(adam.weights), history
 
 
-def fit_adversarial(windows: DataFrame, model: networks.AdversarialModel, epochs: tuple[int, int, int] = (200, 200, 300), **options) -> tuple[networks.AdversarialModel, dict[str, list[float]]]:
-    """The three phases in turn: autoencoder, supervisor, joint."""
+def fit_adversarial(windows: DataFrame, model: networks.AdversarialModel, epochs: tuple[int, int, int] = (200, 200, 300), rates: tuple[float, float, float] | None = None, **options) -> tuple[networks.AdversarialModel, dict[str, list[float]]]:
+    """The three phases in turn: autoencoder, supervisor, joint. ``rates`` are theirs; checkpoints lie in a folder a phase."""
     history: dict[str, list[float]] = {}
-    for phase, aims, n in zip(("autoencoder", "supervisor", "joint"), (autoencoding(), supervising(), adversarial()), epochs, strict=True):
-        model, found = fit(windows, model, aims, n, **options)
+    aims = {"autoencoder": autoencoding(), "supervisor": supervising(), "joint": adversarial()}
+    for k, phase in enumerate(aims):
+        own = dict(options) | ({"rate": rates[k]} if rates else {}) | ({"checkpoint": f"{options['checkpoint']}/{phase}"} if options.get("checkpoint") else {})
+        model, found = fit(windows, model, aims[phase], epochs[k], **own)
         history |= {f"{phase}.{k}": v for k, v in found.items()}
     return model, history
 
 
-def build(kind: str, features: int, **options) -> networks.Parametrised:
+def build(kind: str, features: int, /, **options) -> networks.Parametrised:
     """A model by its kind: adversarial, variational or diffusion."""
     kinds = {"adversarial": networks.AdversarialModel, "variational": networks.VariationalModel, "diffusion": networks.Denoiser}
     if kind not in kinds:

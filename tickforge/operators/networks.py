@@ -3,7 +3,7 @@
 Forward passes take arrays or ``gradients.Tensor`` weights, so that ``fitting`` trains them as
 they stand. Sampling runs in Arrow batches on the executors, weights travelling with the
 task: they are of fixed size. ``parameters`` names a model's weights; ``with_parameters``
-gives a model of other ones.
+gives a model of other ones, ``training`` one whose dropout is at work.
 """
 
 from __future__ import annotations
@@ -27,11 +27,17 @@ def init(rng: np.random.Generator, shapes: dict[str, tuple[int, ...]]) -> Weight
     return {k: rng.uniform(-1, 1, s) / np.sqrt(s[-1]) for k, s in shapes.items()}
 
 
+def dropped(x: np.ndarray, rate: float, rng: np.random.Generator | None) -> np.ndarray:
+    """Without a share of the values, the others scaled to the same mean; without ``rng`` all of them."""
+    return x * ((rng.uniform(size=x.shape) >= rate) / (1 - rate)) if rate and rng else x
+
+
 @dataclass
 class Recurrent:
     """Stacked GRU or LSTM layers and a linear head, with sigmoid or plain output.
 
-    Gates stand side by side in the matrices: r, z, n of a GRU; i, f, g, o of an LSTM.
+    Gates stand side by side in the matrices: r, z, n of a GRU; i, f, g, o of an LSTM. Dropout
+    works between layers, while there is a generator for it.
     """
 
     inputs: int
@@ -41,6 +47,8 @@ class Recurrent:
     kind: str = "gru"
     squash: bool = True
     weights: Weights = field(default_factory=dict)
+    dropout: float = 0.0
+    drops: np.random.Generator | None = None
 
     def shapes(self) -> dict[str, tuple[int, ...]]:
         g = 3 if self.kind == "gru" else 4
@@ -57,6 +65,7 @@ class Recurrent:
         """The last layer's states (n, length, hidden)."""
         h = self.hidden
         for k in range(self.layers):
+            x = dropped(x, self.dropout, self.drops) if k else x
             w, u, b, c = (self.weights[f"{name}{k}"] for name in ("in", "rec", "in_bias", "rec_bias"))
             given = x @ w.T + b
             state = np.zeros((len(x), h)) if start is None else start
@@ -83,6 +92,7 @@ class Parametrised:
     """A model whose parts hold weights by name; a weight's full name is ``part.weight``."""
 
     parts: tuple[str, ...] = ()
+    drops = None
 
     def _held(self, part: str) -> Weights:
         found = getattr(self, part)
@@ -99,6 +109,15 @@ class Parametrised:
             setattr(out, p, replace(found, weights=mine) if isinstance(found, Recurrent) else mine)
         return out
 
+    def training(self, drops: np.random.Generator):
+        """The model with dropout as ``drops`` decides."""
+        out = copy.copy(self)
+        out.drops = drops
+        for p in self.parts:
+            if isinstance(found := getattr(self, p), Recurrent):
+                setattr(out, p, replace(found, drops=drops))
+        return out
+
 
 @dataclass
 class AdversarialModel(Parametrised):
@@ -111,9 +130,10 @@ class AdversarialModel(Parametrised):
     noise: int = 8
     layers: int = 2
     kind: str = "gru"
+    dropout: float = 0.0
 
     def __post_init__(self) -> None:
-        part = lambda i, o, s, squash: Recurrent(i, self.hidden, o, self.layers, self.kind, squash).seeded(s)
+        part = lambda i, o, s, squash: Recurrent(i, self.hidden, o, self.layers, self.kind, squash, dropout=self.dropout).seeded(s)
         self.embedder = part(self.features, self.hidden, 1, True)
         self.recovery = part(self.hidden, self.features, 2, False)
         self.generator = part(self.noise, self.hidden, 3, True)
@@ -147,10 +167,13 @@ class VariationalModel(Parametrised):
     latent: int = 8
     kind: str = "gru"
     seed: int = 1
+    layers: int = 2
+    dropout: float = 0.1
 
     def __post_init__(self) -> None:
-        self.encoder = Recurrent(self.features, self.hidden, 2 * self.latent, 1, self.kind, False).seeded(self.seed)
-        self.decoder = Recurrent(self.latent, self.hidden, self.features, 1, self.kind, False).seeded(self.seed + 1)
+        part = lambda i, o, s: Recurrent(i, self.hidden, o, self.layers, self.kind, False, dropout=self.dropout).seeded(s)
+        self.encoder = part(self.features, 2 * self.latent, self.seed)
+        self.decoder = part(self.latent, self.features, self.seed + 1)
         self.first = init(np.random.default_rng(self.seed + 2), {"w": (self.hidden, self.latent), "b": (self.hidden,)})
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,6 +217,7 @@ class Denoiser(Parametrised):
     blocks: int = 2
     groups: int = 8
     seed: int = 3
+    dropout: float = 0.1
 
     parts = ("net",)
 
@@ -250,7 +274,7 @@ class Denoiser(Parametrised):
                 h = np.concatenate([h, skips.pop()], 2)
             y = self._wide(silu(self._normed(h, f"{name}.n1")), f"{name}.one")
             y = y + self._linear(when, f"{name}.time")[:, None, :]
-            y = self._wide(silu(self._normed(y, f"{name}.n2")), f"{name}.two")
+            y = self._wide(dropped(silu(self._normed(y, f"{name}.n2")), self.dropout, self.drops), f"{name}.two")
             h = y + (h if a == b else self._linear(h, f"{name}.skip"))
             if name in self.keeps:
                 skips.append(h)

@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.sources import files
+
 log = logging.getLogger(__name__)
 
 
@@ -57,12 +59,17 @@ class BestCheckpoint:
 
 
 class MetricLogger:
-    def __init__(self, every: int = 1):
-        self.every = every
+    """Logs every so many epochs, and appends the line to a text file where ``path`` names one."""
+
+    def __init__(self, every: int = 1, path: str | None = None):
+        self.every, self.path = every, path
 
     def __call__(self, epoch: int, metrics: dict[str, float]) -> None:
         if epoch % self.every == 0:
-            log.info("epoch %d: %s", epoch, ", ".join(f"{k} {v:.4f}" for k, v in metrics.items()))
+            line = f"epoch {epoch}: " + ", ".join(f"{k} {v:.4f}" for k, v in metrics.items())
+            log.info("%s", line)
+            if self.path:
+                files.append_line(self.path, line)
 
 
 class PlateauSchedule:

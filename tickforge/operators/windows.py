@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,6 +153,16 @@ def number(windows: DataFrame) -> DataFrame:
     return windows.join(sizes.select("ticker", start.alias("_start")), "ticker").withColumn("window_id", F.col("_start") + F.col("window_id")).select(*windows.columns)
 
 
+def item(windows: DataFrame, place: int, columns: list[str], key: str = "window_id") -> np.ndarray:
+    """One window (length, columns) by its number ``key`` (``idx`` after ``union_all``); numbers below 0 count from the end."""
+    if place < 0:
+        place += (windows.agg(F.max(key)).first()[0] or 0) + 1
+    rows = windows.filter(F.col(key) == place).orderBy("step").select(*columns).collect()  # a window's length
+    if not rows:
+        raise IndexError(place)
+    return np.array(rows, np.float32)
+
+
 def shape(windows: DataFrame) -> tuple[int, int, int]:
     """(windows, length, features)."""
     n, steps = windows.agg(F.count_distinct("ticker", "window_id"), F.max("step")).first()

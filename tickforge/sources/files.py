@@ -50,6 +50,14 @@ def write_bytes(path: str, data: bytes) -> None:
         out.write(data)
 
 
+def append_line(path: str, line: str) -> None:
+    """Opens and closes the file, so that nothing waits in memory. The store must be able to append."""
+    system, place = _store(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    with system.open_append_stream(place, compression=None) as out:
+        out.write(f"{line}\n".encode())
+
+
 def read_bytes(path: str) -> bytes:
     system, place = _store(path)
     with system.open_input_file(place) as f:
