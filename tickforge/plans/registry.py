@@ -968,7 +968,7 @@ def n8_diffusion_training(spark, sf_dir):
 def n11_variational_training(spark, sf_dir):
     from tickforge.operators import fitting
 
-    return _trained(spark, sf_dir, "variational", (fitting.variational(1.0, 2), 3), hidden=16)
+    return _trained(spark, sf_dir, "variational", (fitting.variational(1.0, 2), 3), hidden=16, layers=1)
 
 
 @query()
