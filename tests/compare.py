@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -23,7 +24,7 @@ def rows(frame):
     frame = frame[sorted(frame.columns)]
 
     def plain(x):
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return (0, 0.0)
         if isinstance(x, (bool,)) or type(x).__name__ == "bool_":
             return (1, float(x))

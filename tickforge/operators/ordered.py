@@ -1,4 +1,4 @@
-"""Running sums, ranks and exact percentiles of ordered values without a task per key.
+"""Row numbers, running sums, ranks and exact percentiles of ordered values without a task per key.
 
 Values are counted first, so that ties are one row. Per key the counted rows fall into
 ``PARTS`` parts at approximate percentiles; running sums go over a part, and what lies before a
@@ -11,7 +11,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickforge.sources.shared import new_path
+
 PARTS = 256
+_WITHIN = 33  # bits of monotonically_increasing_id that count within a partition
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "_at", parts: int | None = None) -> DataFrame:
+    """``rows`` with ``name``, the place (from 0) of each among those of its keys by ``order``; written to the shared folder.
+
+    One range partitioning by keys and order, in which a long key spans many tasks. Places are counted within
+    partitions; what comes before a partition is a sum over one number a partition, and what comes before a key a
+    minimum that is summed up partially. Rows that agree in keys and order stay in the order read.
+    """
+    spark = rows.sparkSession
+    tie = rows.withColumn("_read", F.monotonically_increasing_id())
+    by = [*keys, *order, "_read"]
+    ranged = (tie.repartitionByRange(parts, *by) if parts else tie.repartitionByRange(*by)).sortWithinPartitions(*by)
+    path = new_path(spark, "numbered")
+    ranged.withColumn("_id", F.monotonically_increasing_id()).drop("_read").write.parquet(path)
+    held = spark.read.parquet(path)
+    part = F.shiftright("_id", _WITHIN)
+    sizes = sorted(tuple(r) for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    before = spark.createDataFrame(starts, "_p long, _before long")
+    held = held.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << _WITHIN) - 1))
+    if keys:
+        first = held.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("_first"))
+        same = [held[k].eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
+        held = held.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
+    return held.select(*rows.columns, name)
 
 
 def running(counted: DataFrame, keys: list[str], order: str, sums: list[str], parts: int = PARTS) -> DataFrame:
