@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickforge.llm import chat, html, mixing, ngrams, packing, quality, simhash, tokencount, topk, urlrules
+from tickforge.llm import chat, html, mixing, ngrams, packing, prefixtrie, quality, simhash, tokencount, topk, urlrules
 from tickforge.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_lm_scoring,
         op9_topk_search,
         op10_token_counts,
+        op12_prefix_trie,
         pipeline,
     )
     return {f.__name__: f for f in every}
@@ -149,12 +154,49 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_i
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
+# crc32 by bits: each byte joins the register, which is shifted eight times
+TRIE_SQL = """
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) - 1 AS pos
+  FROM (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS name,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words
+    FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, t.pos, t.name, t.words FROM c JOIN t ON t.conv_id = c.base AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos - c.h + least(c.h, coalesce(b.n, 0)), t.name, t.words
+  FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos >= c.h LEFT JOIN c b ON b.conv_id = c.base),
+p AS (
+  SELECT conv_id, pos + 1 AS depth, words, string_agg(name, ',') OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS key FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (
+  SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, CASE WHEN depth > 0 THEN (count(*) - 1) * min(words) ELSE 0 END AS value
+  FROM p GROUP BY depth, key),
+u AS (SELECT n.*, p.key AS up FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+k AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.depth = n.depth AND k.key = n.key),
+s AS (
+  SELECT p.depth, p.key, count(*) FILTER (f.n_children = 0) AS n_leaves, sum(f.value) AS saved
+  FROM f JOIN p ON p.conv_id = f.conv_id AND p.depth <= f.depth GROUP BY p.depth, p.key),
+l AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+e AS (SELECT depth, key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends FROM p JOIN l USING (conv_id, depth) GROUP BY depth, key)
+SELECT u.conv_id, u.depth::BIGINT AS depth, m.conv_id AS parent_conv_id, u.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM u JOIN f ON f.depth = u.depth AND f.key = u.key JOIN s ON s.depth = u.depth AND s.key = u.key
+LEFT JOIN n m ON m.depth = u.depth - 1 AND m.key = u.up LEFT JOIN e ON e.depth = u.depth AND e.key = u.key"""
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
         "op4_chat_formatting": _chat_sql(),
         "op6_url_filters": _url_sql(),
         "op7_source_mixing": MIX_SQL,
         "op9_topk_search": TOPK_SQL,
+        "op12_prefix_trie": TRIE_SQL,
     }
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
