@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from tests.compare import duck, rows
+from tests.llm.small import with_sizes
 from tickforge.llm import prefixtrie, queries
 from tickforge.llm.common import table
 
@@ -78,17 +79,8 @@ def test_equal_to_brute_force(spark, monkeypatch, piece, block, block_turns, spa
     for name, value in (("PIECE", piece), ("SPAN", span)):
         monkeypatch.setattr(prefixtrie, name, value)
     made = sample(piece)
-    # a worker reads the sizes of blocks anew, so these are bound into the function it runs
-    plain = prefixtrie._blocks
-
-    def small(weights):
-        def run(batches):
-            prefixtrie.PIECE, prefixtrie.BLOCK, prefixtrie.BLOCK_TURNS = piece, block, block_turns
-            yield from plain(weights)(batches)
-
-        return run
-
-    monkeypatch.setattr(prefixtrie, "_blocks", small)
+    sizes = {"PIECE": piece, "BLOCK": block, "BLOCK_TURNS": block_turns}
+    monkeypatch.setattr(prefixtrie, "_search", with_sizes(prefixtrie, "_search", **sizes))
     assert got(prefixtrie.rebuilt_trie(frame_of(spark, made))) == brute(made)
 
 

@@ -237,31 +237,31 @@ def _searched(block: pd.DataFrame, weights: list[str]) -> pd.DataFrame:
     return pd.DataFrame(out)
 
 
-def _blocks(weights: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, count, turns_held = [], 0, 0
-        for part in batches:
-            sizes = part["words"].map(len).to_numpy(np.int64)
-            ends, a = np.cumsum(sizes), 0
-            while a < len(part):
-                b = min(len(part), a + BLOCK - count, max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_TURNS - turns_held, "right"))))
-                held.append(part.iloc[a:b])
-                count, turns_held = count + b - a, turns_held + int(sizes[a:b].sum())
-                a = b
-                if count >= BLOCK or turns_held >= BLOCK_TURNS:
-                    yield _searched(pd.concat(held, ignore_index=True), weights)
-                    held, count, turns_held = [], 0, 0
-        if held:
-            yield _searched(pd.concat(held, ignore_index=True), weights)
-
-    return run
+def _search(batches: Iterator[pd.DataFrame], weights: list[str]) -> Iterator[pd.DataFrame]:
+    """Sorted pieces, run by run."""
+    held, count, turns_held = [], 0, 0
+    for part in batches:
+        sizes = part["words"].map(len).to_numpy(np.int64)
+        ends, a = np.cumsum(sizes), 0
+        while a < len(part):
+            room = (ends[a - 1] if a else 0) + BLOCK_TURNS - turns_held
+            b = min(len(part), a + BLOCK - count, max(a + 1, int(np.searchsorted(ends, room, "right"))))
+            held.append(part.iloc[a:b])
+            count, turns_held = count + b - a, turns_held + int(sizes[a:b].sum())
+            a = b
+            if count >= BLOCK or turns_held >= BLOCK_TURNS:
+                yield _searched(pd.concat(held, ignore_index=True), weights)
+                held, count, turns_held = [], 0, 0
+    if held:
+        yield _searched(pd.concat(held, ignore_index=True), weights)
 
 
 def intervals(cut: DataFrame, weights: list[str]) -> DataFrame:
     """Every prefix with the sums of its members' weights."""
     by = ["j", "p", "q", "terms"]
     ranged = cut.repartitionByRange(*by, "conv_id").sortWithinPartitions(*by, "conv_id")
-    found = ranged.mapInPandas(_blocks(weights), NODES + "".join(f", {w} long" for w in weights))
+    search = _search
+    found = ranged.mapInPandas(lambda batches: search(batches, weights), NODES + "".join(f", {w} long" for w in weights))
     same = [F.min(c).alias(c) for c in ("up_p", "up_q", "conv_id", "words")]
     return found.groupBy("depth", "p", "q").agg(*same, *[F.sum(w).alias(w) for w in weights])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickforge.llm import chat, html, mixing, ngrams, packing, prefixtrie, quality, simhash, tokencount, topk, urlrules
+from tickforge.llm import alignment, chat, html, mixing, ngrams, packing, prefixtrie, quality, simhash, tokencount, topk, urlrules
 from tickforge.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_topk_search,
         op10_token_counts,
         op12_prefix_trie,
+        op13_tokenizer_alignment,
         pipeline,
     )
     return {f.__name__: f for f in every}
