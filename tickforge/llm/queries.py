@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tickforge.llm import alignment, chat, html, mixing, ngrams, packing, prefixtrie, quality, simhash, tokencount, topk, urlrules
+from tickforge.llm import alignment, chat, editembed, html, mixing, ngrams, packing, prefixtrie, quality, simhash, tokencount, topk, urlrules
 from tickforge.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editembed.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_lm_scoring,
         op9_topk_search,
         op10_token_counts,
+        op11_edit_fingerprints,
         op12_prefix_trie,
         op13_tokenizer_alignment,
         pipeline,
