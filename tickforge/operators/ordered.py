@@ -21,29 +21,24 @@ def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "_at", p
     """``rows`` with ``name``, the place (from 0) of each among those of its keys by ``order``; written to the shared folder.
 
     One range partitioning by keys and order, in which a long key spans many tasks. Places are counted within
-    partitions; what comes before a partition is a sum over one number a partition, and what comes before a key a
-    minimum that is summed up partially. Rows that agree in keys and order stay in the order read.
+    partitions; what a key has in partitions before is a running sum over one row a key and partition. Rows that agree
+    in keys and order stay in the order read.
     """
     spark = rows.sparkSession
-    tie = rows.withColumn("_read", F.monotonically_increasing_id())
     by = [*keys, *order, "_read"]
+    tie = rows.withColumn("_read", F.monotonically_increasing_id())
     ranged = (tie.repartitionByRange(parts, *by) if parts else tie.repartitionByRange(*by)).sortWithinPartitions(*by)
+    made = ranged.withColumn("_id", F.monotonically_increasing_id()).drop("_read")
     path = new_path(spark, "numbered")
-    ranged.withColumn("_id", F.monotonically_increasing_id()).drop("_read").write.parquet(path)
-    held = spark.read.parquet(path)
-    part = F.shiftright("_id", _WITHIN)
-    sizes = sorted(tuple(r) for r in held.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())  # a row a partition
-    starts, total = [], 0
-    for p, n in sizes:
-        starts.append((p, total))
-        total += n
-    before = spark.createDataFrame(starts, "_p long, _before long")
-    held = held.withColumn("_p", part).join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_id").bitwiseAND((1 << _WITHIN) - 1))
-    if keys:
-        first = held.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.min(name).alias("_first"))
-        same = [held[k].eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]
-        held = held.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
-    return held.select(*rows.columns, name)
+    made.write.parquet(path)
+    held = spark.read.schema(made.schema).parquet(path).withColumn("_part", F.shiftright("_id", _WITHIN))
+    inside = F.col("_id").bitwiseAND((1 << _WITHIN) - 1)
+    named = [F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]
+    runs = held.groupBy(*named, F.col("_part").alias("_p")).agg(F.min(inside).alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*[f"_{i}" for i in range(len(keys))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).drop("_first", "_n")
+    same = [F.col("_part") == F.col("_p"), *[held[k].eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]]
+    return held.join(runs, same).select(*[held[c] for c in rows.columns], (F.col("_from") + inside).alias(name))
 
 
 def running(counted: DataFrame, keys: list[str], order: str, sums: list[str], parts: int = PARTS) -> DataFrame:

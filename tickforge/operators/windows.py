@@ -1,7 +1,7 @@
 """Scaling, sliding windows, splits and their unions.
 
 Windows are long tables (ticker, window_id, step, features): each bar is exploded into the
-windows that hold it, after one shuffle by ticker. Scaler parameters are one row.
+windows that hold it; rows are numbered by range partitions, so that a series may span tasks. Scaler parameters are one row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators import features as feats
+from tickforge.operators import series
 
 DEFAULT_FEATURES = ["Open", "High", "Low", "Close", "Volume", "LogReturn", "LogVolume", "DollarVolume"]
 
@@ -47,13 +48,18 @@ def normalize(df: DataFrame, columns: list[str] | None = None, method: str = "mi
     return scale(df, params, columns), params
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Placed rows with _n, their series' length."""
+    return rows.join(rows.groupBy("ticker").agg(F.count("*").alias("_n")), "ticker")
+
+
 def create_windows(df: DataFrame, window_size: int = 30, columns: list[str] | None = None, stride: int = 1, check: bool = False) -> DataFrame:
     """(ticker, window_id, step, columns as float): windows at rows 0, stride, 2 stride... of each series.
 
     ``check`` raises if there is none, at the price of a job.
     """
     columns = columns or feats.numeric_columns(df)
-    rows = df.select("ticker", (F.row_number().over(feats.by_date()) - 1).cast("long").alias("_at"), F.count("*").over(Window.partitionBy("ticker")).alias("_n"), *[F.col(c).cast("float").alias(c) for c in columns])
+    rows = _counted(series.placed(df.select("ticker", "Date", *[F.col(c).cast("float").alias(c) for c in columns])))
     first = F.greatest(F.lit(0), F.ceil((F.col("_at") - window_size + 1) / stride)).cast("long")
     last = F.floor(F.least(F.col("_at"), F.col("_n") - window_size) / stride).cast("long")
     held = rows.filter(F.col("_n") >= window_size).withColumn("_ids", F.when(first <= last, F.sequence(first, last)))
@@ -101,8 +107,7 @@ def preprocess(
     rows = rows.dropna(subset=columns)
     fitted = rows
     if fit_scaler_on == "train":
-        place = rows.withColumns({"_at": F.row_number().over(feats.by_date()), "_n": F.count("*").over(Window.partitionBy("ticker"))})
-        fitted = place.filter(F.col("_at") <= F.floor(F.col("_n") * train_ratio))
+        fitted = _counted(series.placed(rows)).filter(F.col("_at") < F.floor(F.col("_n") * train_ratio))
     params = fit_scaler(fitted, columns, method)
     windows = create_windows(scale(rows, params, columns), window_size, columns, stride)
     return split(windows, train_ratio, val_ratio), params, columns
