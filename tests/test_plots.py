@@ -3,6 +3,8 @@
 import datetime
 from xml.etree import ElementTree
 
+from pyspark.sql import functions as F
+
 from tickforge.operators import plots
 
 BARS = "ticker string, Date date, Open double, High double, Low double, Close double, Volume double"
@@ -25,3 +27,10 @@ def test_others(spark):
     cells = spark.createDataFrame([("a", "a", 1.0), ("a", "b", None), ("b", "a", None), ("b", "b", 1.0)], "i string, j string, corr double")
     for svg in (plots.distributions(x, x.limit(0)), plots.heatmap(cells), plots.time_series(bars(spark, 9), "Close"), plots.time_series(bars(spark, 9).limit(0), "Close")):
         assert ElementTree.fromstring(svg).tag.endswith("svg")
+
+
+def test_a_line_for_every_ticker(spark):
+    every = bars(spark, 9).crossJoin(spark.range(11)).withColumn("ticker", F.concat("ticker", F.col("id").cast("string")))
+    lines = lambda svg: sum(e.tag.endswith("polyline") for e in ElementTree.fromstring(svg))
+    assert lines(plots.time_series(every, "Close")) == 11
+    assert lines(plots.time_series(every, "Close", num_samples=4)) == 4

@@ -5,8 +5,6 @@ import pytest
 from tests.compare import duck, rows
 from tickforge.plans import registry
 
-SLOW = {"n15_tstr"}
-
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows_as_sql(spark, sf_dir, name):
@@ -19,7 +17,7 @@ def test_same_rows_as_sql(spark, sf_dir, name):
             assert x == y or x[0] == y[0] == 1 and abs(x[1] - y[1]) <= 2e-6 * max(1, abs(x[1])), (a, b)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, sf_dir, name):
     assert registry.queries()[name](spark, sf_dir).count() > 0
 

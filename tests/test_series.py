@@ -139,3 +139,21 @@ def test_numbers_within_keys(spark):
     for _, part in got.groupby("k", dropna=False):
         part = part.sort_values("place")
         assert part["place"].tolist() == list(range(len(part))) and part["o"].is_monotonic_increasing
+
+
+def test_logistic_regression_is_optimal(spark):
+    """Newton steps over tasks against NumPy's on the whole rows, with collinear columns and an outlying one."""
+    from tickforge.operators import utility
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 6))
+    x[:, 4] = x[:, 3]
+    x[:, 5] *= 30
+    y = (x @ [1.0, -2.0, 0.0, 0.5, 0.5, 0.01] + 0.3 + rng.logistic(size=500) > 0).astype(float)
+    rows = spark.createDataFrame([(a.tolist(), float(b)) for a, b in zip(x, y, strict=True)], "x array<double>, y double").repartition(7)
+    weights, intercept, norms = utility.fit_logistic(rows)
+    p = 1 / (1 + np.exp(-(x @ weights + intercept)))
+    assert norms[-1] < 1e-8 and len(norms) < 15
+    np.testing.assert_allclose(x.T @ (p - y) + weights, 0, atol=1e-6)
+    assert abs((p - y).sum()) < 1e-6 and abs(weights[3] - weights[4]) < 1e-9
+    assert utility.fit_logistic(rows.filter("y = 1"))[1] == np.inf

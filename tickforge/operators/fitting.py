@@ -190,6 +190,8 @@ STATE = "slice int, rows long, steps long, losses binary, state binary, count bi
 
 
 def _kept(rows: DataFrame) -> DataFrame:
+    """Rows in the shared folder, dealt to at least as many partitions as there are cores."""
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     rows.sparkSession.sparkContext.setCheckpointDir(shared_folder(rows.sparkSession))
     return rows.checkpoint()
 

@@ -11,8 +11,8 @@ from tickforge.operators import stats
 
 WIDTH, HEIGHT, EDGE = 900, 400, 40
 COLOURS = ("#1f77b4", "#d95f02", "#1b9e77", "#7570b3", "#e7298a", "#66a61e", "#e6ab02", "#666666")
-#: Marks along an axis, and series in a picture, at most.
-MARKS, SERIES = 400, len(COLOURS)
+#: Marks along an axis at most.
+MARKS = 400
 
 
 def _svg(parts: list[str], title: str, width: int = WIDTH, height: int = HEIGHT) -> str:
@@ -95,17 +95,21 @@ def heatmap(cells: DataFrame, value: str = "corr", title: str = "Correlations")
     return _svg(parts, title, edge, edge)
 
 
-def time_series(rows: DataFrame, column: str, title: str = "Series", marks: int = MARKS) -> str:
-    """Mean of a column by equal spans of time, a line a ticker (the first ``SERIES`` by name)."""
-    few = rows.select("ticker").distinct().orderBy("ticker").limit(SERIES)  # a picture shows no more
-    means = _buckets(rows.join(F.broadcast(few), "ticker", "left_semi"), marks).groupBy("ticker", "_bucket").agg(F.avg(column).alias("y"))
+def time_series(rows: DataFrame, column: str, title: str = "Series", marks: int = MARKS, num_samples: int | None = None) -> str:
+    """Mean of a column by equal spans of time, a line a ticker: all of them, or the first ``num_samples`` by name."""
+    if num_samples is not None:
+        rows = rows.join(rows.select("ticker").distinct().orderBy("ticker").limit(num_samples), "ticker", "left_semi")
+    means = _buckets(rows, marks).groupBy("ticker", "_bucket").agg(F.avg(column).alias("y"))
     found = sorted((r[0] or "", r[1], r[2]) for r in means.collect() if None not in (r[1], r[2]))
     if not found:
         return _svg([], title)
     low, high = min(r[2] for r in found), max(r[2] for r in found)
     x, y = _scale(0, marks, EDGE, WIDTH - EDGE), _scale(low, high, HEIGHT - EDGE, EDGE)
     parts = _axis(low, high)
-    for k, name in enumerate(dict.fromkeys(r[0] for r in found)):
-        points = " ".join(f"{x(b + 0.5)},{y(v)}" for t, b, v in found if t == name)
-        parts.append(f'<polyline points="{points}" fill="none" stroke="{COLOURS[k]}"/><text x="{WIDTH - EDGE - 40}" y="{EDGE + 14 * k}" fill="{COLOURS[k]}">{escape(name)}</text>')
+    lines: dict[str, list[str]] = {}
+    for name, b, v in found:
+        lines.setdefault(name, []).append(f"{x(b + 0.5)},{y(v)}")
+    for k, (name, points) in enumerate(lines.items()):
+        colour = COLOURS[k % len(COLOURS)]
+        parts.append(f'<polyline points="{" ".join(points)}" fill="none" stroke="{colour}"/><text x="{WIDTH - EDGE - 40}" y="{EDGE + 14 * k}" fill="{colour}">{escape(name)}</text>')
     return _svg(parts, title)

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators import ordered
+from tickforge.sources.shared import new_path
+
+#: Rows whose part of the Gram matrix is computed together.
+_ROWS = 2048
 
 
 def classification_metrics(rows: DataFrame) -> DataFrame:
@@ -29,30 +37,92 @@ def classification_metrics(rows: DataFrame) -> DataFrame:
     return hits.crossJoin(F.broadcast(ranks)).select("accuracy", f1.alias("f1"), auc.alias("roc_auc"))
 
 
-def _fitted_metrics(train: DataFrame, test: DataFrame) -> dict[str, float]:
-    """A logistic regression (L2, C = 1) on standardised features, judged on ``test``."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def _normal_equations(weights: np.ndarray):
+    """Per task: the rows of X'WX with X'(p - y) beside them, and the loss, at ``weights`` (the last one the intercept)."""
+    width = len(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gram, gradient, loss = np.zeros((width, width)), np.zeros(width), 0.0
+        for part in batches:
+            for k in range(0, len(part), _ROWS):
+                some = part.iloc[k : k + _ROWS]
+                x = np.column_stack([np.stack(some["x"].to_numpy()), np.ones(len(some))])
+                y = some["y"].to_numpy(float)
+                z = x @ weights
+                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                gram += (x * (p * (1 - p))[:, None]).T @ x
+                gradient += x.T @ (p - y)
+                loss += float((np.logaddexp(0, z) - y * z).sum())
+        rows = np.column_stack([gram, gradient])
+        yield pd.DataFrame({"i": np.arange(width + 1), "v": [*rows, np.array([loss])]})
+
+    return run
+
+
+def _summed(part: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"i": [part["i"].iloc[0]], "v": [np.sum(np.stack(part["v"].to_numpy()), axis=0)]})
 
-    sizes = train.select("x").limit(1).collect()
-    if not sizes:
+
+def fit_logistic(rows: DataFrame, strength: float = 1.0, tolerance: float = 1e-8, most: int = 100) -> tuple[np.ndarray, float, list[float]]:
+    """(coefficients, intercept, gradient norms) of a logistic regression of y on arrays x, by Newton steps.
+
+    The summed loss and ``strength`` / 2 times the squared coefficients are least there. Each step sums
+    the Gram matrix over tasks; the driver solves a system as large as a row is wide. A step that doesn't
+    lower the loss is halved. If all rows are of one class, the model says so and nothing else.
+    """
+    first = rows.select("x").limit(1).collect()
+    if not first:
         raise ValueError("no training rows")
-    width = len(sizes[0][0])
+    width = len(first[0][0])
+    n, ones = rows.agg(F.count("*"), F.sum(F.col("y").cast("long"))).first()
+    if ones in (0, n):
+        return np.zeros(width), np.inf if ones else -np.inf, [0.0]
+    penalty = np.append(np.full(width, strength), 0.0)
+    w, step, best, norms = np.zeros(width + 1), np.zeros(width + 1), np.inf, []
+    for _ in range(most):
+        found = rows.select("x", "y").mapInPandas(_normal_equations(w), "i int, v array<double>").groupBy("i").applyInPandas(_summed, "i int, v array<double>")
+        parts = dict(map(tuple, found.collect()))  # as many rows as a row is wide
+        loss = parts[width + 1][0] + float(penalty @ w**2) / 2
+        if loss > best + 1e-9 * abs(best):
+            step /= 2
+            w = w - step
+            continue
+        best = loss
+        system = np.array([parts[i] for i in range(width + 1)])
+        gradient = system[:, -1] + penalty * w
+        norms.append(float(np.linalg.norm(gradient)))
+        if norms[-1] < tolerance:
+            break
+        step = -np.linalg.lstsq(system[:, :-1] + np.diag(penalty), gradient, rcond=None)[0]
+        w = w + step
+    return w[:-1], float(w[-1]), norms
+
+
+def _written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows in the shared folder, dealt to as many files as there are cores at least."""
+    spark = rows.sparkSession
+    path = new_path(spark, name)
+    rows.repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _fitted_metrics(train: DataFrame, test: DataFrame) -> dict[str, float]:
+    """A logistic regression (L2, C = 1) on standardised features, judged on ``test``."""
     each = train.select(F.posexplode("x").alias("k", "x")).groupBy("k").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
     stats = {r["k"]: (r["m"], r["s"] or 1.0) for r in each.collect()}  # one row a feature
-    mean, dev = (F.array(*[F.lit(float(stats[k][i])) for k in range(width)]) for i in (0, 1))
+    if not stats:
+        raise ValueError("no training rows")
+    numbers = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    mean, dev = (numbers([stats[k][i] for k in sorted(stats)]) for i in (0, 1))
 
     def scaled(rows: DataFrame) -> DataFrame:
         z = F.zip_with(F.zip_with("x", mean, lambda a, b: a - b), dev, lambda a, b: a / b)
-        return rows.select(array_to_vector(z).alias("features"), F.col("y").cast("double").alias("y"))
+        return rows.select(z.alias("x"), F.col("y").cast("double").alias("y"))
 
-    ready = scaled(train).cache()
-    n = ready.count()
-    lr = LogisticRegression(labelCol="y", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000)
-    out = lr.fit(ready).transform(scaled(test)).select("y", "prediction", vector_to_array("probability")[1].alias("score"))
-    found = classification_metrics(out).first().asDict()
-    ready.unpersist()
-    return found
+    weights, intercept, _ = fit_logistic(_written(scaled(train), "training-rows"))
+    z = F.aggregate(F.zip_with("x", numbers(weights), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) + F.lit(intercept)
+    out = scaled(test).select("y", z.alias("z"))
+    return classification_metrics(out.select("y", (F.col("z") > 0).cast("double").alias("prediction"), F.col("z").alias("score"))).first().asDict()
 
 
 def tail_split(rows: DataFrame, test_ratio: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +151,7 @@ def tstr_benchmark(real: DataFrame, synthetic: DataFrame, test_ratio: float = 0.
 
     With a ticker, windows of one number are put in its order.
     """
+    real, synthetic = _written(real, "real-rows"), _written(synthetic, "synthetic-rows")
     train, test = tail_split(real, test_ratio)
     trtr, tstr = _fitted_metrics(train, test), _fitted_metrics(synthetic, test)
     return {"trtr": trtr, "tstr": tstr, "gap": {k: trtr[k] - tstr[k] for k in trtr}}

@@ -937,10 +937,11 @@ def n11_variational_generate(spark, sf_dir):
 
 
 def _trained(spark: SparkSession, sf_dir: str, kind: str, *phases, **options) -> DataFrame:
-    """(phase, epoch, metric, value): losses of small models trained on all windows of the scaled bars."""
+    """(phase, epoch, metric, value): losses of small models trained on all training windows of the scaled bars."""
     from tickforge.operators import fitting
 
     made, _, columns = windows.preprocess(_bars(spark, sf_dir))
+    made = made.filter("split = 'train'").drop("split")
     model, out = fitting.build(kind, len(columns), **options), []
     for k, (aims, epochs) in enumerate(phases):
         model, history = fitting.fit(windows.as_arrays(made, columns), model, aims, epochs, 0.005, 32)
@@ -952,7 +953,7 @@ def _trained(spark: SparkSession, sf_dir: str, kind: str, *phases, **options) ->
 def n3_n5_adversarial_training(spark, sf_dir):
     from tickforge.operators import fitting
 
-    return _trained(spark, sf_dir, "adversarial", (fitting.autoencoding(), 2), (fitting.supervising(), 2), (fitting.adversarial(), 2), hidden=12, layers=1)
+    return _trained(spark, sf_dir, "adversarial", (fitting.autoencoding(), 1), (fitting.supervising(), 1), (fitting.adversarial(), 1), hidden=8, layers=1)
 
 
 @query()
