@@ -196,7 +196,7 @@ class TestStatistics:
 
     def test_average_ranks(self, spark):
         df = spark.createDataFrame([("f", v) for v in (3.0, 1.0, 1.0, 2.0)], "feature string, v double")
-        assert sorted(r["k"] for r in stats.average_ranks(df, "v", "k").collect()) == [1.5, 1.5, 3, 4]
+        assert sorted(r["k"] for r in stats.average_ranks(df, {"v": "k"}).collect()) == [1.5, 1.5, 3, 4]
 
     def test_histogram_of_constant(self, spark):
         out = stats.histogram(series(spark, [2, 2, 2]), 10).toPandas()

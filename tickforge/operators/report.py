@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tickforge.operators import pairwise, stats, utility, windows
 from tickforge.sources.files import save_report
-from tickforge.sources.shared import new_path
+from tickforge.sources.shared import stored
 
 
 def realism_score(report: dict) -> float | None:
@@ -26,12 +26,6 @@ def realism_score(report: dict) -> float | None:
     return sum(terms) / len(terms) if terms else None
 
 
-def _stored(rows: DataFrame, name: str) -> DataFrame:
-    path = new_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def compute_all_metrics(
     real: DataFrame,
     synthetic: DataFrame,
@@ -48,7 +42,7 @@ def compute_all_metrics(
     ``synthetic_uses_real_volume`` synthetic returns are paired with real volume and volatility
     by place, as far as both reach.
     """
-    real, synthetic = (_stored(windows.number(w), f"report-{k}") for k, w in enumerate((real, synthetic)))
+    real, synthetic = (stored(windows.number(w), f"report-{k}") for k, w in enumerate((real, synthetic)))
     n, length, _ = windows.shape(real)
     m, length2, _ = windows.shape(synthetic)
     r, s = stats.long_series(real, columns, length), stats.long_series(synthetic, columns, length2)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tickforge.functions import special
 from tickforge.operators import ordered
+from tickforge.sources.shared import stored
 
 #: Rows of a series in a block.
 BLOCK = 100_000
@@ -67,10 +68,9 @@ def ks_statistic(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     """
     tagged = real.select("feature", "x", F.lit(1).alias("r")).unionAll(synthetic.select("feature", "x", F.lit(0).alias("r"))).filter("x IS NOT NULL")
     counts = tagged.groupBy("feature", "x").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("s"))
-    sizes = counts.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("s").alias("m"))
-    run = ordered.running(counts, ["feature"], "x", ["r", "s"]).withColumns({"r": F.col("r") + F.col("r_before"), "s": F.col("s") + F.col("s_before")})
-    gap = F.abs(F.try_divide(F.col("r"), F.col("n")) - F.try_divide(F.col("s"), F.col("m")))
-    return run.join(sizes, "feature").groupBy("feature").agg(F.max(gap).alias("ks_statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
+    run = ordered.running(counts, ["feature"], "x", ["r", "s"])
+    share = lambda c: F.try_divide(F.col(c) + F.col(f"{c}_before"), F.col(f"{c}_all"))
+    return run.groupBy("feature").agg(F.max(F.abs(share("r") - share("s"))).alias("ks_statistic"), F.first("r_all").alias("n"), F.first("s_all").alias("m"))
 
 
 def ks_test(real: DataFrame, synthetic: DataFrame) -> dict[str, dict[str, float]]:
@@ -132,22 +132,31 @@ def leverage_effect(pairs: DataFrame, lags: int = 10) -> DataFrame:
     return every.withColumn("mean_leverage_corr", mean).withColumn("has_leverage_effect", F.col("mean_leverage_corr") < -0.05)
 
 
-def average_ranks(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Adds ranks from 1, ties averaged: counts before distinct values, joined back. Rows without a value go."""
-    counts = ordered.counted(rows, ["feature"], column)
-    return rows.join(counts.select("feature", column, (F.col("n_before") + (F.col("n") + 1) / 2).alias(name)), ["feature", column])
+def average_ranks(rows: DataFrame, ranks: dict[str, str]) -> DataFrame:
+    """Adds per column a rank from 1, named as ``ranks`` says, ties averaged. Rows without one of the values go.
+
+    One running count goes over the distinct values of all columns; the ranks are joined back by value.
+    """
+    columns = list(ranks)
+    rows = stored(rows.dropna(subset=columns), "ranked")
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns]))
+    values = rows.select("feature", pairs.alias("_p")).select("feature", F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
+    counts = stored(ordered.counted(values, ["feature", "_c"], "_x").select("feature", "_c", "_x", (F.col("n_before") + (F.col("n") + 1) / 2).alias("_rank")), "ranks")
+    for c, name in ranks.items():
+        rows = rows.join(counts.filter(F.col("_c") == c).select("feature", F.col("_x").alias(c), F.col("_rank").alias(name)), ["feature", c])
+    return rows
 
 
 def volume_volatility(pairs: DataFrame) -> DataFrame:
     """(feature, pearson, spearman, n, has_vol_volume_corr) of rows (feature, volume, vol)."""
-    rows = pairs.filter("volume IS NOT NULL AND vol IS NOT NULL").select("feature", "volume", "vol")
-    ranked = average_ranks(average_ranks(rows, "volume", "_rv"), "vol", "_rw")
+    ranked = average_ranks(pairs.select("feature", "volume", "vol"), {"volume": "_rv", "vol": "_rw"})
     out = ranked.groupBy("feature").agg(pearson("volume", "vol").alias("pearson"), pearson("_rv", "_rw").alias("spearman"), F.count("*").alias("n"))
     return out.withColumn("has_vol_volume_corr", F.col("pearson") > 0.1)
 
 
 def stylized_table(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> DataFrame:
     """All facts of series (feature, idx, r, volume, vol), a row each; p-values are left to ``stylized_facts``."""
+    rows = stored(rows.select("feature", "idx", "r", "volume", "vol"), "facts")
     series = rows.select("feature", "idx", F.col("r").alias("x"))
     parts = [fat_tails(series), volatility_clustering(series, max_lag), leverage_effect(rows, lags), volume_volatility(rows)]
     out = parts[0]
@@ -190,7 +199,7 @@ def histogram(series: DataFrame, bins: int = 50) -> DataFrame:
 def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, count, mean, std, min, q25, q50, q75, max) with exact, interpolated quartiles."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in columns]))
-    long = rows.select(pairs.alias("p")).select("p.*")
+    long = stored(rows.select(pairs.alias("p")).select("p.*"), "described")
     out = long.groupBy("feature").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     out = out.join(ordered.percentiles(long, ["feature"], "x", [0.25, 0.5, 0.75]), "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
