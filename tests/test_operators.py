@@ -216,16 +216,46 @@ class TestPairwise:
         assert pairwise.mmd_rbf(vecs(spark, x), vecs(spark, x))["mmd"] == pytest.approx(0, abs=1e-12)
         assert pairwise.mmd_rbf(vecs(spark, x), vecs(spark, x + 5))["mmd"] > 0.05
 
-    def test_neighbours_across_blocks(self, spark):
+    @pytest.mark.parametrize("k, block", [(1, 5), (4, 11), (4, 2048), (50, 7)])
+    def test_neighbours_across_cells(self, spark, k, block):
         rng = np.random.default_rng(3)
         x, y = rng.normal(size=(40, 3)), rng.normal(size=(30, 3))
-        want = np.sort(np.linalg.norm(y[:, None] - x[None], axis=2), axis=1)[:, :4]
-        old, pairwise.block_pairs.__defaults__ = pairwise.block_pairs.__defaults__, (11,)
-        try:
-            got = pairwise.nearest(vecs(spark, y), vecs(spark, x), 4).orderBy("id", "rank").toPandas()
-        finally:
-            pairwise.block_pairs.__defaults__ = old
-        assert got["distance"].to_numpy().reshape(-1, 4) == pytest.approx(want)
+        x[:8] = x[0]  # copies, ties
+        want = np.sort(np.linalg.norm(y[:, None] - x[None], axis=2), axis=1)[:, :k]
+        got = pairwise.nearest(vecs(spark, y), vecs(spark, x), k, block).orderBy("id", "rank").toPandas()
+        assert got["distance"].to_numpy().reshape(30, -1) == pytest.approx(want)
+
+    def test_far_cells_are_skipped(self, spark):
+        """Groups far apart: what is skipped, and that nothing is lost by it."""
+        rng = np.random.default_rng(5)
+        x = np.repeat(rng.normal(size=(12, 4)) * 100, 25, axis=0) + rng.normal(size=(300, 4))
+        y = x + rng.normal(size=x.shape) / 10
+        real, made = pairwise.in_cells(vecs(spark, x), vecs(spark, y), block=10)
+        found, skipped = pairwise.neighbours(made, real, 3)
+        want = np.sort(np.linalg.norm(y[:, None] - x[None], axis=2), axis=1)[:, :3]
+        assert found.orderBy("id", "rank").toPandas()["distance"].to_numpy().reshape(300, 3) == pytest.approx(want)
+        assert skipped > 0.5
+        kernels = pairwise.mmd_rbf(vecs(spark, x), vecs(spark, y), block=10)
+        for name, (a, b) in {"xx": (x, x), "yy": (y, y), "xy": (x, y)}.items():
+            want = np.exp(-((a[:, None] - b[None]) ** 2).sum(axis=2) / 2).mean()
+            assert kernels[name] == pytest.approx(want, abs=1e-12)
+        assert kernels["pairs_skipped"] > 0.5
+
+    def test_hot_cell_in_pieces(self, spark):
+        """All rows in one cell, more than a block of them, repeated ids among them."""
+        x = np.random.default_rng(6).normal(size=(60, 2)) / 1000
+        rows = vecs(spark, x).withColumn("id", F.lit(7).cast("long"))
+        found = pairwise.nearest(rows, vecs(spark, x), 2, 9).toPandas()
+        assert len(found) == 120 and (found[found["rank"] == 1]["distance"] == 0).all()
+        assert pairwise.kernel_mean(rows, rows, block=9) == pytest.approx(np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / 2).mean())
+
+    def test_empty_and_missing_vectors(self, spark):
+        x = vecs(spark, [[0.0, 1.0], [1.0, 1.0]])
+        none = x.limit(0)
+        assert pairwise.nearest(none, x, 2).count() == 0 and pairwise.nearest(x, none, 2).count() == 0
+        assert pairwise.mmd_rbf(x, none)["mmd"] is None
+        gap = x.withColumn("v", F.when(F.col("id") > 0, F.col("v")))
+        assert [r["id"] for r in pairwise.nearest(gap, x, 1).collect()] == [1]
 
     def test_copies_are_a_privacy_risk(self, spark):
         x = np.random.default_rng(4).normal(size=(50, 4))

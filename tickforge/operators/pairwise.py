@@ -1,12 +1,19 @@
 """Kernel distance and nearest neighbours between two vector sets (id, v).
 
-All pairs are meant, so rows are dealt into blocks, each pair of blocks is one task, and only
-sums or the k nearest leave it. Tasks grow in number with the data, not in size.
+Rows are assigned to the nearest of some pivots, and both sets are written once with their cells.
+By the triangle inequality rows of two cells are no nearer than their pivots' distance less both
+radii; pairs of cells too far apart to matter are never formed, and a vector is copied only to
+cells that can hold a neighbour of it or a kernel value that shows. Cells are cut into pieces of
+some ``BLOCK`` rows, a pair of pieces is one task, and only sums or the k nearest leave it. Which
+rows are pivots decides how much is skipped, not what is found.
+
+Rows without a vector take no part. Rows that share an id are rows of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -14,21 +21,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.operators import ordered
+from tickforge.sources.shared import stored
 
+#: Rows of a piece, and of a cell while there are fewer than ``PIVOTS`` of them.
 BLOCK = 2048
+#: Cells at most: what is known of cells, and of pairs of cells, is bounded by it and may be broadcast.
+PIVOTS = 256
+#: Kernel values below this are taken for zero; so no mean is off by more.
+LEAST = 1e-13
+#: Bounds are widened by this share, against rounding.
+_SLACK = 1e-9
 
 
-def block_pairs(left: DataFrame, right: DataFrame, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, block: int = BLOCK) -> DataFrame:
-    """``work`` on every pair of a block of ``left`` and one of ``right``.
+@dataclass(frozen=True)
+class Cells:
+    """A set (id, v, _row, _cell, _piece): by cell its rows, pieces and radius around the pivot."""
 
-    Blocks are made by a hash of the id; each row is copied once per block of the other side.
-    """
-    n, m = (max(1, -(-d.count() // block)) for d in (left, right))
-    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    of = lambda k: F.pmod(F.xxhash64("id"), F.lit(k)).cast("int")
-    a = left.select("id", "v", of(n).alias("bi")).withColumn("bj", each(m))
-    b = right.select(F.col("id").alias("id2"), F.col("v").alias("v2"), of(m).alias("bj2")).withColumn("bi2", each(n))
-    return a.groupBy("bi", "bj").cogroup(b.groupBy("bi2", "bj2")).applyInPandas(lambda x, y: work(x, y.rename(columns={"id2": "id", "v2": "v"})), schema)
+    rows: DataFrame
+    counts: np.ndarray
+    pieces: np.ndarray
+    radius: np.ndarray
+    pivots: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return int(self.counts.sum())
 
 
 def _matrix(part: pd.DataFrame) -> np.ndarray:
@@ -44,37 +61,177 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def kernel_mean(left: DataFrame, right: DataFrame, bandwidth: float = 1.0) -> float | None:
-    """Mean of exp(-d2 / 2h2) over all pairs."""
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squares(x, y))
+
+
+def in_cells(*sets: DataFrame, block: int = BLOCK) -> list[Cells]:
+    """The sets in cells around the same pivots, one pivot to ``block`` rows and at most ``PIVOTS``."""
+    spark = sets[0].sparkSession
+    tagged = [s.select(F.lit(k).alias("_set"), "id", "v").filter(F.col("v").isNotNull()) for k, s in enumerate(sets)]
+    every = tagged[0]
+    for t in tagged[1:]:
+        every = every.unionAll(t)
+    kept = stored(every.withColumn("_row", F.monotonically_increasing_id()), "vectors")
+    wanted = max(1, min(PIVOTS, kept.count() // block))
+    picked = kept.select("v").orderBy(F.xxhash64("_row", "id"), "_row").limit(wanted).collect()  # at most PIVOTS rows
+    if not picked:
+        none = np.zeros(0)
+        empty = kept.select("id", "v", "_row", F.lit(0).alias("_cell"), F.lit(0).alias("_piece"))
+        return [Cells(empty, none, none, none, none.reshape(0, 0)) for _ in sets]
+    pivots = np.unique(np.array([r[0] for r in picked], np.float64), axis=0)
+
+    def assign(batches):
+        for part in batches:
+            d = _distances(_matrix(part), pivots)
+            cell = d.argmin(axis=1)
+            yield part.assign(_cell=cell, _from=d[np.arange(len(part)), cell])
+
+    placed = stored(kept.mapInPandas(assign, "_set int, id long, v array<double>, _row long, _cell int, _from double"), "cells")
+    known = placed.groupBy("_set", "_cell").agg(F.count("*").alias("n"), F.max("_from").alias("r")).collect()  # a row a cell and set
+    out = []
+    for k in range(len(sets)):
+        counts, radius = np.zeros(len(pivots), int), np.zeros(len(pivots))
+        for r in known:
+            if r["_set"] == k:
+                counts[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
+        pieces = -(-counts // block)
+        table = F.broadcast(spark.createDataFrame([(c, int(p)) for c, p in enumerate(pieces)], "_cell int, _pieces int"))  # a row a cell
+        piece = F.pmod(F.xxhash64("_row"), F.greatest("_pieces", F.lit(1))).cast("int").alias("_piece")
+        rows = placed.filter(F.col("_set") == k).join(table, "_cell").select("id", "v", "_row", "_cell", piece)
+        out.append(Cells(rows, counts, pieces, radius, pivots))
+    return out
+
+
+Work = Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]
+
+
+def _on_pairs(left: Cells, right: Cells, pairs: list[tuple[int, int]], work: Work, schema: str, left_rows: DataFrame | None = None, halved: bool = False) -> DataFrame:
+    """``work`` on the pieces of each pair of cells; ``halved`` leaves out pieces of one cell in the other order."""
+    spark = left.rows.sparkSession
+    sized = [(i, j, int(left.pieces[i]), int(right.pieces[j])) for i, j in pairs]
+    table = F.broadcast(spark.createDataFrame(sized, "i int, j int, pi int, pj int"))  # at most PIVOTS squared
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = (left.rows if left_rows is None else left_rows).join(table, F.col("_cell") == F.col("i")).withColumnRenamed("_piece", "p").withColumn("q", each("pj"))
+    b = right.rows.join(table, F.col("_cell") == F.col("j")).withColumnRenamed("_piece", "q").withColumn("p", each("pi"))
+    if halved:
+        a, b = (x.filter((F.col("i") != F.col("j")) | (F.col("p") <= F.col("q"))) for x in (a, b))
+    extra = [] if left_rows is None else ["_bound"]
+    a = a.select("i", "j", "p", "q", "_row", "id", "v", *extra)
+    b = b.select(*[F.col(c).alias(f"{c}2") for c in ("i", "j", "p", "q", "v")])
+    return a.groupBy("i", "j", "p", "q").cogroup(b.groupBy("i2", "j2", "p2", "q2")).applyInPandas(lambda key, x, y: work(key, x, y.rename(columns={"v2": "v"})), schema)
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+
+def _gaps(left: Cells, right: Cells) -> np.ndarray:
+    """By pair of cells, what the distance of their rows is at least."""
+    d = _distances(left.pivots, right.pivots)
+    return np.maximum(0.0, d * (1 - _SLACK) - (left.radius[:, None] + right.radius) * (1 + _SLACK))
+
+
+def _skipped(left: Cells, right: Cells, pairs: list[tuple[int, int]]) -> float:
+    done = sum(int(left.counts[i]) * int(right.counts[j]) for i, j in pairs)
+    return 1 - done / max(1, left.size * right.size)
+
+
+def _kernel_mean(left: Cells, right: Cells, bandwidth: float) -> tuple[float | None, float]:
+    """(mean, share of pairs skipped). Of a set with itself each pair of pieces is worked out in one order."""
+    if not left.size or not right.size:
+        return None, 0.0
+    same = left is right
+    gaps = _gaps(left, right)
+    shows = np.exp(-(gaps**2) / (2 * bandwidth**2)) >= LEAST
+    shows &= (left.counts[:, None] > 0) & (right.counts > 0)
+    pairs = [(int(i), int(j)) for i, j in np.argwhere(shows) if not same or i <= j]
+
+    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"s": [0.0], "n": [0]})
-        return pd.DataFrame({"s": [float(np.exp(-_squares(_matrix(a), _matrix(b)) / (2 * bandwidth**2)).sum())], "n": [len(a) * len(b)]})
+            return pd.DataFrame({"s": [0.0]})
+        twice = 2 if same and (key[0] != key[1] or key[2] != key[3]) else 1
+        return pd.DataFrame({"s": [twice * float(np.exp(-_squares(_matrix(a), _matrix(b)) / (2 * bandwidth**2)).sum())]})
 
-    total = block_pairs(left, right, work, "s double, n long").agg(F.sum("s"), F.sum("n")).first()
-    return total[0] / total[1] if total[1] else None
+    total = _on_pairs(left, right, pairs, work, "s double", halved=same).agg(F.sum("s")).first()[0]
+    return (total or 0.0) / (left.size * right.size), _skipped(left, right, pairs)
 
 
-def mmd_rbf(real: DataFrame, synthetic: DataFrame, bandwidth: float = 1.0) -> dict[str, float]:
-    """Biased squared MMD with its three kernel means, diagonals included."""
-    xx, yy, xy = kernel_mean(real, real, bandwidth), kernel_mean(synthetic, synthetic, bandwidth), kernel_mean(real, synthetic, bandwidth)
-    return {"xx": xx, "yy": yy, "xy": xy, "mmd": xx + yy - 2 * xy}
+def kernel_mean(left: DataFrame, right: DataFrame, bandwidth: float = 1.0, block: int = BLOCK) -> float | None:
+    """Mean of exp(-d2 / 2h2) over all pairs."""
+    made = in_cells(left, block=block) * 2 if left is right else in_cells(left, right, block=block)
+    return _kernel_mean(*made, bandwidth)[0]
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int) -> DataFrame:
-    """(id, rank, distance): the k nearest of ``base`` to each query, itself included if it is there."""
+def mmd_rbf(real: DataFrame, synthetic: DataFrame, bandwidth: float = 1.0, block: int = BLOCK) -> dict[str, float | None]:
+    """Biased squared MMD with its three kernel means, diagonals included; nulls where a set is empty.
+
+    ``pairs_skipped`` is the share of all pairs of the three means that were not worked out.
+    """
+    x, y = in_cells(real, synthetic, block=block)
+    (xx, s1), (yy, s2), (xy, s3) = _kernel_mean(x, x, bandwidth), _kernel_mean(y, y, bandwidth), _kernel_mean(x, y, bandwidth)
+    sizes = [x.size**2, y.size**2, x.size * y.size]
+    skipped = sum(n * s for n, s in zip(sizes, (s1, s2, s3), strict=True)) / max(1, sum(sizes))
+    return {"xx": xx, "yy": yy, "xy": xy, "mmd": None if None in (xx, yy, xy) else xx + yy - 2 * xy, "pairs_skipped": skipped}
+
+
+_FOUND = "_row long, id long, cell int, d2 double"
+
+
+def _search(k: int, pivots: np.ndarray, radius: np.ndarray) -> Work:
+    """The k nearest of a piece to each row of another; with a _bound, rows whose bound doesn't reach the cell are left out."""
 
-    def work(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[:2]
+        if "_bound" in a and len(a):
+            reach = _distances(_matrix(a), pivots[j : j + 1])[:, 0] * (1 - _SLACK) - radius[j] * (1 + _SLACK)
+            a = a[reach <= a["_bound"].to_numpy()]
         if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "d2": pd.Series([], dtype="float64")})
+            return pd.DataFrame({"_row": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cell": pd.Series([], dtype="int32"), "d2": pd.Series([], dtype="float64")})
         d2 = _squares(_matrix(a), _matrix(b))
         least = np.sort(np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2, axis=1)
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), least.shape[1]), "d2": least.ravel()})
+        repeat = lambda c: np.repeat(a[c].to_numpy(), least.shape[1])
+        return pd.DataFrame({"_row": repeat("_row"), "id": repeat("id"), "cell": i, "d2": least.ravel()})
 
-    found = block_pairs(queries, base, work, "id long, d2 double")
-    w = Window.partitionBy("id").orderBy("d2")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", F.sqrt("d2").alias("distance"))
+    return work
+
+
+def _least(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("_row").orderBy("d2")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def neighbours(queries: Cells, base: Cells, k: int) -> tuple[DataFrame, float]:
+    """((id, rank, distance), share of pairs of rows whose cells were not paired).
+
+    First each cell is searched against the nearest cells that hold k rows together; the kth distances found bound
+    what is left, by cell and then by row, and only cells within the bound are searched after that.
+    """
+    searched = _search(k, base.pivots, base.radius)
+    result = lambda rows: rows.select("id", "rank", F.sqrt("d2").alias("distance"))
+    if not queries.size or not base.size:
+        return result(queries.rows.limit(0).select("id", F.lit(0).alias("rank"), F.lit(0.0).alias("d2"))), 0.0
+    apart = _distances(queries.pivots, base.pivots)
+    gaps = _gaps(queries, base)
+    mine, theirs = np.flatnonzero(queries.counts), np.flatnonzero(base.counts)
+    first: list[tuple[int, int]] = []
+    for i in mine:
+        near = theirs[np.argsort(apart[i, theirs], kind="stable")]
+        upto = int(np.searchsorted(np.cumsum(base.counts[near]), k)) + 1
+        first += [(int(i), int(j)) for j in near[:upto]]
+    start = stored(_least(_on_pairs(queries, base, first, searched, _FOUND), k), "near")
+    done = set(first)
+    left = [(int(i), int(j)) for i in mine for j in theirs if (int(i), int(j)) not in done]
+    if left:
+        kth = start.groupBy("_row").agg(F.max("cell").alias("cell"), F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).otherwise(F.lit(float("inf"))).alias("_bound"))
+        reach = dict(map(tuple, kth.groupBy("cell").agg(F.max("_bound")).collect()))  # a row a cell
+        left = [(i, j) for i, j in left if gaps[i, j] <= reach[i] * (1 + _SLACK)]
+    if not left:
+        return result(start), _skipped(queries, base, first)
+    bounded = queries.rows.join(kth.select("_row", (F.col("_bound") * (1 + _SLACK)).alias("_bound")), "_row")
+    more = _on_pairs(queries, base, left, searched, _FOUND, bounded)
+    return result(stored(_least(start.drop("rank").unionByName(more), k), "nearest")), _skipped(queries, base, first + left)
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(id, rank, distance): the k nearest of ``base`` to each query, itself included if it is there."""
+    return neighbours(*in_cells(queries, base, block=block), k)[0]
 
 
 def nndr(real: DataFrame, synthetic: DataFrame, n_neighbors: int = 5, drop_first_synthetic: bool = True) -> DataFrame:
@@ -85,8 +242,9 @@ def nndr(real: DataFrame, synthetic: DataFrame, n_neighbors: int = 5, drop_first
     """
     k = n_neighbors + 1
     kept = F.col("rank") > 1 if drop_first_synthetic else F.col("rank") < k
-    s = nearest(synthetic, real, k).filter(kept).agg(F.avg("distance").alias("synthetic_to_real"))
-    r = nearest(real, real, k).filter("rank > 1").agg(F.avg("distance").alias("real_to_real"))
+    x, y = in_cells(real, synthetic)
+    s = neighbours(y, x, k)[0].filter(kept).agg(F.avg("distance").alias("synthetic_to_real"))
+    r = neighbours(x, x, k)[0].filter("rank > 1").agg(F.avg("distance").alias("real_to_real"))
     ratio = F.col("synthetic_to_real") / (F.col("real_to_real") + 1e-10)
     return s.crossJoin(r).withColumn("nndr", ratio).withColumn("privacy_risk", F.col("nndr") < 0.5)
 
@@ -103,6 +261,8 @@ def dcr_summary(dcr: DataFrame) -> DataFrame:
 
 def membership_risk(dcr: DataFrame, percentile: float = 5.0) -> DataFrame:
     """The summary, and the share of rows no farther than the percentile of their own distances."""
-    limit = ordered.percentiles(dcr, [], "dcr", [percentile / 100]).select(F.col("q")[0].alias("threshold"))  # one row
-    risk = dcr.crossJoin(F.broadcast(limit)).agg(F.avg((F.col("dcr") <= F.col("threshold")).cast("double")).alias("membership_inference_risk"), F.first("threshold").alias("threshold"))
-    return dcr_summary(dcr).crossJoin(risk)
+    q = ordered.percentiles(dcr, [], "dcr", [0.05, 0.5, percentile / 100])  # one row
+    share = F.avg((F.col("dcr") <= F.col("q")[2]).cast("double"))
+    found = dcr.crossJoin(F.broadcast(q)).agg(F.avg("dcr").alias("mean_dcr"), F.min("dcr").alias("min_dcr"), F.first("q").alias("q"), share.alias("membership_inference_risk"))
+    at = lambda k, name: F.col("q")[k].alias(name)
+    return found.select("mean_dcr", at(1, "median_dcr"), "min_dcr", at(0, "p5_dcr"), "membership_inference_risk", at(2, "threshold"))
