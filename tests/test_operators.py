@@ -462,3 +462,32 @@ def test_exact_ks_tail():
 @given(st.dictionaries(st.text(max_size=3), st.integers()), st.dictionaries(st.text(max_size=3), st.integers()))
 def test_merge_prefers_the_right(a, b):
     assert files.merge_configs(a, b) == {**a, **b}
+
+
+def test_strided_timesteps_are_the_sampler_s(spark):
+    counts = [1, 2, 3, 7, 10, 33, 50, 99, 100]
+    rows = spark.createDataFrame([(c,) for c in counts], "c int").select("c", generative.strided_timesteps(100, F.col("c")).alias("t")).collect()
+    assert {r["c"]: r["t"] for r in rows} == {c: generative.ddim_timesteps(100, c) for c in counts}
+
+
+@pytest.mark.parametrize("method, eta", [("ddpm", 0.0), ("ddim", 0.0), ("ddim", 0.7)])
+def test_reverse_step_of_columns(spark, method, eta):
+    rng = np.random.default_rng(8)
+    made = [(t, *rng.normal(size=(3, 5)).tolist()) for t in range(20)]
+    constants = generative.schedule_constants(generative.linear_schedule(spark, 20))
+    table = {r["t"]: r for r in constants.collect()}
+    rows = spark.createDataFrame(made, "t int, x array<double>, noise array<double>, z array<double>")
+    got = {r["t"]: r["x_prev"] for r in generative.reverse_step(rows, constants, method, eta).collect()}
+    for t, x, noise, z in made:
+        c, (x, noise, z) = table[t], map(np.array, (x, noise, z))
+        want = generative.ddpm_step(x, noise, c["beta"], c["alpha_bar"], c["posterior_variance"], z) if method == "ddpm" else generative.ddim_step(x, noise, c["alpha_bar"], c["alpha_bar_prev"], eta, z)
+        assert got[t] == pytest.approx(want.tolist())
+
+
+def test_normal_denoiser_gives_back_the_moments(spark):
+    schedule = generative.linear_schedule(spark, 1000)
+    bars = [r[0] for r in generative.schedule_constants(schedule).orderBy("t").select("alpha_bar").collect()]
+    means, stds = np.array([-0.5, 1.0]), np.array([0.4, 1.5])
+    out = generative.diffusion_sample(spark, schedule, generative.normal_denoiser(means, stds, bars), 2000, 1, 2).toPandas()
+    x = np.array([[list(step) for step in v] for v in out["values"]])[:, 0]
+    assert x.mean(axis=0) == pytest.approx(means, abs=0.1) and x.std(axis=0) == pytest.approx(stds, rel=0.1)

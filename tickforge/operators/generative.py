@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions import special
@@ -69,6 +69,40 @@ def ddim_timesteps(steps: int, count: int) -> list[int]:
     return list(range(0, steps, steps // count))[::-1][:count]
 
 
+def strided_timesteps(steps: int, count: Column) -> Column:
+    """``ddim_timesteps`` as an array column, for a number of steps in each row (1 to ``steps``)."""
+    stride = F.floor(F.lit(steps) / count)
+    last = F.floor(F.lit(steps - 1) / stride) * stride
+    return F.transform(F.sequence(F.lit(0), count.cast("int") - 1), lambda i: (last - i * stride).cast("int"))
+
+
+def reverse_step(rows: DataFrame, constants: DataFrame, method: str = "ddpm", eta: float = 0.0) -> DataFrame:
+    """Adds x_prev to rows (x, t, noise, z): arrays one step nearer the data, ``noise`` predicted and ``z`` drawn."""
+    if method not in ("ddpm", "ddim"):
+        raise ValueError(f"unknown method {method!r}")
+    names = ["beta", "alpha_bar", "alpha_bar_prev", "posterior_variance"]
+    beta, bar, before, variance = map(F.col, names)
+    if method == "ddpm":
+        scale = F.sqrt(variance)
+        mean = F.zip_with("x", "noise", lambda x, e: (x - beta / F.sqrt(1 - bar) * e) / F.sqrt(1 - beta))
+    else:
+        scale = eta * F.sqrt((1 - before) / (1 - bar)) * F.sqrt(F.greatest(F.lit(0.0), 1 - bar / before))
+        away = F.sqrt(F.greatest(F.lit(0.0), 1 - before - scale * scale))
+        mean = F.zip_with("x", "noise", lambda x, e: F.sqrt(before) * (x - F.sqrt(1 - bar) * e) / F.sqrt(bar) + away * e)
+    joined = rows.join(F.broadcast(constants.select("t", *names)), "t")  # a schedule has some thousand rows
+    return joined.withColumn("x_prev", F.zip_with(mean, "z", lambda m, w: m + scale * w)).drop(*names)
+
+
+def normal_denoiser(means: np.ndarray, stds: np.ndarray, alpha_bars: list[float]) -> Denoiser:
+    """The noise expected in x at step t if data are independent normals: what a denoiser trained on them tends to."""
+
+    def denoise(x: np.ndarray, t: int) -> np.ndarray:
+        bar = alpha_bars[t]
+        return math.sqrt(1 - bar) * (x - math.sqrt(bar) * means) / (bar * stds**2 + 1 - bar)
+
+    return denoise
+
+
 def generate(spark: SparkSession, count: int, make: Callable[[np.random.Generator, int], np.ndarray], seed: int = 42, batch: int = 256) -> DataFrame:
     """(id, values) of ``count`` sequences; ``make`` gives some of them, float arrays (n, length, features).
 

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,11 +198,21 @@ def s10_scalar_log(spark, sf_dir):
     return spark.read.parquet(path).select("epoch", "metric", *_rounded("value"))
 
 
-@query("SELECT unnest(['data.tickers', 'data.window', 'model.rate', 'model.layers.hidden', 'model.layers.depth']) AS name, unnest(['AF,RO', '30', '0.01', '24', '3']) AS value")
+@query(
+    f"""WITH {BARS}, k AS (SELECT ticker, count(*) AS n, count(*) FILTER (Volume > 25) AS busy, floor(min(Close))::BIGINT AS low, ceil(max(Close))::BIGINT AS high FROM bars GROUP BY 1)
+SELECT 'series.' || ticker || unnest(['.rows', '.close.low', '.close.high']) AS name, unnest([busy, low, high])::VARCHAR AS value FROM k UNION ALL SELECT 'window', '30'"""
+)
 def s12_j11_merged_config(spark, sf_dir):
+    """Two configurations of what the bars hold; the second one's numbers of busy bars win over the first one's of all."""
+    import yaml
+
+    counts = [F.count("*").alias("n"), F.count_if(F.col("Volume") > 25).alias("busy"), F.floor(F.min("Close")).alias("low"), F.ceil(F.max("Close")).alias("high")]
+    known = _bars(spark, sf_dir).groupBy("ticker").agg(*counts).collect()  # one row a ticker
+    base = {"window": 30, "series": {r["ticker"]: {"rows": r["n"], "close": {"low": r["low"]}} for r in known}}
+    over = {"series": {r["ticker"]: {"rows": r["busy"], "close": {"high": r["high"]}} for r in known}}
     paths = [new_path(spark, "config") + ".yaml" for _ in range(2)]
-    for path, text in zip(paths, ("data: {tickers: 'AF', window: 30}\nmodel: {rate: 0.1, layers: {hidden: 24, depth: 2}}", "data: {tickers: 'AF,RO'}\nmodel: {rate: 0.01, layers: {depth: 3}}"), strict=True):
-        files.write_bytes(path, text.encode())
+    for path, tree in zip(paths, (base, over), strict=True):
+        files.write_bytes(path, yaml.safe_dump(tree).encode())
 
     def flat(tree: dict, prefix: str = "") -> list[tuple[str, str]]:
         return [x for k, v in tree.items() for x in (flat(v, f"{prefix}{k}.") if isinstance(v, dict) else [(f"{prefix}{k}", str(v))])]
@@ -782,14 +791,28 @@ _CONST = "round(bar, 9) AS alpha_bar, round(before, 9) AS alpha_bar_prev, round(
 _CONST_NAMES = [("alpha_bar", 9), ("alpha_bar_prev", 9), ("sqrt_alpha_bar", 9), ("sqrt_one_minus_alpha_bar", 9), ("log_one_minus_alpha_bar", 6), ("sqrt_recip_alpha_bar", 4), ("sqrt_recipm1_alpha_bar", 4), ("posterior_variance", 9)]
 
 
-@query(f"WITH {LINEAR}, {CONSTANTS} SELECT t, round(beta, 9) AS beta, {_CONST} FROM k")
+_ORDERS = "o AS (SELECT (o_orderkey % 1000)::INT AS t, count(*) AS orders, avg(o_totalprice) AS price FROM orders GROUP BY 1)"
+
+
+def _orders_at_steps(spark, sf_dir) -> DataFrame:
+    """Number and mean price of the orders that each step of a schedule noises."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.groupBy((F.col("o_orderkey") % 1000).cast("int").alias("t")).agg(F.count("*").alias("orders"), F.avg("o_totalprice").alias("price"))
+
+
+@query(f"WITH {LINEAR}, {CONSTANTS}, {_ORDERS} SELECT t, round(beta, 9) AS beta, {_CONST}, orders, round(sqrt(bar) * price, 2) AS signal FROM k JOIN o USING (t)")
 def m7_m9_linear_schedule(spark, sf_dir):
-    return generative.schedule_constants(generative.linear_schedule(spark, 1000)).select("t", *_rounded("beta", digits=9), *[F.round(c, d).alias(c) for c, d in _CONST_NAMES])
+    constants = generative.schedule_constants(generative.linear_schedule(spark, 1000))
+    rows = _orders_at_steps(spark, sf_dir).join(F.broadcast(constants), "t")
+    signal = F.round(F.col("sqrt_alpha_bar") * F.col("price"), 2).alias("signal")
+    return rows.select("t", *_rounded("beta", digits=9), *[F.round(c, d).alias(c) for c, d in _CONST_NAMES], "orders", signal)
 
 
-@query(f"WITH {COSINE} SELECT t, round(beta, 9) AS beta FROM s")
+@query(f"WITH {COSINE}, {CONSTANTS}, {_ORDERS} SELECT t, round(beta, 9) AS beta, orders, round(sqrt(bar) * price, 2) AS signal FROM k JOIN o USING (t)")
 def m8_cosine_schedule(spark, sf_dir):
-    return generative.cosine_schedule(spark, 1000).select("t", *_rounded("beta", digits=9))
+    constants = generative.schedule_constants(generative.cosine_schedule(spark, 1000))
+    rows = _orders_at_steps(spark, sf_dir).join(F.broadcast(constants), "t")
+    return rows.select("t", *_rounded("beta", digits=9), "orders", F.round(F.col("sqrt_alpha_bar") * F.col("price"), 2).alias("signal"))
 
 
 @query(
@@ -806,17 +829,13 @@ def m10_q_sample(spark, sf_dir):
 _STEPS = """e AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding::DOUBLE[], lambda y: y * y) AS z, (vec_id % 999 + 1)::INT AS t FROM embeddings)"""
 
 
-def _stepped(spark, sf_dir, step) -> DataFrame:
-    """Sums of each embedding after ``step(x, noise, t, constants)``, the noise being its squares."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("v"))
-    constants = [tuple(r) for r in generative.schedule_constants(generative.linear_schedule(spark, 1000)).orderBy("t").select("beta", "alpha_bar", "alpha_bar_prev", "posterior_variance").collect()]  # the schedule alone
-
-    def run(parts):
-        for part in parts:
-            made = [step(np.array(v, float), np.array(v, float) ** 2, *constants[i % 999 + 1]) for i, v in zip(part["vec_id"], part["v"], strict=True)]
-            yield pd.DataFrame({"vec_id": part["vec_id"], "total": [x.sum() for x in made]})
-
-    return rows.mapInPandas(run, "vec_id long, total double").select("vec_id", *_rounded("total", digits=5))
+def _stepped(spark, sf_dir, method: str, eta: float = 0.0) -> DataFrame:
+    """Sums of each embedding a step back, the predicted noise being its squares and the drawn one 0.5."""
+    v = F.col("embedding").cast("array<double>")
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", v.alias("x"), (F.col("vec_id") % 999 + 1).cast("int").alias("t"))
+    rows = rows.withColumns({"noise": F.transform("x", lambda y: y * y), "z": F.transform("x", lambda y: F.lit(0.5))})
+    out = generative.reverse_step(rows, generative.schedule_constants(generative.linear_schedule(spark, 1000)), method, eta)
+    return out.select("vec_id", F.round(F.aggregate("x_prev", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
 @query(
@@ -824,7 +843,7 @@ def _stepped(spark, sf_dir, step) -> DataFrame:
 SELECT vec_id, round(list_sum(list_transform(list_zip(x, z), lambda y: (y[1] - beta / sqrt(1 - bar) * y[2]) / sqrt(1 - beta) + sqrt(beta * (1 - before) / (1 - bar)) * 0.5)), 5) AS total FROM e JOIN k USING (t)"""
 )
 def m11_ddpm_step(spark, sf_dir):
-    return _stepped(spark, sf_dir, lambda x, noise, beta, bar, before, variance: generative.ddpm_step(x, noise, beta, bar, variance, 0.5))
+    return _stepped(spark, sf_dir, "ddpm")
 
 
 @query(
@@ -832,20 +851,23 @@ def m11_ddpm_step(spark, sf_dir):
 SELECT vec_id, round(list_sum(list_transform(list_zip(x, z), lambda y: sqrt(before) * (y[1] - sqrt(1 - bar) * y[2]) / sqrt(bar) + sqrt(1 - before - sigma * sigma) * y[2] + sigma * 0.5)), 5) AS total FROM e JOIN g USING (t)"""
 )
 def m12_ddim_step(spark, sf_dir):
-    return _stepped(spark, sf_dir, lambda x, noise, beta, bar, before, variance: generative.ddim_step(x, noise, bar, before, 0.3, 0.5))
+    return _stepped(spark, sf_dir, "ddim", 0.3)
 
 
-@query("SELECT n::INT AS count, i::INT AS i, ((ceil(1000 / (1000 // n)) - 1 - i) * (1000 // n))::INT AS t FROM (SELECT unnest([7, 50, 1000]) AS n) JOIN range(1000) r(i) ON i < n")
+@query("SELECT vec_id, i::INT AS i, ((ceil(1000 / (1000 // n)) - 1 - i) * (1000 // n))::INT AS t FROM (SELECT vec_id, vec_id % 40 + 1 AS n FROM embeddings) JOIN range(40) r(i) ON i < n")
 def t6_strided_timesteps(spark, sf_dir):
-    # of the steps 0, s, 2 s.. all are walked from the last one on, no more than asked for
-    made = [(n, i, t) for n in (7, 50, 1000) for i, t in enumerate(generative.ddim_timesteps(1000, n))]
-    return spark.createDataFrame(made, "count int, i int, t int")
+    # of the steps 0, s, 2 s.. all are walked from the last one on, no more than each vector asks for
+    chain = generative.strided_timesteps(1000, F.col("vec_id") % 40 + 1)
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode(chain).alias("i", "t"))
 
 
 @query()
 def m12_ddim_sampler(spark, sf_dir):
-    """Sequences under a denoiser that predicts no noise."""
-    return generative.diffusion_sample(spark, generative.linear_schedule(spark, 1000), lambda x, t: 0 * x, 64, LENGTH, 8)
+    """As many vectors as there are embeddings, sampled under the denoiser of normals with their means and deviations."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("embedding").alias("v"))
+    fitted, schedule = generative.get_copula("gaussian", 64).fit(rows), generative.linear_schedule(spark, 1000)
+    bars = [r[0] for r in generative.schedule_constants(schedule).orderBy("t").select("alpha_bar").collect()]  # the schedule alone
+    return generative.diffusion_sample(spark, schedule, generative.normal_denoiser(fitted.means, fitted.stds, bars), rows.count(), 1, 64)
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), lambda z: z[1] + z[2] * exp(z[1] / 2))), 5) AS total FROM embeddings")
@@ -855,15 +877,26 @@ def m13_reparameterise(spark, sf_dir):
     return rows.select("vec_id", F.round(F.aggregate("z", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
-@query("SELECT t::BIGINT AS t, k, round(CASE WHEN k < 8 THEN sin(t * pow(10000.0::DOUBLE, -k / 7.0::DOUBLE)) ELSE cos(t * pow(10000.0::DOUBLE, -(k - 8) / 7.0::DOUBLE)) END, 6) AS x FROM range(0, 100) a(t), (SELECT range::INT AS k FROM range(16))")
+@query(
+    """WITH d AS (SELECT extract(doy FROM o_orderdate)::BIGINT AS t, count(*) AS orders FROM orders GROUP BY 1)
+SELECT t, k, round(CASE WHEN k < 8 THEN sin(t * pow(10000.0::DOUBLE, -k / 7.0::DOUBLE)) ELSE cos(t * pow(10000.0::DOUBLE, -(k - 8) / 7.0::DOUBLE)) END, 6) + 0.0 AS x, orders FROM d, (SELECT range::INT AS k FROM range(16))"""
+)
 def m14_time_embedding(spark, sf_dir):
-    rows = spark.range(100).select(F.col("id").alias("t"), F.posexplode(losses.sinusoidal(F.col("id").cast("double"), 16)).alias("k", "x"))
-    return rows.select("t", "k", (F.round("x", 6) + 0.0).alias("x"))
+    """Embeddings of the days of the year on which orders came."""
+    days = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.dayofyear("o_orderdate").cast("long").alias("t")).agg(F.count("*").alias("orders"))
+    rows = days.select("t", "orders", F.posexplode(losses.sinusoidal(F.col("t").cast("double"), 16)).alias("k", "x"))
+    return rows.select("t", "k", (F.round("x", 6) + 0.0).alias("x"), "orders")
 
 
-@query("SELECT range::BIGINT AS epoch, round(0.5 * least(1.0, range / 20), 9) AS beta FROM range(0, 40)")
+@query(
+    """WITH e AS (SELECT extract(day FROM ts)::BIGINT - 1 AS epoch, avg(value) AS value FROM events GROUP BY 1)
+SELECT epoch, round(0.5 * least(1.0, epoch / 20), 9) AS beta, round(0.5 * least(1.0, epoch / 20) * value, 6) AS weighted FROM e"""
+)
 def m15_kl_annealing(spark, sf_dir):
-    return spark.range(40).select(F.col("id").alias("epoch"), F.round(losses.annealed_beta(F.col("id").cast("double"), 0.5, 20), 9).alias("beta"))
+    """The weight of each day of the events' month, and their mean value weighed by it."""
+    days = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy((F.dayofmonth("ts") - 1).cast("long").alias("epoch")).agg(F.avg("value").alias("value"))
+    beta = losses.annealed_beta(F.col("epoch").cast("double"), 0.5, 20)
+    return days.select("epoch", F.round(beta, 9).alias("beta"), F.round(beta * F.col("value"), 6).alias("weighted"))
 
 
 @query()
@@ -922,18 +955,18 @@ def n15_tstr(spark, sf_dir):
 
 @query()
 def n6_adversarial_generate(spark, sf_dir):
-    """Sequences of an untrained adversarial model: the generator protocol."""
+    """Sequences of an untrained adversarial model, as many as there are bars: the generator protocol."""
     from tickforge.operators.networks import AdversarialModel
 
-    return AdversarialModel(8).generate(spark, 100, LENGTH)
+    return AdversarialModel(len(COLUMNS)).generate(spark, _bars(spark, sf_dir).count(), LENGTH)
 
 
 @query()
 def n11_variational_generate(spark, sf_dir):
-    """Sequences of an untrained variational model, latents from the prior."""
+    """Sequences of an untrained variational model, as many as there are bars, latents from the prior."""
     from tickforge.operators.networks import VariationalModel
 
-    return VariationalModel(8).generate(spark, 100, LENGTH)
+    return VariationalModel(len(COLUMNS)).generate(spark, _bars(spark, sf_dir).count(), LENGTH)
 
 
 def _trained(spark: SparkSession, sf_dir: str, kind: str, *phases, **options) -> DataFrame:
