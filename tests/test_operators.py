@@ -64,6 +64,40 @@ class TestFiles:
         files.save_array(rows, str(tmp_path / "b.npy"), [f"f{k}" for k in range(4)])
         assert (np.load(tmp_path / "b.npy") == a).all()
 
+    @pytest.mark.parametrize("order", ["C", "F"])
+    def test_arrays_by_ranges_and_parts(self, spark, tmp_path, monkeypatch, order):
+        from tickforge.sources import arrays
+
+        monkeypatch.setattr(arrays, "CHUNK", 100)
+        rng = np.random.default_rng(0)
+        a, flat = rng.normal(size=(23, 3, 2)).astype(np.float32), rng.normal(size=(17, 5))
+        np.save(tmp_path / "a.npy", np.asarray(a, order=order))
+        np.save(tmp_path / "flat.npy", np.asarray(flat, order=order))
+        rows = files.load_table(spark, str(tmp_path / "a.npy"))
+        back = rows.toPandas().sort_values(["window_id", "step"])[["f0", "f1"]].to_numpy().reshape(a.shape)
+        assert (back == a).all()
+        vectors = files.load_table(spark, str(tmp_path / "flat.npy")).toPandas().sort_values("id")
+        assert (np.stack(vectors["v"].to_numpy()) == flat).all()
+        for parts in (False, True):
+            path = str(tmp_path / f"out-{parts}.npy")
+            arrays.write(rows.repartition(5), path, ["f0", "f1"], parts)
+            again = files.load_table(spark, path).toPandas().sort_values(["window_id", "step"])
+            assert (again[["f0", "f1"]].to_numpy().reshape(a.shape) == a).all()
+        assert (np.load(tmp_path / "out-False.npy") == a).all()
+
+    def test_arrays_that_are_no_windows(self, spark, tmp_path):
+        from tickforge.sources import arrays
+
+        np.save(tmp_path / "one.npy", np.arange(3.0))
+        with pytest.raises(ValueError):
+            files.load_table(spark, str(tmp_path / "one.npy"))
+        rows = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0)], "window_id long, step int, f0 double")
+        with pytest.raises(ValueError):
+            arrays.write(rows, str(tmp_path / "x.npy"), ["f0"])
+        for parts in (False, True):
+            arrays.write(rows.limit(0), str(tmp_path / f"none-{parts}.npy"), ["f0"], parts)
+            assert files.load_table(spark, str(tmp_path / f"none-{parts}.npy")).count() == 0
+
     def test_config_and_checkpoint(self, tmp_path):
         (tmp_path / "c.yaml").write_text("a: {b: 1, c: 2}\n")
         (tmp_path / "d.yaml").write_text("a: {b: 3}\n")

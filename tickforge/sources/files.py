@@ -1,8 +1,8 @@
 """File sources and sinks: bars, arrays, reports, metric logs, configuration.
 
 Tables go through Spark's readers and writers, partitioned by ticker so that scans prune.
-Arrays in NumPy files, reports and YAML are small artefacts of the driver; their paths may
-be local ones or URIs of a shared or remote store.
+NumPy arrays are read and written by tasks. Reports and YAML are small artefacts of the driver.
+Their paths may be local ones or URIs of a shared or remote store.
 """
 
 from __future__ import annotations
@@ -22,7 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickforge.sources import arrays
 from tickforge.sources.bars import KEYS, OHLCV
+from tickforge.sources.places import store
 
 log = logging.getLogger(__name__)
 FORMATS = ("parquet", "csv")
@@ -34,17 +36,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _store(path: str):
-    """(filesystem, path there) of a local path or a URI."""
-    from pyarrow import fs
-
-    if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path):
-        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-    return fs.LocalFileSystem(), os.path.abspath(path)
-
-
 def write_bytes(path: str, data: bytes) -> None:
-    system, place = _store(path)
+    system, place = store(path)
     system.create_dir(os.path.dirname(place), recursive=True)
     with system.open_output_stream(place) as out:
         out.write(data)
@@ -52,14 +45,14 @@ def write_bytes(path: str, data: bytes) -> None:
 
 def append_line(path: str, line: str) -> None:
     """Opens and closes the file, so that nothing waits in memory. The store must be able to append."""
-    system, place = _store(path)
+    system, place = store(path)
     system.create_dir(os.path.dirname(place), recursive=True)
     with system.open_append_stream(place, compression=None) as out:
         out.write(f"{line}\n".encode())
 
 
 def read_bytes(path: str) -> bytes:
-    system, place = _store(path)
+    system, place = store(path)
     with system.open_input_file(place) as f:
         return f.read()
 
@@ -67,7 +60,7 @@ def read_bytes(path: str) -> bytes:
 def is_file(path: str) -> bool:
     from pyarrow import fs
 
-    system, place = _store(path)
+    system, place = store(path)
     return system.get_file_info(place).type == fs.FileType.File
 
 
@@ -129,28 +122,13 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         return spark.read.csv(path, header=True, inferSchema=True)
     if path.endswith(".npy"):
-        data = spark.read.format("binaryFile").load(path).select("content").first()[0]
-        return array_rows(spark, np.load(io.BytesIO(bytes(data)), allow_pickle=False))
+        return arrays.read(spark, path)
     raise ValueError(f"unknown suffix: {path}")
 
 
-def array_rows(spark: SparkSession, array: np.ndarray) -> DataFrame:
-    if array.ndim == 2:
-        return spark.createDataFrame([(i, r) for i, r in enumerate(array.astype(float).tolist())], "id long, v array<double>")
-    if array.ndim != 3:
-        raise ValueError("an array of 2 or 3 dimensions is wanted")
-    names = ", ".join(f"f{k} float" for k in range(array.shape[2]))
-    rows = [(i, s, *map(float, x)) for i, w in enumerate(array) for s, x in enumerate(w)]
-    return spark.createDataFrame(rows, f"window_id long, step int, {names}")
-
-
 def save_array(windows: DataFrame, path: str, features: list[str]) -> None:
-    """Windows as one ``.npy`` file: an export of what fits the driver."""
-    rows = windows.orderBy("window_id", "step").select("window_id", *features).collect()
-    count = len({r[0] for r in rows})
-    out = io.BytesIO()
-    np.save(out, np.array([r[1:] for r in rows], np.float32).reshape(count, -1, len(features)))
-    write_bytes(path, out.getvalue())
+    """Windows as one ``.npy`` array, written by the tasks; a folder of parts where the store can't write into a file."""
+    arrays.write(windows, path, features)
 
 
 def load_processed(spark: SparkSession, processed: str, ticker: str, raw: str, interval: str = "1d") -> DataFrame | None:
