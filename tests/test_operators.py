@@ -112,8 +112,8 @@ class TestFiles:
         path = files.save_report({"x": np.float64(1.5), "ok": np.bool_(True), "a": np.arange(2)}, str(tmp_path))
         assert json.load(open(path)) == {"x": 1.5, "ok": True, "a": [0, 1]}
         for e in (1, 2):
-            files.log_metrics(spark, str(tmp_path / "log"), e, {"loss": 1 / e})
-        assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+            files.log_metrics(str(tmp_path / "log"), e, {"loss": 1 / e})
+        assert files.read_metrics(spark, str(tmp_path / "log")).count() == 2
 
 
 class TestFeatures:

@@ -194,8 +194,8 @@ def s10_scalar_log(spark, sf_dir):
     path = new_path(spark, "log")
     for r in rows.orderBy("epoch").collect():  # one row a day of the month
         values = r.asDict()
-        files.log_metrics(spark, path, values.pop("epoch"), {k: v for k, v in values.items() if v is not None})
-    return spark.read.parquet(path).select("epoch", "metric", *_rounded("value"))
+        files.log_metrics(path, values.pop("epoch"), {k: v for k, v in values.items() if v is not None})
+    return files.read_metrics(spark, path).select("epoch", "metric", *_rounded("value"))
 
 
 @query(

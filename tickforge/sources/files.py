@@ -12,7 +12,7 @@ import io
 import json
 import logging
 import os
-import re
+import uuid
 from collections.abc import Callable, Iterable
 from typing import Any
 
@@ -148,10 +148,25 @@ def save_report(report: dict, folder: str) -> str:
     return path
 
 
-def log_metrics(spark: SparkSession, path: str, epoch: int, metrics: dict[str, float]) -> None:
-    """Appends rows (epoch, metric, value)."""
-    rows = [(epoch, k, float(v)) for k, v in metrics.items()]
-    spark.createDataFrame(rows, "epoch int, metric string, value double").coalesce(1).write.mode("append").parquet(path)
+METRIC_SCHEMA = "epoch int, metric string, value double"
+
+
+def log_metrics(path: str, epoch: int, metrics: dict[str, float]) -> None:
+    """Appends lines of JSON (epoch, metric, value) below ``path``, without a Spark job.
+
+    Where a store can't append, each call writes a file of its own there.
+    """
+    lines = "\n".join(json.dumps({"epoch": epoch, "metric": k, "value": float(v)}) for k, v in metrics.items())
+    if not lines:
+        return
+    try:
+        append_line(f"{path}/metrics.json", lines)
+    except NotImplementedError:
+        write_bytes(f"{path}/metrics-{uuid.uuid4().hex}.json", f"{lines}\n".encode())
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(METRIC_SCHEMA).json(path)
 
 
 def save_checkpoint(path: str, state: dict[str, np.ndarray], epoch: int, metrics: dict[str, float] | None = None) -> None:
