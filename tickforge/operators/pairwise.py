@@ -164,7 +164,11 @@ def mmd_rbf(real: DataFrame, synthetic: DataFrame, bandwidth: float = 1.0, block
 
     ``pairs_skipped`` is the share of all pairs of the three means that were not worked out.
     """
-    x, y = in_cells(real, synthetic, block=block)
+    return mmd_of_cells(*in_cells(real, synthetic, block=block), bandwidth)
+
+
+def mmd_of_cells(x: Cells, y: Cells, bandwidth: float = 1.0) -> dict[str, float | None]:
+    """``mmd_rbf`` of sets that are in cells already."""
     (xx, s1), (yy, s2), (xy, s3) = _kernel_mean(x, x, bandwidth), _kernel_mean(y, y, bandwidth), _kernel_mean(x, y, bandwidth)
     sizes = [x.size**2, y.size**2, x.size * y.size]
     skipped = sum(n * s for n, s in zip(sizes, (s1, s2, s3), strict=True)) / max(1, sum(sizes))
@@ -240,10 +244,15 @@ def nndr(real: DataFrame, synthetic: DataFrame, n_neighbors: int = 5, drop_first
     k + 1 neighbours are found and the nearest is left out on both sides; for synthetic rows
     ``drop_first_synthetic=False`` keeps it and leaves out the farthest instead.
     """
+    x, y = in_cells(real, synthetic)
+    return nndr_of_cells(x, neighbours(y, x, n_neighbors + 1)[0], n_neighbors, drop_first_synthetic)
+
+
+def nndr_of_cells(x: Cells, found: DataFrame, n_neighbors: int = 5, drop_first_synthetic: bool = True) -> DataFrame:
+    """``nndr`` of a real set in cells, ``found`` being the k + 1 nearest real rows of each synthetic one."""
     k = n_neighbors + 1
     kept = F.col("rank") > 1 if drop_first_synthetic else F.col("rank") < k
-    x, y = in_cells(real, synthetic)
-    s = neighbours(y, x, k)[0].filter(kept).agg(F.avg("distance").alias("synthetic_to_real"))
+    s = found.filter(kept).agg(F.avg("distance").alias("synthetic_to_real"))
     r = neighbours(x, x, k)[0].filter("rank > 1").agg(F.avg("distance").alias("real_to_real"))
     ratio = F.col("synthetic_to_real") / (F.col("real_to_real") + 1e-10)
     return s.crossJoin(r).withColumn("nndr", ratio).withColumn("privacy_risk", F.col("nndr") < 0.5)

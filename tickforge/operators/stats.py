@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickforge.functions import special
-from tickforge.operators import ordered
+from tickforge.operators import ordered, profiles
+from tickforge.operators.profiles import pearson
 from tickforge.sources.shared import stored
 
 #: Rows of a series in a block.
@@ -60,28 +61,35 @@ def acf_comparison(real: DataFrame, synthetic: DataFrame, max_lag: int = 20) ->
     return both.groupBy("feature").agg(ordered("r").alias("real_acf"), ordered("s").alias("synthetic_acf"), F.avg(F.abs(F.col("r") - F.col("s"))).alias("mae"))
 
 
-def ks_statistic(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """(feature, ks_statistic, n, m) of series (feature, x).
+def paired_counts(tagged: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x, r, s, and each with _before and _all): how often each distinct value is real (``r`` of a row is 1) and synthetic (0).
 
     Equal values are counted before they are shuffled, so that ties meet; running sums go over
-    parts of each feature's distinct values.
+    parts of each key's distinct values.
     """
-    tagged = real.select("feature", "x", F.lit(1).alias("r")).unionAll(synthetic.select("feature", "x", F.lit(0).alias("r"))).filter("x IS NOT NULL")
-    counts = tagged.groupBy("feature", "x").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("s"))
-    run = ordered.running(counts, ["feature"], "x", ["r", "s"])
+    counts = tagged.filter("x IS NOT NULL").groupBy(*keys, "x").agg(F.sum("r").alias("r"), F.sum(1 - F.col("r")).alias("s"))
+    return ordered.running(counts, keys, "x", ["r", "s"])
+
+
+def largest_gap(run: DataFrame) -> DataFrame:
+    """(feature, ks_statistic, n, m) of ``paired_counts`` by feature."""
     share = lambda c: F.try_divide(F.col(c) + F.col(f"{c}_before"), F.col(f"{c}_all"))
     return run.groupBy("feature").agg(F.max(F.abs(share("r") - share("s"))).alias("ks_statistic"), F.first("r_all").alias("n"), F.first("s_all").alias("m"))
 
 
-def ks_test(real: DataFrame, synthetic: DataFrame) -> dict[str, dict[str, float]]:
+def ks_statistic(real: DataFrame, synthetic: DataFrame) -> DataFrame:
+    """(feature, ks_statistic, n, m) of series (feature, x)."""
+    tagged = real.select("feature", "x", F.lit(1).alias("r")).unionAll(synthetic.select("feature", "x", F.lit(0).alias("r")))
+    return largest_gap(paired_counts(tagged, ["feature"]))
+
+
+def with_p_values(statistics: DataFrame) -> dict[str, dict[str, float]]:
     """Statistic and p per feature: exact for samples up to special.EXACT values, else asymptotic."""
-    return {r["feature"]: {"ks_statistic": r["ks_statistic"], "p_value": special.ks_p_value(r["ks_statistic"], r["n"], r["m"])} for r in ks_statistic(real, synthetic).collect()}
+    return {r["feature"]: {"ks_statistic": r["ks_statistic"], "p_value": special.ks_p_value(r["ks_statistic"], r["n"], r["m"])} for r in statistics.collect()}
 
 
-def pearson(x: str, y: str) -> Column:
-    """Null, not an error, where a column is constant; pairs with nulls don't count."""
-    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(a) * F.stddev_pop(b))
+def ks_test(real: DataFrame, synthetic: DataFrame) -> dict[str, dict[str, float]]:
+    return with_p_values(ks_statistic(real, synthetic))
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -132,16 +140,19 @@ def leverage_effect(pairs: DataFrame, lags: int = 10) -> DataFrame:
     return every.withColumn("mean_leverage_corr", mean).withColumn("has_leverage_effect", F.col("mean_leverage_corr") < -0.05)
 
 
-def average_ranks(rows: DataFrame, ranks: dict[str, str]) -> DataFrame:
+def average_ranks(rows: DataFrame, ranks: dict[str, str], counts: DataFrame | None = None) -> DataFrame:
     """Adds per column a rank from 1, named as ``ranks`` says, ties averaged. Rows without one of the values go.
 
-    One running count goes over the distinct values of all columns; the ranks are joined back by value.
+    One running count goes over the distinct values of all columns, unless ``counts`` (feature, _c, _x, _rank)
+    has been made; the ranks are joined back by value.
     """
     columns = list(ranks)
-    rows = stored(rows.dropna(subset=columns), "ranked")
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns]))
-    values = rows.select("feature", pairs.alias("_p")).select("feature", F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
-    counts = stored(ordered.counted(values, ["feature", "_c"], "_x").select("feature", "_c", "_x", (F.col("n_before") + (F.col("n") + 1) / 2).alias("_rank")), "ranks")
+    rows = rows.dropna(subset=columns)
+    if counts is None:
+        rows = stored(rows, "ranked")
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("x")) for c in columns]))
+        values = rows.select("feature", pairs.alias("_p")).select("feature", F.col("_p.c").alias("_c"), F.col("_p.x").alias("_x"))
+        counts = stored(ordered.counted(values, ["feature", "_c"], "_x").select("feature", "_c", "_x", (F.col("n_before") + (F.col("n") + 1) / 2).alias("_rank")), "ranks")
     for c, name in ranks.items():
         rows = rows.join(counts.filter(F.col("_c") == c).select("feature", F.col("_x").alias(c), F.col("_rank").alias(name)), ["feature", c])
     return rows
@@ -157,12 +168,9 @@ def volume_volatility(pairs: DataFrame) -> DataFrame:
 def stylized_table(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> DataFrame:
     """All facts of series (feature, idx, r, volume, vol), a row each; p-values are left to ``stylized_facts``."""
     rows = stored(rows.select("feature", "idx", "r", "volume", "vol"), "facts")
-    series = rows.select("feature", "idx", F.col("r").alias("x"))
-    parts = [fat_tails(series), volatility_clustering(series, max_lag), leverage_effect(rows, lags), volume_volatility(rows)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, "feature", "left")
-    return out
+    ranked = average_ranks(rows.select("feature", "volume", "vol"), {"volume": "_rv", "vol": "_rw"})
+    spearman = ranked.groupBy("feature").agg(pearson("_rv", "_rw").alias("spearman"), F.count("*").alias("n"))
+    return profiles.profile(rows, [], max_lag, lags).join(spearman, "feature", "left").drop("acf", "corr")
 
 
 _FACTS = {
@@ -173,16 +181,20 @@ _FACTS = {
 }
 
 
-def stylized_facts(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> dict:
-    """All facts of one series (idx, r, volume, vol), with p-values of its correlations."""
-    found = stylized_table(rows.withColumn("feature", F.lit("returns")), max_lag, lags).first()
-    found = found.asDict() if found else {}
+def facts_of(found: dict) -> dict:
+    """A row of ``stylized_table``, grouped by fact, with p-values of the correlations."""
     out = {k: {c: found.get(c) for c in columns} for k, columns in _FACTS.items()}
     n = found.get("n") or 0
     out["volume_volatility"] |= {f"{k}_p": special.correlation_p_value(found.get(k), n) for k in ("pearson", "spearman")}
     return out
 
 
+def stylized_facts(rows: DataFrame, max_lag: int = 20, lags: int = 10) -> dict:
+    """All facts of one series (idx, r, volume, vol), with p-values of its correlations."""
+    found = stylized_table(rows.withColumn("feature", F.lit("returns")), max_lag, lags).first()
+    return facts_of(found.asDict() if found else {})
+
+
 def histogram(series: DataFrame, bins: int = 50) -> DataFrame:
     """(feature, bin, left, right, count, density): equal bins between each feature's extremes, the last one closed."""
     edges = series.groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("n"))

@@ -663,7 +663,7 @@ every AS (SELECT real, (s + window_id)::BIGINT AS id, step, {", ".join(f"{c}::DO
     series = " UNION ALL ".join(f"SELECT real, '{c}' AS feature, id * {LENGTH} + step AS idx, {c} AS x FROM every" for c in COLUMNS)
     flat = ", ".join(COLUMNS)
     lags = range(1, 21)
-    return f"""WITH {RETURNS}, {_windows_sql('ret', COLUMNS, LENGTH, LENGTH)}, {side}, series AS ({series}),
+    return f"""WITH {RETURNS}, {_windows_sql('ret', COLUMNS)}, {side}, series AS ({series}),
 c AS (SELECT feature, x, count(*) FILTER (real) AS r, count(*) FILTER (NOT real) AS o FROM series GROUP BY ALL),
 e AS (SELECT feature, sum(r) OVER w / sum(r) OVER p AS fr, sum(o) OVER w / sum(o) OVER p AS fo FROM c WINDOW w AS (PARTITION BY feature ORDER BY x), p AS (PARTITION BY feature)),
 cb AS (SELECT real, feature, avg(x) AS m, var_pop(x) AS v, count(*) AS n FROM series GROUP BY ALL),
@@ -685,8 +685,8 @@ SELECT metric, round(value, 5) + 0.0 AS value FROM out"""
 
 @query(_report_sql())
 def a19_full_report(spark, sf_dir):
-    """Metrics of the whole report on windows side by side (stride 30: every bar once) of all tickers, F against O; models are left to n15_tstr."""
-    found = report.compute_all_metrics(*_status_sets(spark, sf_dir, LENGTH), COLUMNS, run_tstr=False)
+    """Metrics of the whole report on all windows of all tickers, F against O; models are left to n15_tstr."""
+    found = report.compute_all_metrics(*_status_sets(spark, sf_dir), COLUMNS, run_tstr=False)
     out = {f"ks.{k}": v["ks_statistic"] for k, v in found["ks_tests"].items()} | {f"acf_mae.{k}": v["mae"] for k, v in found["acf"].items()}
     out |= {"frobenius_norm": found["cross_correlation"]["frobenius_norm"], "mmd": found["mmd"], "nndr": found["privacy"]["nndr"]["nndr"], "mean_dcr": found["privacy"]["membership_inference"]["mean_dcr"]}
     for side in ("real", "synthetic"):
