@@ -240,6 +240,13 @@ class TestStatistics:
         assert special.ks_p_value(0.5, 1000, 1000) < 1e-10 and special.ks_p_value(0.0, 10, 10) == 1
         assert special.kolmogorov_tail(1.36) == pytest.approx(0.0494, abs=1e-3)
         assert special.t_cdf(2.228, 10) == pytest.approx(0.975, abs=1e-4) and special.t_cdf(-1.0, 1) == pytest.approx(0.25)
+        for df in (1.0, 4.0, 37.5):
+            values = np.array([[-50.0, -3.0, -0.2, 0.0], [1e-3, 0.7, 2.0, 400.0]])
+            assert special.t_cdf_of(values, df) == pytest.approx(np.array([[special.t_cdf(x, df) for x in row] for row in values]), abs=1e-11)
+        cauchy = np.array([-30.0, -1e-9, 1e-9, 0.4, 12.0])
+        assert special.t_cdf_of(cauchy, 1.0) == pytest.approx(0.5 + np.arctan(cauchy) / np.pi, abs=1e-15)
+        edges = special.t_cdf_of(np.array([np.inf, -np.inf, np.nan]), 4.0)
+        assert edges[:2].tolist() == [1.0, 0.0] and np.isnan(edges[2]) and special.t_cdf_of(np.zeros(0), 4.0).shape == (0,)
         assert special.correlation_p_value(0.0, 10) == pytest.approx(1) and special.correlation_p_value(1.0, 10) == 0
 
 

@@ -79,6 +79,32 @@ def t_cdf(t: float, df: float) -> float:
     return 1 - tail if t > 0 else tail
 
 
+def _beta_series(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """``incomplete_beta`` by its series for arrays of x up to (a + 1) / (a + b + 2)."""
+    known = {(p, q): math.lgamma(p + q) - math.lgamma(p) - math.lgamma(q) - math.log(p) for p, q in set(zip(a.tolist(), b.tolist(), strict=True))}
+    with np.errstate(divide="ignore"):
+        front = np.exp(np.array([known[k] for k in zip(a.tolist(), b.tolist(), strict=True)]) + a * np.log(x) + b * np.log1p(-x))
+    term, total, k = np.ones_like(x), np.ones_like(x), 0
+    while np.any(term > 1e-17 * total) and k < 1_000_000:
+        term = term * (a + b + k) * x / (a + 1 + k)
+        total = total + term
+        k += 1
+    return np.minimum(1.0, front * total)
+
+
+def t_cdf_of(t: np.ndarray, df: float) -> np.ndarray:
+    """``t_cdf`` of every value of an array at once; NaN stays NaN, infinities are 0 and 1."""
+    t = np.asarray(t, float)
+    square = np.where(np.isfinite(t), t, 0.0).ravel() ** 2
+    x, rest = df / (df + square), square / (df + square)
+    a, b = df / 2, 0.5
+    turned = x > (a + 1) / (a + b + 2)
+    value = _beta_series(np.where(turned, b, a), np.where(turned, a, b), np.where(turned, rest, x))
+    tail = (0.5 * np.where(turned, 1 - value, value)).reshape(t.shape)
+    tail = np.where(np.isinf(t), 0.0, np.where(np.isnan(t), np.nan, tail))
+    return np.where(t > 0, 1 - tail, tail)
+
+
 def correlation_p_value(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation of n pairs."""
     if r is None or n < 3:

@@ -201,7 +201,7 @@ class StudentTCopula(GaussianCopula):
 
     def latents(self, rng: np.random.Generator, n: int) -> np.ndarray:
         t = self._normals(rng, n) / np.sqrt(rng.chisquare(self.df, n) / self.df)[:, None]
-        u = np.clip(np.vectorize(lambda x: special.t_cdf(x, self.df))(t), 1e-6, 1 - 1e-6)
+        u = np.clip(special.t_cdf_of(t, self.df), 1e-6, 1 - 1e-6)
         return np.vectorize(special.NORMAL.inv_cdf)(u) * self.stds + self.means
 
 

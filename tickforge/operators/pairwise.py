@@ -31,6 +31,8 @@ PIVOTS = 256
 LEAST = 1e-13
 #: Bounds are widened by this share, against rounding.
 _SLACK = 1e-9
+#: Differences held at a time: a megabyte of them.
+_TILE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -53,11 +55,13 @@ def _matrix(part: pd.DataFrame) -> np.ndarray:
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Squared distances from differences, a few rows at a time: exact zeros for equal vectors."""
+    """Squared distances from differences, in tiles that stay in a core's cache: exact zeros for equal vectors."""
     out = np.empty((len(x), len(y)))
+    wide = max(16, _TILE // (16 * max(1, x.shape[1])))
     for i in range(0, len(x), 16):
-        d = x[i : i + 16, None, :] - y[None]
-        out[i : i + 16] = np.einsum("ijk,ijk->ij", d, d)
+        for j in range(0, len(y), wide):
+            d = x[i : i + 16, None, :] - y[None, j : j + wide]
+            out[i : i + 16, j : j + wide] = np.einsum("ijk,ijk->ij", d, d)
     return out
 
 
