@@ -173,13 +173,13 @@ def near_links(distinct: DataFrame) -> DataFrame:
     return cells.mapInPandas(_compare, "a long, b long").filter("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b); root is the component's least node.
 
-    Alternates large-star and small-star steps until nothing changes.
+    Alternates large-star and small-star steps until nothing changes, however many it takes.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -191,8 +191,6 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         if edges.agg(*mark).first() == new.agg(*mark).first():
             break
         edges = new
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
