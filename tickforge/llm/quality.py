@@ -192,7 +192,7 @@ PARAMS = "_grp string, _start int, _mean array<double>, _inv array<double>, _log
 
 def _correlation(scatter: np.ndarray) -> np.ndarray:
     """Scaled to a diagonal of 1, and to no eigenvalue below 0.01."""
-    size = np.sqrt(np.diag(scatter))
+    size = np.sqrt(np.maximum(np.diag(scatter), 0.0))  # rounding may leave less than nothing
     r = scatter / np.outer(np.where(size > 0, size, 1), np.where(size > 0, size, 1))
     np.fill_diagonal(r, 1.0)
     values, vectors = np.linalg.eigh(np.clip(np.nan_to_num((r + r.T) / 2), -1, 1))
