@@ -53,6 +53,17 @@ def test_held_out_pages():
     assert sum(html.main_text(s, model) == t for s, t in made) >= 190
 
 
+def test_scatter_with_a_negative_diagonal():
+    with np.errstate(all="raise"):
+        got = quality._correlation(np.array([[-1e-18, 0.0], [0.0, 2.0]]))
+    assert got == pytest.approx(np.eye(2))
+
+
+def test_components_of_a_chain(spark):
+    links = spark.range(0, 200).select((F.col("id") * 37 % 201).alias("a"), ((F.col("id") + 1) * 37 % 201).alias("b"))
+    assert {r["root"] for r in simhash.components(links).collect()} == {0}
+
+
 def test_marginals_equal_enumeration():
     """Sum-product against the sum over all labellings of a small tree."""
     page = html.Page("<body><div class=ad><p>one two. </p></div><p>three <b>four</b></p><ul><li>x</li></ul></body>")
@@ -266,6 +277,14 @@ URLS = [
 ]
 
 
+@pytest.mark.parametrize("inline", [urlrules.INLINE_RULES, 0])
+def test_words_in_either_case(spark, inline):
+    urls = ["http://a.net/CASINO/x", "http://a.net/Add-To-Cart", "http://a.net/casinoX", "http://CASINO.net/", "http://a.net/xCASINO"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [r["verdict"] for r in urlrules.judge(df, inline=inline).orderBy("page_id").collect()]
+    assert got == ["block", "block", "allow", "block", "allow"]
+
+
 @pytest.mark.parametrize("inline", [urlrules.INLINE_RULES, 0])
 def test_rules(spark, inline):
     got = verdicts(spark, URLS, inline=inline)

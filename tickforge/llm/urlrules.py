@@ -54,8 +54,9 @@ def host_rule(verdict: str, text: str) -> Rule:
 
 
 def word_rule(verdict: str, word: str) -> Rule:
-    """A rule for URLs that hold a word, delimited."""
-    return Rule(word, rf"(?:\A|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|\z)", tuple(re.findall("[a-z0-9]+", word)), verdict, False)
+    """A rule for URLs that hold a word (of ASCII), delimited, in either case, as tokens are."""
+    either = "".join(f"[{c.upper()}{c.lower()}]" if c.isalpha() else re.escape(c) for c in word)
+    return Rule(word, rf"(?:\A|[^A-Za-z0-9]){either}(?:[^A-Za-z0-9]|\z)", tuple(re.findall("[a-z0-9]+", word.lower())), verdict, False)
 
 
 #: The rules that the query judges by, and what the method blocks besides.
