@@ -298,6 +298,28 @@ class TestPairwise:
         gap = x.withColumn("v", F.when(F.col("id") > 0, F.col("v")))
         assert [r["id"] for r in pairwise.nearest(gap, x, 1).collect()] == [1]
 
+    def test_shuffled_rows_grow_with_the_rows(self, spark):
+        """Four times the rows, in four times the pieces: not sixteen times the rows shuffled."""
+
+        def shuffled():
+            context = spark.sparkContext
+            stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+            return {(stages.apply(k).stageId(), stages.apply(k).attemptId()): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+        def added(n):
+            x = np.random.default_rng(8).normal(size=(n, 3))
+            before = shuffled()
+            pairwise.kernel_mean(vecs(spark, x), vecs(spark, x + 0.1), block=25)
+            return sum(v - before.get(k, 0) for k, v in shuffled().items())
+
+        small, large = added(50), added(200)
+        assert large < 6 * small, (small, large)
+
+    def test_rows_without_ids_are_kept(self, spark):
+        x = vecs(spark, [[0.0], [1.0], [5.0]])
+        found = pairwise.nearest(x.withColumn("id", F.when(F.col("id") > 0, F.col("id"))), x.filter("id > 0"), 1).collect()
+        assert sorted(((r["id"], r["distance"]) for r in found), key=str) == [(1, 0.0), (2, 0.0), (None, 1.0)]
+
     def test_copies_are_a_privacy_risk(self, spark):
         x = np.random.default_rng(4).normal(size=(50, 4))
         found = pairwise.nndr(vecs(spark, x), vecs(spark, x)).first()

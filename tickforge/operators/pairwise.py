@@ -1,32 +1,39 @@
 """Kernel distance and nearest neighbours between two vector sets (id, v).
 
-Rows are assigned to the nearest of some pivots, and both sets are written once with their cells.
-By the triangle inequality rows of two cells are no nearer than their pivots' distance less both
-radii; pairs of cells too far apart to matter are never formed, and a vector is copied only to
-cells that can hold a neighbour of it or a kernel value that shows. Cells are cut into pieces of
-some ``BLOCK`` rows, a pair of pieces is one task, and only sums or the k nearest leave it. Which
-rows are pivots decides how much is skipped, not what is found.
+Rows are assigned to the nearest of some pivots. Each set is shuffled once: cells are cut into pieces of some
+``BLOCK`` rows, and a piece is an array file in the shared folder. A task takes a piece (or a slice of one, while
+there are few) through the other set's pieces, which it reads one after the other; only a sum or the k nearest of its
+own rows leave it. What is shuffled and written thus grows with the rows, not with their pairs.
+
+By the triangle inequality rows of two cells are no nearer than their pivots' distance less both radii; cells too far
+to hold a neighbour or a kernel value that shows are not read. Which rows are pivots decides how much is skipped, not
+what is found.
 
 Rows without a vector take no part. Rows that share an id are rows of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickforge.operators import ordered
-from tickforge.sources.shared import stored
+from tickforge.sources.files import read_bytes, write_bytes
+from tickforge.sources.shared import new_path, stored
 
 #: Rows of a piece, and of a cell while there are fewer than ``PIVOTS`` of them.
 BLOCK = 2048
-#: Cells at most: what is known of cells, and of pairs of cells, is bounded by it and may be broadcast.
+#: Cells at most: what is known of cells, and of pairs of cells, is bounded by it.
 PIVOTS = 256
+#: Slices of a piece at most, while there are fewer pieces than twice the cores; and tasks of a search at most.
+SLICES, TASKS = 8, 20_000
 #: Kernel values below this are taken for zero; so no mean is off by more.
 LEAST = 1e-13
 #: Bounds are widened by this share, against rounding.
@@ -37,13 +44,13 @@ _TILE = 1 << 17
 
 @dataclass(frozen=True)
 class Cells:
-    """A set (id, v, _row, _cell, _piece): by cell its rows, pieces and radius around the pivot."""
+    """A set by cell: its rows, its radius around the pivot and the files of its pieces."""
 
-    rows: DataFrame
+    spark: SparkSession
     counts: np.ndarray
-    pieces: np.ndarray
     radius: np.ndarray
     pivots: np.ndarray
+    pieces: list[list[str]]
 
     @property
     def size(self) -> int:
@@ -69,6 +76,25 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(_squares(x, y))
 
 
+def _kept_in(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Writes a piece as a file; its name is of the attempt, so that none is written twice."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_row")
+        name, out = f"{folder}/{uuid.uuid4().hex}.npz", io.BytesIO()
+        np.savez(out, id=part["id"].fillna(0).to_numpy(np.int64), known=part["id"].notna().to_numpy(bool), v=_matrix(part))
+        write_bytes(name, out.getvalue())
+        return pd.DataFrame({"_set": [key[0]], "_cell": [key[1]], "_piece": [key[2]], "name": [name]})
+
+    return run
+
+
+def _read(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, which of them are known, vectors) of a piece."""
+    with np.load(io.BytesIO(read_bytes(name))) as held:
+        return held["id"], held["known"], held["v"]
+
+
 def in_cells(*sets: DataFrame, block: int = BLOCK) -> list[Cells]:
     """The sets in cells around the same pivots, one pivot to ``block`` rows and at most ``PIVOTS``."""
     spark = sets[0].sparkSession
@@ -81,8 +107,7 @@ def in_cells(*sets: DataFrame, block: int = BLOCK) -> list[Cells]:
     picked = kept.select("v").orderBy(F.xxhash64("_row", "id"), "_row").limit(wanted).collect()  # at most PIVOTS rows
     if not picked:
         none = np.zeros(0)
-        empty = kept.select("id", "v", "_row", F.lit(0).alias("_cell"), F.lit(0).alias("_piece"))
-        return [Cells(empty, none, none, none, none.reshape(0, 0)) for _ in sets]
+        return [Cells(spark, none, none, none.reshape(0, 0), []) for _ in sets]
     pivots = np.unique(np.array([r[0] for r in picked], np.float64), axis=0)
 
     def assign(batches):
@@ -93,37 +118,43 @@ def in_cells(*sets: DataFrame, block: int = BLOCK) -> list[Cells]:
 
     placed = stored(kept.mapInPandas(assign, "_set int, id long, v array<double>, _row long, _cell int, _from double"), "cells")
     known = placed.groupBy("_set", "_cell").agg(F.count("*").alias("n"), F.max("_from").alias("r")).collect()  # a row a cell and set
+    table = F.broadcast(spark.createDataFrame([(r["_set"], r["_cell"], -(-r["n"] // block)) for r in known], "_set int, _cell int, _pieces long"))
+    piece = F.pmod(F.xxhash64("_row"), F.col("_pieces")).cast("int").alias("_piece")
+    dealt = placed.join(table, ["_set", "_cell"]).select("_set", "_cell", piece, "_row", "id", "v")
+    kept_in = _kept_in(new_path(spark, "pieces"))
+    named = stored(dealt.groupBy("_set", "_cell", "_piece").applyInPandas(kept_in, "_set int, _cell int, _piece int, name string"), "piece-names")
+    names = named.orderBy("_set", "_cell", "_piece").collect()  # a row a piece
     out = []
     for k in range(len(sets)):
         counts, radius = np.zeros(len(pivots), int), np.zeros(len(pivots))
+        pieces: list[list[str]] = [[] for _ in pivots]
         for r in known:
             if r["_set"] == k:
                 counts[r["_cell"]], radius[r["_cell"]] = r["n"], r["r"]
-        pieces = -(-counts // block)
-        table = F.broadcast(spark.createDataFrame([(c, int(p)) for c, p in enumerate(pieces)], "_cell int, _pieces int"))  # a row a cell
-        piece = F.pmod(F.xxhash64("_row"), F.greatest("_pieces", F.lit(1))).cast("int").alias("_piece")
-        rows = placed.filter(F.col("_set") == k).join(table, "_cell").select("id", "v", "_row", "_cell", piece)
-        out.append(Cells(rows, counts, pieces, radius, pivots))
+        for r in names:
+            if r["_set"] == k:
+                pieces[r["_cell"]].append(r["name"])
+        out.append(Cells(spark, counts, radius, pivots, pieces))
     return out
 
 
-Work = Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]
+#: Of a slice: its cell, the place of its piece there, and its ids, which of them are known, and vectors.
+Work = Callable[[int, int, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+
+
+def _on_pieces(cells: Cells, work: Work, schema: str) -> DataFrame:
+    """``work`` on all pieces, each by itself or in slices."""
+    names = [(i, k, name) for i, held in enumerate(cells.pieces) for k, name in enumerate(held)]
+    cut = max(1, min(SLICES, -(-2 * cells.spark.sparkContext.defaultParallelism // len(names))))
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in batch["id"].tolist():
+                i, k, name = names[at // cut]
+                yield work(i, k, *[x[at % cut :: cut] for x in _read(name)])
 
-def _on_pairs(left: Cells, right: Cells, pairs: list[tuple[int, int]], work: Work, schema: str, left_rows: DataFrame | None = None, halved: bool = False) -> DataFrame:
-    """``work`` on the pieces of each pair of cells; ``halved`` leaves out pieces of one cell in the other order."""
-    spark = left.rows.sparkSession
-    sized = [(i, j, int(left.pieces[i]), int(right.pieces[j])) for i, j in pairs]
-    table = F.broadcast(spark.createDataFrame(sized, "i int, j int, pi int, pj int"))  # at most PIVOTS squared
-    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    a = (left.rows if left_rows is None else left_rows).join(table, F.col("_cell") == F.col("i")).withColumnRenamed("_piece", "p").withColumn("q", each("pj"))
-    b = right.rows.join(table, F.col("_cell") == F.col("j")).withColumnRenamed("_piece", "q").withColumn("p", each("pi"))
-    if halved:
-        a, b = (x.filter((F.col("i") != F.col("j")) | (F.col("p") <= F.col("q"))) for x in (a, b))
-    extra = [] if left_rows is None else ["_bound"]
-    a = a.select("i", "j", "p", "q", "_row", "id", "v", *extra)
-    b = b.select(*[F.col(c).alias(f"{c}2") for c in ("i", "j", "p", "q", "v")])
-    return a.groupBy("i", "j", "p", "q").cogroup(b.groupBy("i2", "j2", "p2", "q2")).applyInPandas(lambda key, x, y: work(key, x, y.rename(columns={"v2": "v"})), schema)
+    n = len(names) * cut
+    return cells.spark.range(0, n, 1, min(n, TASKS)).mapInPandas(run, schema)
 
 
 def _gaps(left: Cells, right: Cells) -> np.ndarray:
@@ -132,29 +163,27 @@ def _gaps(left: Cells, right: Cells) -> np.ndarray:
     return np.maximum(0.0, d * (1 - _SLACK) - (left.radius[:, None] + right.radius) * (1 + _SLACK))
 
 
-def _skipped(left: Cells, right: Cells, pairs: list[tuple[int, int]]) -> float:
-    done = sum(int(left.counts[i]) * int(right.counts[j]) for i, j in pairs)
-    return 1 - done / max(1, left.size * right.size)
-
-
 def _kernel_mean(left: Cells, right: Cells, bandwidth: float) -> tuple[float | None, float]:
     """(mean, share of pairs skipped). Of a set with itself each pair of pieces is worked out in one order."""
     if not left.size or not right.size:
         return None, 0.0
-    same = left is right
+    same, others = left is right, right.pieces
     gaps = _gaps(left, right)
-    shows = np.exp(-(gaps**2) / (2 * bandwidth**2)) >= LEAST
-    shows &= (left.counts[:, None] > 0) & (right.counts > 0)
-    pairs = [(int(i), int(j)) for i, j in np.argwhere(shows) if not same or i <= j]
+    shows = ~(np.exp(-(gaps**2) / (2 * bandwidth**2)) < LEAST)
 
-    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"s": [0.0]})
-        twice = 2 if same and (key[0] != key[1] or key[2] != key[3]) else 1
-        return pd.DataFrame({"s": [twice * float(np.exp(-_squares(_matrix(a), _matrix(b)) / (2 * bandwidth**2)).sum())]})
+    def work(i: int, k: int, _ids: np.ndarray, _known: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        total = 0.0
+        for j in np.flatnonzero(shows[i]).tolist():
+            for q, name in enumerate(others[j]):
+                if same and (j, q) < (i, k):
+                    continue
+                twice = 2 if same and (j, q) != (i, k) else 1
+                total += twice * float(np.exp(-_squares(v, _read(name)[2]) / (2 * bandwidth**2)).sum())
+        return pd.DataFrame({"s": [total]})
 
-    total = _on_pairs(left, right, pairs, work, "s double", halved=same).agg(F.sum("s")).first()[0]
-    return (total or 0.0) / (left.size * right.size), _skipped(left, right, pairs)
+    total = _on_pieces(left, work, "s double").agg(F.sum("s")).first()[0]
+    done = left.counts @ shows @ right.counts
+    return total / (left.size * right.size), 1 - float(done) / (left.size * right.size)
 
 
 def kernel_mean(left: DataFrame, right: DataFrame, bandwidth: float = 1.0, block: int = BLOCK) -> float | None:
@@ -179,62 +208,37 @@ def mmd_of_cells(x: Cells, y: Cells, bandwidth: float = 1.0) -> dict[str, float
     return {"xx": xx, "yy": yy, "xy": xy, "mmd": None if None in (xx, yy, xy) else xx + yy - 2 * xy, "pairs_skipped": skipped}
 
 
-_FOUND = "_row long, id long, cell int, d2 double"
-
-
-def _search(k: int, pivots: np.ndarray, radius: np.ndarray) -> Work:
-    """The k nearest of a piece to each row of another; with a _bound, rows whose bound doesn't reach the cell are left out."""
-
-    def work(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[:2]
-        if "_bound" in a and len(a):
-            reach = _distances(_matrix(a), pivots[j : j + 1])[:, 0] * (1 - _SLACK) - radius[j] * (1 + _SLACK)
-            a = a[reach <= a["_bound"].to_numpy()]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"_row": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "cell": pd.Series([], dtype="int32"), "d2": pd.Series([], dtype="float64")})
-        d2 = _squares(_matrix(a), _matrix(b))
-        least = np.sort(np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2, axis=1)
-        repeat = lambda c: np.repeat(a[c].to_numpy(), least.shape[1])
-        return pd.DataFrame({"_row": repeat("_row"), "id": repeat("id"), "cell": i, "d2": least.ravel()})
-
-    return work
-
-
-def _least(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("_row").orderBy("d2")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 def neighbours(queries: Cells, base: Cells, k: int) -> tuple[DataFrame, float]:
-    """((id, rank, distance), share of pairs of rows whose cells were not paired).
+    """((id, rank, distance), share of pairs of rows that were not worked out).
 
-    First each cell is searched against the nearest cells that hold k rows together; the kth distances found bound
-    what is left, by cell and then by row, and only cells within the bound are searched after that.
+    A piece goes through the cells from the nearest one on; a row whose kth distance so far doesn't reach a cell
+    leaves it out.
     """
-    searched = _search(k, base.pivots, base.radius)
-    result = lambda rows: rows.select("id", "rank", F.sqrt("d2").alias("distance"))
     if not queries.size or not base.size:
-        return result(queries.rows.limit(0).select("id", F.lit(0).alias("rank"), F.lit(0.0).alias("d2"))), 0.0
-    apart = _distances(queries.pivots, base.pivots)
-    gaps = _gaps(queries, base)
-    mine, theirs = np.flatnonzero(queries.counts), np.flatnonzero(base.counts)
-    first: list[tuple[int, int]] = []
-    for i in mine:
-        near = theirs[np.argsort(apart[i, theirs], kind="stable")]
-        upto = int(np.searchsorted(np.cumsum(base.counts[near]), k)) + 1
-        first += [(int(i), int(j)) for j in near[:upto]]
-    start = stored(_least(_on_pairs(queries, base, first, searched, _FOUND), k), "near")
-    done = set(first)
-    left = [(int(i), int(j)) for i in mine for j in theirs if (int(i), int(j)) not in done]
-    if left:
-        kth = start.groupBy("_row").agg(F.max("cell").alias("cell"), F.when(F.count("*") >= k, F.sqrt(F.max("d2"))).otherwise(F.lit(float("inf"))).alias("_bound"))
-        reach = dict(map(tuple, kth.groupBy("cell").agg(F.max("_bound")).collect()))  # a row a cell
-        left = [(i, j) for i, j in left if gaps[i, j] <= reach[i] * (1 + _SLACK)]
-    if not left:
-        return result(start), _skipped(queries, base, first)
-    bounded = queries.rows.join(kth.select("_row", (F.col("_bound") * (1 + _SLACK)).alias("_bound")), "_row")
-    more = _on_pairs(queries, base, left, searched, _FOUND, bounded)
-    return result(stored(_least(start.drop("rank").unionByName(more), k), "nearest")), _skipped(queries, base, first + left)
+        return queries.spark.createDataFrame([], "id long, rank int, distance double"), 0.0
+    order = np.argsort(_distances(queries.pivots, base.pivots), axis=1, kind="stable")
+    counts, radius, pivots, others = base.counts, base.radius, base.pivots, base.pieces
+    most = min(k, base.size)
+
+    def work(i: int, _k: int, ids: np.ndarray, known: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        best, done = np.full((len(v), k), np.nan), 0  # squared; NaN sorts last and bounds nothing
+        away = _distances(v, pivots) * (1 - _SLACK) - radius * (1 + _SLACK)
+        for j in order[i].tolist():
+            for name in others[j]:
+                rows = np.flatnonzero(~(away[:, j] > np.sqrt(best[:, -1]) * (1 + _SLACK)))
+                if not len(rows):
+                    break
+                d2 = _squares(v[rows], _read(name)[2])
+                done += d2.size
+                near = np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2
+                best[rows] = np.sort(np.concatenate([best[rows], near], axis=1), axis=1)[:, :k]
+        out = pd.DataFrame({"id": np.repeat(ids, most), "rank": np.tile(np.arange(1, most + 1, dtype=np.int32), len(v)), "distance": np.sqrt(best[:, :most]).ravel(), "done": 0})
+        out.loc[:0, "done"] = done
+        return out.assign(id=out["id"].astype("Int64").mask(np.repeat(~known, most)))
+
+    found = stored(_on_pieces(queries, work, "id long, rank int, distance double, done long"), "nearest")
+    done = found.agg(F.sum("done")).first()[0]
+    return found.drop("done"), 1 - done / (queries.size * base.size)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
