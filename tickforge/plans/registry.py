@@ -650,9 +650,10 @@ SELECT round(((SELECT avg((p > 0.05)::INT) FROM p) + exp(-mmd) + least(1.0, s2r
 )
 def a18_realism_score(spark, sf_dir):
     """The score of three terms: exact tests of suppliers' balances, kernel distance and neighbour ratio of embeddings."""
-    sets = sources.vectors(spark, sf_dir)
+    x, y = pairwise.in_cells(*sources.vectors(spark, sf_dir))  # one set of cells for the kernel and both searches
     tests = {k: v for k, v in stats.ks_test(*_balances(spark, sf_dir)).items() if v["p_value"] is not None}
-    found = {"ks_tests": tests, "mmd": pairwise.mmd_rbf(*sets)["mmd"], "privacy": {"nndr": pairwise.nndr(*sets).first().asDict()}}
+    near = pairwise.neighbours(y, x, report.NEIGHBOURS + 1)[0]
+    found = {"ks_tests": tests, "mmd": pairwise.mmd_of_cells(x, y)["mmd"], "privacy": {"nndr": pairwise.nndr_of_cells(x, near, report.NEIGHBOURS).first().asDict()}}
     return spark.createDataFrame([(round(report.realism_score(found), 6),)], "realism_score double")
 
 
