@@ -137,17 +137,36 @@ def test_near_duplicates(spark):
     assert len(members) <= 40 + 6
 
 
-def test_rounds_go_on_until_no_candidate_is_left(spark, monkeypatch):
-    """Links that a band's first text doesn't give are found in later rounds."""
+def test_links_of_two_groups(spark):
+    """Each of two groups of like fingerprints is linked, and nothing between them."""
     size = 2 * len(editembed.sampled(32))
     a, b = ("0123456789abcdef" * 40)[:size], ("fedcba9876543210" * 40)[:size]
     rows = [(0, "20" + a), (1, "20" + b), (2, "20" + b[:-1] + "1"), (3, "20" + a[:-1] + "1")]
-    monkeypatch.setattr(editembed, "_banded", lambda batches: (x.assign(band=1, base=30, b=0)[["band", "id", "base", "b"]] for x in batches))
     frame = spark.createDataFrame(rows, "id long, fingerprint string")
-    monkeypatch.setattr(editembed, "likeness_of", lambda x, y: (editembed.F.substring(x, 3, 9) == editembed.F.substring(y, 3, 9)).cast("double"))
     assert {tuple(r) for r in editembed.near_links(frame).collect()} == {(3, 0), (2, 1)}
 
 
+@pytest.mark.parametrize("compared, alike", [(2048, 0.6), (7, 0.6), (7, 0.45)])
+def test_no_link_is_lost(spark, monkeypatch, compared, alike):
+    """Components of all pairs at or above the threshold, also of lengths apart, short and empty texts."""
+    monkeypatch.setattr(editembed, "COMPARED", compared)
+    rng = random.Random(6)
+    texts = {"", "a", "ab", "abc"}
+    for n in (1, 2, 3, 6, 12, 40, 41, 150, 151, 700) * 2:
+        text = words(rng, n)
+        texts |= {text, text[: int(len(text) * 0.7)], text + " " + words(rng, n // 3)} | {edited(rng, text, s) for s in (0.01, 0.03, 0.05, 0.07)}
+    prints = sorted({editembed.text_fingerprint(t) for t in texts})
+    root = [*range(len(prints))]
+    for i, x in enumerate(prints):
+        for j in range(i):
+            if editembed.likeness(x, prints[j]) >= alike:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    frame = spark.createDataFrame([*enumerate(prints)], "doc_id long, fingerprint string")
+    found = {r["doc_id"]: r["class_id"] for r in editembed.near_duplicates(frame, alike).collect()}
+    assert found == dict(enumerate(root)) and len({*root}) < len(root) / 2
+
+
 def test_documents_table(spark, sf_dir):
     made = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert got(queries.op11_edit_fingerprints(spark, sf_dir)) == expected(made)

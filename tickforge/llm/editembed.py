@@ -16,17 +16,17 @@ shorter one, and texts of different lengths can be compared. Likeness is the sha
 digits, less what chance gives, among the common steps at which not both texts have ended, by the
 walk that gives most.
 
-Near-duplicates: digits at sampled steps make ``BANDS`` bands of ``ROWS`` digits each, under a
-class that covers its own and the next two, so that lengths may differ by some 40%. Texts that
-share a band are candidates. A band's texts are compared with its first one, by whole
-fingerprints; those that are less alike than ``ALIKE`` go on to bands with more digits, twice as
-many each time, until none has company. Classes are the components of verified links.
+Near-duplicates: two fingerprints link if their likeness is ``ALIKE`` or more, and classes are the components of
+all such links. Every pair that can link is compared. Fingerprints are cut into blocks of one length class, stored as
+arrays; a task takes a block through the later ones whose numbers of digits before the end allow a link. Digits lie in
+bit planes: those of one plane that differ are a lower bound of the digits that differ and leave few pairs, which
+all planes decide. The work is that of all pairs of texts of like length; what is held is two blocks.
 
 Scale: texts are compressed and range partitioned by doc_id, once; all that a document needs from its successor
 is at hand while a partition is read in order. Where a partition ends, only the last document and
 the next partition's first one are joined, a row each a partition. Equal fingerprints collapse
-before bands are made; a frequent band or first text meets its members in sort-merge joins,
-which Spark's skew join may split; a band sends each member to one other text, not all pairs.
+before blocks are made, which are shuffled once and read by the tasks that compare them; a task
+sends on a star for each component of its own links, not the pairs.
 
 Defined results: null texts are empty. Documents without a doc_id come last; equal doc_ids go by
 a hash of their texts. A single document is its own successor. Two empty texts have likeness 1, an
@@ -36,7 +36,8 @@ empty and another one 0. Repeated rows are documents of their own. Extra columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,14 +48,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from tickforge.llm.common import written
-from tickforge.llm.simhash import components
+from tickforge.llm import store
+from tickforge.llm.common import shared_path, written
+from tickforge.llm.simhash import _roots, components
 
 SEED = 42
 PERIOD, CLASSES = 4096, 256
 #: Walks, sampled steps of each on average, and characters that a digit is hashed from.
 WALKS, SAMPLES, GRAM = 2, 160, 4
-BANDS, ROWS, REACH = 8, 6, 2
+#: Fingerprints in a block that is compared with others, of them at once, and tasks at most.
+COMPARED, TILE, TASKS = 2048, 64, 20_000
 #: Walks that are still worth advancing together, and cells of their table.
 TOGETHER, CELLS = 48, 1 << 23
 #: Documents, and characters but for the last, that are embedded together.
@@ -304,45 +307,76 @@ def prints(docs: DataFrame) -> DataFrame:
     return made.filter("edge IS NULL").unionByName(written(edges, "edit-prints-at-edges")).select(*[n for n in _NAMES if n not in ("part", "edge", "text")])
 
 
-@lru_cache(1024)
-def band_order(k: int, base: int, walk_: int) -> np.ndarray:
-    """Places in a fingerprint of class k of the digits of bands of class ``base`` (k - REACH to k), in the order in which bands take them."""
-    steps, mine = sampled(base + REACH), sampled(k)
-    sure = steps[steps < 1.6 * 2 ** ((base - 1) / 4)]  # where all texts of these classes still go on
-    steps = sure if len(sure) else steps[:1]
-    order = np.argsort(mixed(np.arange(len(steps)) + (base << 32) + (walk_ << 48)), kind="stable")
-    return 2 + walk_ * len(mine) + np.searchsorted(mine, steps[order])
-
-
-def _hash(said: str) -> int:
-    return int.from_bytes(hashlib.blake2b(said.encode(), digest_size=8).digest(), "little", signed=True)
-
-
-BAND = "band long, id long, base int, b int"
-
-
-def _banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each fingerprint's bands under the classes that cover it; band b is of walk b % WALKS."""
-    for batch in batches:
-        out = []
-        for number, print_ in zip(batch["id"].tolist(), batch["fingerprint"], strict=True):
-            k = int(print_[:2], 16)
-            for base in range(max(0, k - REACH), k + 1):
-                for b in range(BANDS):
-                    places = np.resize(band_order(k, base, b % WALKS), ROWS * BANDS)[b // WALKS * ROWS : (b // WALKS + 1) * ROWS]
-                    out.append((_hash(f"{base}:{b}:" + "".join([print_[i] for i in places.tolist()])), number, base, b))
-        yield pd.DataFrame(out, columns=["band", "id", "base", "b"])
-
-
-def _refined(batches: Iterator[pd.DataFrame], turn: int) -> Iterator[pd.DataFrame]:
-    """Bands with 2^turn more digits."""
-    for batch in batches:
-        out = []
-        for band, number, base, b, print_ in batch[["band", "id", "base", "b", "fingerprint"]].itertuples(index=False):
-            order = band_order(int(print_[:2], 16), base, (b + turn) % WALKS)
-            places = np.take(order, np.arange(1 << turn) + (1 << turn) + b * ROWS, mode="wrap")
-            out.append((_hash(f"{band}:" + "".join([print_[i] for i in places.tolist()])), number, base, b))
-        yield pd.DataFrame(out, columns=["band", "id", "base", "b"])
+class _Block:
+    """Fingerprints of a class as digits at the steps of another one: by plane, walk and word of 64 places, a row a fingerprint."""
+
+    def __init__(self, ids: np.ndarray, digits: np.ndarray, at: np.ndarray):
+        said = np.full((len(ids), WALKS, len(at)), _ENDED, np.uint8)
+        said[:, :, at >= 0] = digits[:, :, at[at >= 0]]
+        self.ids, self.places = ids, len(at)
+        self.length = (said != _ENDED).sum(axis=2)
+        words = -(-len(at) // 64)
+        self.planes = np.zeros((5, WALKS, words, len(ids)), np.uint64)
+        for p in range(5):
+            bits = np.packbits(said >> p & 1, axis=2, bitorder="little")
+            bits = np.pad(bits, ((0, 0), (0, 0), (0, 8 * words - bits.shape[2])))
+            self.planes[p] = np.ascontiguousarray(bits).view(np.uint64).transpose(1, 2, 0)
+
+
+def _near(x: _Block, y: _Block, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in x, in y) of all pairs whose ``likeness`` is ``alike`` or more, by the walks that say so."""
+    for w in range(WALKS):
+        most = [(np.floor(b.length[:, w] * (1 - alike) * 15 / 16 + 1e-6)).astype(np.uint16) for b in (x, y)]
+        mine, theirs = x.planes[:, w], y.planes[:, w]
+        for lo in range(0, len(x.ids), TILE):
+            rows = slice(lo, lo + TILE)
+            differ = np.zeros((len(x.ids[rows]), len(y.ids)), np.uint16)
+            for a, b in zip(mine[0], theirs[0], strict=True):
+                differ += np.bitwise_count(a[rows, None] ^ b)
+            i, j = np.nonzero(differ <= np.maximum(most[0][rows, None], most[1]))
+            i += lo
+            unlike, ended = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+            for k in range(mine.shape[1]):
+                both = [(a[k][i], b[k][j]) for a, b in zip(mine, theirs, strict=True)]
+                unlike += np.bitwise_count(np.bitwise_or.reduce([a ^ b for a, b in both]))
+                ended += np.bitwise_count(both[4][0] & both[4][1])
+            counted = x.places - ended
+            near = ((counted - unlike) / np.maximum(counted, 1) - 1 / 16) * 16 / 15 >= alike
+            near &= counted > 0
+            yield i[near], j[near]
+
+
+BLOCKS = "k int, name string, low array<int>, high array<int>"
+
+
+def _block_in(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Stores a block; its name is of the attempt. Per walk, the fewest and the most digits before the end."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        k, name = int(key[0], 16), uuid.uuid4().hex
+        said = np.frombuffer("".join([x[2:] for x in part["fingerprint"]]).encode(), np.uint8)
+        digits = np.where(said == ord("."), _ENDED, np.where(said >= ord("a"), said - 87, said - 48)).astype(np.uint8)
+        store.put_all(folder, name, part["id"].to_numpy(np.int64), digits)
+        length = (digits.reshape(len(part), WALKS, -1) != _ENDED).sum(axis=2)
+        return pd.DataFrame({"k": [k], "name": [name], "low": [length.min(axis=0).tolist()], "high": [length.max(axis=0).tolist()]})
+
+    return run
+
+
+def _read_block(folder: str, k: int, name: str, at: np.ndarray) -> _Block:
+    ids, digits = store.get_all(folder, name)
+    return _Block(np.asarray(ids), np.asarray(digits).reshape(len(ids), WALKS, len(sampled(k))), at)
+
+
+def _may_link(mine: tuple, theirs: tuple, at: np.ndarray, alike: float) -> bool:
+    """Whether blocks' lengths leave a pair of them alike: all digits of the shorter one equal."""
+    upto = np.append(0, np.cumsum(np.bincount(at[at >= 0], minlength=1)))
+    for low, high, low2, high2 in zip(mine[2], mine[3], theirs[2], theirs[3], strict=True):
+        low, high = (int(upto[min(n, len(upto) - 1)]) for n in (low, high))
+        least, most = max(low, low2), min(high, high2)  # the nearest that a longer and a shorter one can be
+        if most >= least or most >= least * (1 / 16 + alike * 15 / 16) - 1e-6:
+            return True
+    return False
 
 
 def likeness_of(x: str, y: str) -> Column:
@@ -356,25 +390,44 @@ def likeness_of(x: str, y: str) -> Column:
 
 
 def near_links(distinct: DataFrame, alike: float = ALIKE) -> DataFrame:
-    """Verified links (a, b) between distinct fingerprints (id, fingerprint) that share a band."""
-    rest = distinct.mapInPandas(_banded, BAND)
-    links, turn = None, 0
-    while True:
-        lead = rest.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-        pairs = written(rest.join(lead, "band").filter("id <> lead").select("band", "id", "base", "b", "lead"), "band-pairs")
-        if pairs.isEmpty():
-            return links if links is not None else pairs.select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        wanted = pairs.select("id", "lead").distinct()
-        mine = distinct.select("id", F.col("fingerprint").alias("_x"))
-        theirs = distinct.select(F.col("id").alias("lead"), F.col("fingerprint").alias("_y"))
-        judged = wanted.join(mine, "id").join(theirs, "lead").select("id", "lead", "_x", (likeness_of("_x", "_y") >= alike).alias("near"))
-        judged = written(judged, "judged", "zstd")
-        found = judged.filter("near").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-        links = found if links is None else links.unionByName(found)
-        left = pairs.join(judged.filter("NOT near").select("id", "lead", F.col("_x").alias("fingerprint")), ["id", "lead"])
-        now = turn
-        rest = written(left.mapInPandas(lambda batches, now=now: _refined(batches, now), BAND), "bands")
-        turn += 1
+    """Links (a, b) between distinct fingerprints (id, fingerprint) that span the same components as all pairs whose likeness is ``alike``."""
+    spark = distinct.sparkSession
+    folder = shared_path(spark, "edit-blocks")
+    held = distinct.select("id", "fingerprint", F.substring("fingerprint", 1, 2).alias("_k"))
+    sizes = held.groupBy("_k").agg(F.ceil(F.count("*") / COMPARED).alias("_of"))  # a row a class
+    dealt = held.join(F.broadcast(sizes), "_k").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_of")))
+    made = written(dealt.groupBy("_k", "_b").applyInPandas(_block_in(folder), BLOCKS), "edit-block-names")
+    blocks = [tuple(r) for r in made.orderBy("k", "name").collect()]  # a row a block
+    if not blocks:
+        return spark.createDataFrame([], "a long, b long")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n in batch["id"].tolist():
+                k, name = blocks[n][:2]
+                a, b, many = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+                mine, of = None, -1
+                for m in range(n, len(blocks)):
+                    other, theirs_name = blocks[m][:2]
+                    at, there = common(k, other)
+                    if not _may_link(blocks[n], blocks[m], at, alike):
+                        continue
+                    if of != other:
+                        mine, of = _read_block(folder, k, name, at), other
+                    theirs = mine if m == n else _read_block(folder, other, theirs_name, there)
+                    for i, j in _near(mine, theirs, alike):
+                        if m == n:
+                            i, j = i[i < j], j[i < j]
+                        a.append(mine.ids[i])
+                        b.append(theirs.ids[j])
+                        many += len(i)
+                        if many > 1 << 20:
+                            x, y = _roots(np.concatenate(a), np.concatenate(b))
+                            a, b, many = [x], [y], 0
+                x, y = _roots(np.concatenate(a), np.concatenate(b))
+                yield pd.DataFrame({"a": x, "b": y})
+
+    return spark.range(0, len(blocks), 1, min(len(blocks), TASKS)).mapInPandas(compared, "a long, b long")
 
 
 def near_duplicates(printed: DataFrame, alike: float = ALIKE) -> DataFrame:
