@@ -325,12 +325,13 @@ class _Block:
 
 def _near(x: _Block, y: _Block, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (in x, in y) of all pairs whose ``likeness`` is ``alike`` or more, by the walks that say so."""
+    kind = np.uint8 if x.places < 256 else np.uint16
     for w in range(WALKS):
-        most = [(np.floor(b.length[:, w] * (1 - alike) * 15 / 16 + 1e-6)).astype(np.uint16) for b in (x, y)]
+        most = [np.floor(b.length[:, w] * (1 - alike) * 15 / 16 + 1e-6).astype(kind) for b in (x, y)]
         mine, theirs = x.planes[:, w], y.planes[:, w]
         for lo in range(0, len(x.ids), TILE):
             rows = slice(lo, lo + TILE)
-            differ = np.zeros((len(x.ids[rows]), len(y.ids)), np.uint16)
+            differ = np.zeros((len(x.ids[rows]), len(y.ids)), kind)
             for a, b in zip(mine[0], theirs[0], strict=True):
                 differ += np.bitwise_count(a[rows, None] ^ b)
             i, j = np.nonzero(differ <= np.maximum(most[0][rows, None], most[1]))
