@@ -315,6 +315,22 @@ class TestPairwise:
         small, large = added(50), added(200)
         assert large < 6 * small, (small, large)
 
+    def test_kernel_from_products(self, monkeypatch):
+        """Ordinary vectors need no differences; where rounding would show, differences are taken."""
+        rng = np.random.default_rng(9)
+        x, y = rng.normal(size=(300, 16)), rng.normal(size=(500, 16))
+        plain = lambda x, y, h: np.exp(-((x[:, None] - y[None]) ** 2).sum(axis=2) / (2 * h * h)).sum()
+        far, squares = 1e9, pairwise._squares
+        near = np.round(x * 2) / 2  # exact beside 1e9
+        assert pairwise._kernel_sum(near + far, near + far, near[0], 1.0) == pytest.approx(plain(near, near, 1.0), rel=1e-13)
+        monkeypatch.setattr(pairwise, "_squares", None)
+        for h in (0.8, 1.0, 7.0):
+            assert pairwise._kernel_sum(x, y, y[0], h) == pytest.approx(plain(x, y, h), rel=1e-12)
+        assert pairwise._kernel_sum(near + far, near + far, near[0] + far, 1.0) == pytest.approx(plain(near, near, 1.0), rel=1e-12)
+        assert pairwise._kernel_sum(x[:0], y, y[0], 1.0) == pairwise._kernel_sum(x, y[:0], y[0], 1.0) == 0
+        monkeypatch.setattr(pairwise, "_squares", squares)
+        assert np.isnan(pairwise._kernel_sum(np.append(x, [[np.nan] * 16], axis=0), y, y[0], 1.0))
+
     def test_rows_without_ids_are_kept(self, spark):
         x = vecs(spark, [[0.0], [1.0], [5.0]])
         found = pairwise.nearest(x.withColumn("id", F.when(F.col("id") > 0, F.col("id"))), x.filter("id > 0"), 1).collect()
