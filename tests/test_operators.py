@@ -331,6 +331,40 @@ class TestPairwise:
         monkeypatch.setattr(pairwise, "_squares", squares)
         assert np.isnan(pairwise._kernel_sum(np.append(x, [[np.nan] * 16], axis=0), y, y[0], 1.0))
 
+    @pytest.mark.parametrize("shift, scale", [(0.0, 1.0), (1e7, 1.0), (0.0, 1e-25), (0.0, 1e25), (3.0, 1e-6)])
+    @pytest.mark.parametrize("k", [1, 6, 70])
+    def test_pairs_that_may_be_near(self, shift, scale, k):
+        """What is left out in single precision is no neighbour; distances are those of differences, to the last bit."""
+        rng = np.random.default_rng(10)
+        x, y = rng.normal(size=(90, 64)) * scale + shift, rng.normal(size=(60, 64)) * scale + shift
+        x[:5], y[:20] = y[:5], y[0]  # copies, ties
+        every = pairwise._squares(x, y)
+        bound = np.where(np.arange(90) % 3 == 0, np.nan, np.sort(every, axis=1)[:, min(k, 60) - 1])
+        i, j, d2 = pairwise._near_pairs(x, y, y[7], bound, k)
+        assert (np.diff(i) >= 0).all() and d2 == pytest.approx(every[i, j], rel=1e-12, abs=0)
+        assert (d2[every[i, j] == 0] == 0).all()
+        for n in range(90):
+            assert np.sort(d2[i == n])[:k] == pytest.approx(np.sort(every[n])[:k], rel=1e-12, abs=0)
+
+    def test_few_pairs_are_worked_out_from_differences(self, monkeypatch):
+        rng = np.random.default_rng(11)
+        x, y = rng.normal(size=(400, 32)), rng.normal(size=(600, 32))
+        want = np.sort(((x[:, None] - y[None]) ** 2).sum(axis=2), axis=1)[:, :3]
+        monkeypatch.setattr(pairwise, "_squares", None)
+        i, _, d2 = pairwise._near_pairs(x, y, y[0], np.full(400, np.nan), 3)
+        assert len(i) < 2000 and np.array([np.sort(d2[i == n])[:3] for n in range(400)]) == pytest.approx(want)
+        i, j, _ = pairwise._near_pairs(x, y, y[0], want[:, 0], 3)
+        assert len(i) < 500 and set(range(400)) == set(i)
+
+    def test_neighbours_beside_missing_and_infinite_places(self, spark):
+        rng = np.random.default_rng(12)
+        x, y = rng.normal(size=(80, 6)), rng.normal(size=(50, 6))
+        x[3, 2], x[40, 0], y[7, 1] = np.nan, np.inf, np.nan
+        with np.errstate(invalid="ignore"):
+            want = np.sort(np.linalg.norm(y[:, None] - x[None], axis=2), axis=1)[:, :79]
+        got = pairwise.nearest(vecs(spark, y), vecs(spark, x), 79).orderBy("id", "rank").toPandas()
+        assert got["distance"].to_numpy().reshape(50, 79) == pytest.approx(want, nan_ok=True)
+
     def test_rows_without_ids_are_kept(self, spark):
         x = vecs(spark, [[0.0], [1.0], [5.0]])
         found = pairwise.nearest(x.withColumn("id", F.when(F.col("id") > 0, F.col("id"))), x.filter("id > 0"), 1).collect()

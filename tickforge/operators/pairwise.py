@@ -10,7 +10,8 @@ to hold a neighbour or a kernel value that shows are not read. Which rows are pi
 what is found.
 
 Pairs of pieces are worked out by matrix products around a pivot. Kernel values come from them as long as rounding
-can't show.
+can't show. Of neighbours they only say, in single precision and with a margin for its errors, which pairs may be among
+the nearest; these are worked out from differences.
 
 Rows without a vector take no part. Rows that share an id are rows of their own.
 """
@@ -45,6 +46,8 @@ ROUNDED = 1e-12
 _SLACK = 1e-9
 #: Differences, or products, held at a time: a megabyte of them.
 _TILE = 1 << 17
+#: Share of a pair of pieces up to which its pairs are looked at one by one.
+_FEW = 0.05
 
 
 @dataclass(frozen=True)
@@ -96,6 +99,45 @@ def _kernel_sum(x: np.ndarray, y: np.ndarray, pivot: np.ndarray, bandwidth: floa
     return total
 
 
+def _near_pairs(x: np.ndarray, y: np.ndarray, pivot: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, ascending; row of y; squared distance) of some pairs, all those among them that have a row's k least distances up to its bound.
+
+    A bound of NaN is none. Products in single precision tell which pairs may be meant.
+    """
+    a, b = x - pivot, y - pivot
+    p, q = ((m * m).sum(axis=1) for m in (a, b))
+    # more than a product is off by; where numbers are too small for single precision, all pairs are meant
+    off = (a.shape[1] + 8) * (float(np.finfo(np.float32).eps) * (np.sqrt(p) + np.sqrt(q.max(initial=0))) ** 2 + float(np.finfo(np.float32).tiny))
+    if np.isfinite(off).all() and off.max(initial=0) < 1e30:
+        left = np.column_stack([a, np.ones(len(a))]).astype(np.float32)
+        right = np.column_stack([b, -q / 2]).astype(np.float32).T
+        i, j, tall = [], [], max(1, 2 * _TILE // max(1, len(y)))
+        for lo in range(0, len(left), tall):
+            t = left[lo : lo + tall] @ right  # (|x|2 - d2) / 2
+            least = (p[lo : lo + tall] - bound[lo : lo + tall]) / 2
+            if np.isnan(least).any():
+                kth = np.partition(t, len(y) - k, axis=1)[:, len(y) - k].astype(float) - off[lo : lo + tall] if len(y) > k else np.full(len(t), -np.inf)
+                least = np.fmax(least, kth)
+            # rounded down once more: a bound is no longer exact in single precision
+            least = np.nextafter((least - off[lo : lo + tall]).astype(np.float32), np.float32(-np.inf))
+            at = np.flatnonzero(t >= least[:, None])
+            i.append(at // len(y) + lo)
+            j.append(at % len(y))
+        i, j = np.concatenate(i), np.concatenate(j)
+        if len(i) <= max(_FEW * len(x) * len(y), k * len(x)):
+            d2, wide = np.empty(len(i)), max(1, _TILE // max(1, x.shape[1]))
+            for lo in range(0, len(i), wide):
+                d = x[i[lo : lo + wide]] - y[j[lo : lo + wide]]
+                d2[lo : lo + wide] = np.einsum("ij,ij->i", d, d)
+            return i, j, d2
+    d2 = _squares(x, y)
+    if d2.shape[1] > k:
+        j = np.argpartition(d2, k - 1, axis=1)[:, :k]
+    else:
+        j = np.tile(np.arange(len(y)), (len(x), 1))
+    return np.repeat(np.arange(len(x)), j.shape[1]), j.ravel(), np.take_along_axis(d2, j, axis=1).ravel()
+
+
 def _kept_in(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     """Writes a piece as a file; its name is of the attempt, so that none is written twice."""
 
@@ -237,7 +279,7 @@ def neighbours(queries: Cells, base: Cells, k: int) -> tuple[DataFrame, float]:
     if not queries.size or not base.size:
         return queries.spark.createDataFrame([], "id long, rank int, distance double"), 0.0
     order = np.argsort(_distances(queries.pivots, base.pivots), axis=1, kind="stable")
-    counts, radius, pivots, others = base.counts, base.radius, base.pivots, base.pieces
+    radius, centres, pivots, others = base.radius, queries.pivots, base.pivots, base.pieces
     most = min(k, base.size)
 
     def work(i: int, _k: int, ids: np.ndarray, known: np.ndarray, v: np.ndarray) -> pd.DataFrame:
@@ -248,10 +290,20 @@ def neighbours(queries: Cells, base: Cells, k: int) -> tuple[DataFrame, float]:
                 rows = np.flatnonzero(~(away[:, j] > np.sqrt(best[:, -1]) * (1 + _SLACK)))
                 if not len(rows):
                     break
-                d2 = _squares(v[rows], _read(name)[2])
-                done += d2.size
-                near = np.partition(d2, k - 1, axis=1)[:, :k] if d2.shape[1] > k else d2
-                best[rows] = np.sort(np.concatenate([best[rows], near], axis=1), axis=1)[:, :k]
+                theirs = _read(name)[2]
+                at, _, d2 = _near_pairs(v[rows], theirs, centres[i], best[rows, -1], k)
+                done += len(rows) * len(theirs)
+                if not len(at):
+                    continue
+                by = np.lexsort([d2, at])
+                at, d2 = at[by], d2[by]
+                first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+                met, place, d2 = at[place < k], place[place < k], d2[place < k]
+                new = np.full((len(rows), k), np.nan)
+                new[met, place] = d2
+                some = at[first]
+                best[rows[some]] = np.sort(np.concatenate([best[rows[some]], new[some]], axis=1), axis=1)[:, :k]
         out = pd.DataFrame({"id": np.repeat(ids, most), "rank": np.tile(np.arange(1, most + 1, dtype=np.int32), len(v)), "distance": np.sqrt(best[:, :most]).ravel(), "done": 0})
         out.loc[:0, "done"] = done
         return out.assign(id=out["id"].astype("Int64").mask(np.repeat(~known, most)))
