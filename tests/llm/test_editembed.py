@@ -167,6 +167,139 @@ def test_no_link_is_lost(spark, monkeypatch, compared, alike):
     assert found == dict(enumerate(root)) and len({*root}) < len(root) / 2
 
 
+def made_prints(rng, k, n, groups=0, short=0):
+    """Digits of class k: of n texts, some of them members of groups of like ones, some that end early."""
+    steps = len(editembed.sampled(k))
+    digits = rng.integers(0, 16, (n, editembed.WALKS, steps)).astype(np.uint8)
+    heads = rng.integers(0, 16, (max(1, groups), editembed.WALKS, steps)).astype(np.uint8)
+    for row in range(n // 2 if groups else 0):
+        same = rng.random((editembed.WALKS, steps)) < rng.choice([0.55, 0.62, 0.64, 0.7, 0.95])
+        digits[row][same] = heads[row % groups][same]
+    length = rng.integers(int(0.75 * steps), int(0.95 * steps), (n, editembed.WALKS))
+    length[n - short :] = rng.integers(0, steps // 2, (short, editembed.WALKS))
+    digits[np.arange(steps) >= length[:, :, None]] = editembed._ENDED
+    return digits
+
+
+def block_of(digits, at, first):
+    return editembed._Block(np.arange(first, first + len(digits)), digits, at)
+
+
+def joined(x, y, links):
+    """Components of links (places in x, in y) as a set of sets of ids."""
+    root = {i: i for i in [*x.ids.tolist(), *y.ids.tolist()]}
+
+    def top(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in links:
+        for a, b in zip(x.ids[i].tolist(), y.ids[j].tolist(), strict=True):
+            root[top(a)] = top(b)
+    out = defaultdict(set)
+    for i in root:
+        out[top(i)].add(i)
+    return {frozenset(v) for v in out.values() if len(v) > 1}
+
+
+def plain_links(x, y, alike):
+    """By the definition of likeness, walk by walk."""
+    for n in range(len(x.ids)):
+        a, b = x.said[n], y.said
+        counted = (a != editembed._ENDED) | (b != editembed._ENDED)
+        share = ((a == b) & counted).sum(axis=2) / np.maximum(counted.sum(axis=2), 1)
+        j = np.flatnonzero(((counted.sum(axis=2) > 0) & ((share - 1 / 16) * 16 / 15 >= alike)).any(axis=1))
+        j = j[x.ids[n] != y.ids[j]]
+        yield np.full(len(j), n), j
+
+
+@pytest.mark.parametrize("groups, short", [(0, 0), (3, 0), (40, 25)])
+@pytest.mark.parametrize("k, other", [(40, 40), (40, 41), (33, 35)])
+@pytest.mark.parametrize("keys, alike", [((3,), 0.6), ((4,), 0.6), ((3,), 0.45)])
+def test_keys_lose_no_link(monkeypatch, groups, short, k, other, keys, alike):
+    """Components by keys are those of all pairs, whether groups of like texts are large, small or absent."""
+    for name, value in {"KEYS": keys, "KEY_COST": 0.1, "BUCKET_COST": 0, "ROW_COST": 0, "PAIR_COST": 0, "EXPANDED": 1000, "DECIDED": 100}.items():
+        monkeypatch.setattr(editembed, name, value)
+    rng = np.random.default_rng([k, other, groups])
+    at, there = editembed.common(k, other)
+    digits = made_prints(rng, k, 300, groups, short)
+    x = block_of(digits, at, 0)
+    y = x
+    if other != k:  # the same texts' beginnings, as a longer class samples them
+        theirs = made_prints(rng, other, 200, groups, short)
+        theirs[:150][:, :, at >= 0] = np.where(rng.random((150, editembed.WALKS, (at >= 0).sum())) < 0.9, digits[:150][:, :, at[at >= 0]], theirs[:150][:, :, at >= 0])
+        ended = np.minimum.accumulate(theirs != editembed._ENDED, axis=2)
+        y = block_of(np.where(ended, theirs, editembed._ENDED).astype(np.uint8), there, 1000)
+    want = joined(x, y, plain_links(x, y, alike))
+    assert want or not groups
+    found = []
+    for w in range(editembed.WALKS):
+        links = editembed._met_by_keys(x, y, w, alike)
+        while True:
+            try:
+                found.append(next(links))
+            except StopIteration as end:
+                assert end.value
+                break
+    assert joined(x, y, [(i[x.ids[i] != y.ids[j]], j[x.ids[i] != y.ids[j]]) for i, j in found]) == want
+    assert joined(x, y, [(i[x.ids[i] != y.ids[j]], j[x.ids[i] != y.ids[j]]) for w in range(editembed.WALKS) for i, j in editembed._met_all(x, y, w, alike)]) == want
+
+
+@pytest.mark.parametrize("k, other, share", [(44, 44, 0.25), (44, 45, 0.15)])
+def test_few_pairs_of_a_large_block_are_looked_at(monkeypatch, k, other, share):
+    """The bits that are compared are far fewer than those of all pairs."""
+    rng, seen, count = np.random.default_rng(1), [0], np.bitwise_count
+
+    def counted(x, *args):
+        seen[0] += x.size
+        return count(x, *args)
+
+    at, there = editembed.common(k, other)
+    x = block_of(made_prints(rng, k, 8000), at, 0)
+    y = x if other == k else block_of(made_prints(rng, other, 8000), there, 10_000)
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    assert all((x.ids[i] == y.ids[j]).all() for i, j in editembed._near(x, y, editembed.ALIKE))
+    words = -(-len(at) // 64)
+    assert seen[0] < share * words * editembed.WALKS * 8000 * 8000 / (1 + (x is y))
+
+
+def test_hot_keys_end_in_a_look_at_all_pairs(monkeypatch):
+    """Where most rows share many digits without being alike, keys are given up and nothing is lost."""
+    rng = np.random.default_rng(2)
+    digits = made_prints(rng, 40, 1000, groups=20)
+    digits[:, :, :70] = digits[0, :, :70]
+    x = block_of(digits, editembed.common(40, 40)[0], 0)
+    for name in ("KEY_COST", "BUCKET_COST", "ROW_COST"):
+        monkeypatch.setattr(editembed, name, 0)
+    ways = []
+    for w in range(editembed.WALKS):
+        links = editembed._met_by_keys(x, x, w, 0.6)
+        while True:
+            try:
+                next(links)
+            except StopIteration as end:
+                ways.append(end.value)
+                break
+    assert not all(ways)
+    found = [(i[i != j], j[i != j]) for i, j in editembed._near(x, x, 0.6)]
+    assert joined(x, x, found) == joined(x, x, plain_links(x, x, 0.6))
+
+
+def test_blocks_of_like_lengths(spark, monkeypatch):
+    """A class of many lengths is cut by them; components are those of one block."""
+    rng = random.Random(8)
+    texts = {words(rng, 30)[: rng.randrange(128, 150)] for _ in range(60)}
+    texts |= {t[:-3] + "abc" for t in texts}
+    prints = sorted({editembed.text_fingerprint(t) for t in texts})
+    frame = spark.createDataFrame([*enumerate(prints)], "doc_id long, fingerprint string")
+    whole = {tuple(r) for r in editembed.near_duplicates(frame).select("doc_id", "class_id").collect()}
+    monkeypatch.setattr(editembed, "COMPARED", 9)
+    monkeypatch.setattr(editembed, "WORK", 50)
+    assert {tuple(r) for r in editembed.near_duplicates(frame).select("doc_id", "class_id").collect()} == whole
+    assert len({c for _, c in whole}) < len(prints)
+
+
 def test_documents_table(spark, sf_dir):
     made = [tuple(r) for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     assert got(queries.op11_edit_fingerprints(spark, sf_dir)) == expected(made)

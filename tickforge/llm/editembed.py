@@ -17,10 +17,15 @@ digits, less what chance gives, among the common steps at which not both texts h
 walk that gives most.
 
 Near-duplicates: two fingerprints link if their likeness is ``ALIKE`` or more, and classes are the components of
-all such links. Every pair that can link is compared. Fingerprints are cut into blocks of one length class, stored as
-arrays; a task takes a block through the later ones whose numbers of digits before the end allow a link. Digits lie in
-bit planes: those of one plane that differ are a lower bound of the digits that differ and leave few pairs, which
-all planes decide. The work is that of all pairs of texts of like length; what is held is two blocks.
+all such links. No link is lost. Linked fingerprints have at least some number of digits in common by one of the walks;
+places are dealt to so few groups that such digits leave three or four of them to one group. So they agree in all
+places of one of the keys, which are all threes (or fours) of places of a group; only pairs that share a key are looked at.
+Where that isn't less work (small blocks, keys that most rows share), all pairs are: bits that differ are a lower bound of
+the digits that differ and leave few pairs, which all digits decide.
+
+Fingerprints are cut into blocks of one length class and of like lengths, stored as arrays. A task takes pairs of blocks
+whose numbers of digits before the end allow a link; it holds two blocks. The work by keys grows with the blocks'
+rows and a small share of their pairs.
 
 Scale: texts are compressed and range partitioned by doc_id, once; all that a document needs from its successor
 is at hand while a partition is read in order. Where a partition ends, only the last document and
@@ -36,15 +41,17 @@ empty and another one 0. Repeated rows are documents of their own. Extra columns
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -56,8 +63,18 @@ SEED = 42
 PERIOD, CLASSES = 4096, 256
 #: Walks, sampled steps of each on average, and characters that a digit is hashed from.
 WALKS, SAMPLES, GRAM = 2, 160, 4
-#: Fingerprints in a block that is compared with others, of them at once, and tasks at most.
-COMPARED, TILE, TASKS = 2048, 64, 20_000
+#: Fingerprints in a block that is compared with others, of both sides in a tile where all pairs are looked at, and tasks at most.
+COMPARED, TILE, WIDE, TASKS = 1 << 16, 64, 2048, 20_000
+#: Pairs of rows that are worth a task.
+WORK = 1 << 26
+#: Places of a key, keys by which components are begun, and pairs of one key that are looked at together.
+KEYS, CHAINS, EXPANDED = (3, 4), 16, 1 << 16
+#: Pairs that are decided at once, by all digits.
+DECIDED = 1 << 12
+#: What a key, a value it can have, a row and a pair of one key cost; a look at a pair among all is 1.
+KEY_COST, BUCKET_COST, ROW_COST, PAIR_COST = 10_000, 1, 3, 4
+#: Shares of rows, one of which may be left out as short.
+SHORT = (0.0, 0.02, 0.1, 0.25)
 #: Walks that are still worth advancing together, and cells of their table.
 TOGETHER, CELLS = 48, 1 << 23
 #: Documents, and characters but for the last, that are embedded together.
@@ -66,6 +83,7 @@ BLOCK, BLOCK_CHARS = 512, 1 << 21
 BROADCAST = 100_000
 ALIKE = 0.6
 _ENDED = 16
+Links = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -308,46 +326,225 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """Fingerprints of a class as digits at the steps of another one: by plane, walk and word of 64 places, a row a fingerprint."""
+    """Fingerprints of a class as digits at the steps of another one: a row a fingerprint, and bits of the digits by walk and word of 64 places."""
 
     def __init__(self, ids: np.ndarray, digits: np.ndarray, at: np.ndarray):
-        said = np.full((len(ids), WALKS, len(at)), _ENDED, np.uint8)
-        said[:, :, at >= 0] = digits[:, :, at[at >= 0]]
         self.ids, self.places = ids, len(at)
-        self.length = (said != _ENDED).sum(axis=2)
+        self.said = np.full((len(ids), WALKS, len(at)), _ENDED, np.uint8)
+        self.said[:, :, at >= 0] = digits[:, :, at[at >= 0]]
+        self.length = (self.said != _ENDED).sum(axis=2)
         words = -(-len(at) // 64)
-        self.planes = np.zeros((5, WALKS, words, len(ids)), np.uint64)
-        for p in range(5):
-            bits = np.packbits(said >> p & 1, axis=2, bitorder="little")
-            bits = np.pad(bits, ((0, 0), (0, 0), (0, 8 * words - bits.shape[2])))
-            self.planes[p] = np.ascontiguousarray(bits).view(np.uint64).transpose(1, 2, 0)
+        bits = np.packbits(self.said & 1, axis=2, bitorder="little")
+        bits = np.pad(bits, ((0, 0), (0, 0), (0, 8 * words - bits.shape[2])))
+        self.bits = np.ascontiguousarray(np.ascontiguousarray(bits).view(np.uint64).transpose(1, 2, 0))
+
+
+def _decided(x: _Block, y: _Block, w: int, i: np.ndarray, j: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs whose likeness by walk ``w`` is ``alike`` or more."""
+    near = np.zeros(len(i), bool)
+    for lo in range(0, len(i), DECIDED):
+        at = slice(lo, lo + DECIDED)
+        a, b = x.said[i[at], w], y.said[j[at], w]
+        equal = a == b
+        ended = (equal & (a == _ENDED)).sum(axis=1)
+        counted = x.places - ended
+        near[at] = ((equal.sum(axis=1) - ended) / np.maximum(counted, 1) - 1 / 16) * 16 / 15 >= alike
+        near[at] &= counted > 0
+    return i[near], j[near]
+
+
+def _most(x: _Block, w: int, alike: float) -> np.ndarray:
+    """Digits that may differ, by row, if it has the longer text."""
+    return np.floor(x.length[:, w] * (1 - alike) * 15 / 16 + 1e-6).astype(np.uint8 if x.places < 256 else np.uint16)
+
+
+def _met_all(x: _Block, y: _Block, w: int, alike: float, some: list[np.ndarray] | None = None) -> Links:
+    """Links by walk ``w``, found by a look at all pairs, or at those of some rows of both."""
+    rows = some or [np.arange(len(b.ids)) for b in (x, y)]
+    most = [_most(b, w, alike)[r] for b, r in zip((x, y), rows, strict=True)]
+    mine, theirs = x.bits[w][:, rows[0]], y.bits[w][:, rows[1]]
+    for lo in range(0, len(rows[0]), TILE):
+        up = slice(lo, lo + TILE)
+        for start in range(lo // WIDE * WIDE if x is y else 0, len(rows[1]), WIDE):
+            across = slice(start, start + WIDE)
+            differ = np.zeros((len(rows[0][up]), len(rows[1][across])), most[0].dtype)
+            for a, b in zip(mine, theirs, strict=True):
+                differ += np.bitwise_count(a[up, None] ^ b[across])
+            i, j = np.nonzero(differ <= np.maximum(most[0][up, None], most[1][across]))
+            yield _decided(x, y, w, rows[0][i + lo], rows[1][j + start], alike)
+
+
+def _keys(places: int, need: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of ``size`` places, one of which any ``need`` of the places hold: as many groups of places as leave ``size`` of them to one."""
+    groups = (need - 1) // (size - 1)
+    return [c for g in range(groups) for c in combinations(range(g, places, groups), size)]
 
 
-def _near(x: _Block, y: _Block, alike: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in x, in y) of all pairs whose ``likeness`` is ``alike`` or more, by the walks that say so."""
-    kind = np.uint8 if x.places < 256 else np.uint16
+def _number_of_keys(places: int, need: int, size: int) -> int:
+    groups = (need - 1) // (size - 1)
+    return places % groups * math.comb(places // groups + 1, size) + (groups - places % groups) * math.comb(places // groups, size)
+
+
+def _best_keys(x: _Block, y: _Block, w: int, alike: float, pairs: int) -> tuple[int, int, int] | None:
+    """(length, digits, size): of rows one of which is that long, linked ones have so many digits in common, and keys of that size are the least work.
+
+    None if a look at all pairs is. Pairs of two shorter rows need such a look.
+    """
+    lengths = [np.sort(b.length[:, w]) for b in (x, y)]
+    places = min(int(n[-1]) for n in lengths)
+    best, least = None, float(pairs)
+    for q in SHORT:
+        long = max(int(n[int(q * len(n))]) for n in lengths)
+        need = math.ceil(long * (1 / 16 + alike * 15 / 16) - 1e-6)
+        short = math.prod(int(np.searchsorted(n, long)) for n in lengths)
+        for size in KEYS:
+            if need < size:
+                continue
+            work = _number_of_keys(places, need, size) * (KEY_COST + BUCKET_COST * 16**size + ROW_COST * (len(x.ids) + len(y.ids)) + PAIR_COST * pairs / 16**size) + short
+            if work < least:
+                best, least = (long, need, size), work
+    return best
+
+
+class _Side:
+    """Rows of a block by a walk: their lengths, how many digits may differ, bits and digits by place."""
+
+    def __init__(self, block: _Block, w: int, rows: np.ndarray, alike: float):
+        self.rows, self.length = rows, block.length[rows, w]
+        self.most, self.bits = _most(block, w, alike)[rows], block.bits[w][:, rows]
+        self.said = np.ascontiguousarray(block.said[rows, w].T).astype(np.uint16)
+        self.least = int(self.length.min(initial=block.places))
+
+    def keyed(self, at: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows that haven't ended there, keys of 4 bits a place)."""
+        key = self.said[at[0]]
+        for p in at[1:]:
+            key = key << 4 | self.said[p]
+        if at[-1] < self.least:
+            return np.arange(len(key)), key
+        rows = np.flatnonzero(self.length > at[-1])
+        return rows, key[rows]
+
+
+def _met_by_keys(x: _Block, y: _Block, w: int, alike: float) -> Generator[tuple[np.ndarray, np.ndarray], None, bool]:
+    """Links by walk ``w`` that span the same components as all; whether it went to the end, which it does if that is less work than a look at all pairs.
+
+    Linked rows have some number of digits in common, so that they agree in all places of one of the ``_keys``.
+    First each row is compared with one other of its key only: rows of a component that this finds needn't be compared again.
+    """
+    same, pairs = x is y, len(x.ids) * len(y.ids) // (1 + (x is y))
+    best = _best_keys(x, y, w, alike, pairs)
+    if best is None:
+        return False
+    long, need, size = best
+    keys = _keys(min(int(b.length[:, w].max()) for b in (x, y)), need, size)
+    yield from _met_all(x, y, w, alike, [np.flatnonzero(b.length[:, w] < long) for b in (x, y)])
+    if not keys:
+        return True  # no others can be alike
+    chosen = [np.flatnonzero(b.length[:, w] >= need) for b in (x, y)]
+    left = _Side(x, w, chosen[0], alike)
+    right = left if same else _Side(y, w, chosen[1], alike)
+    n = len(left.rows)
+
+    def alike_of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        differ = np.zeros(len(i), left.most.dtype)
+        for p, q in zip(left.bits, right.bits, strict=True):
+            differ += np.bitwise_count(p[i] ^ q[j])
+        at = np.flatnonzero(differ <= np.maximum(left.most[i], right.most[j]))
+        return _decided(x, y, w, left.rows[i[at]], right.rows[j[at]], alike)
+
+    # one other of its key: the next one, or back and forth between the sides
+    label = np.arange(n if same else n + len(right.rows))
+    for at in keys[:: -(-len(keys) // CHAINS)]:
+        rows, key = left.keyed(at)
+        by = np.argsort(key, kind="stable")
+        rows, key = rows[by], key[by]
+        if same:
+            t = np.flatnonzero(key[1:] == key[:-1])
+            i, j = rows[t], rows[t + 1]
+        else:
+            others, other = right.keyed(at)
+            by = np.argsort(other, kind="stable")
+            others, other = others[by], other[by]
+            start, stop = (np.searchsorted(other, key, s) for s in ("left", "right"))
+            place = np.arange(len(key)) - np.searchsorted(key, key)
+            t = np.flatnonzero(stop > start)
+            i = np.concatenate([rows[t], rows[t]])
+            j = np.concatenate([np.minimum(start + place, stop - 1)[t], np.minimum(start + np.maximum(place - 1, 0), stop - 1)[t]])
+            j = others[j]
+        apart = label[i] != label[j + (0 if same else n)]
+        a, b = alike_of(i[apart], j[apart])
+        yield a, b
+        at_left, at_right = np.searchsorted(left.rows, a), np.searchsorted(right.rows, b) + (0 if same else n)
+        label = _labels(label, at_left, at_right)
+
+    # rows of a component side by side, so that the others of a key are one or two stretches
+    by = np.argsort(label[:n], kind="stable")
+    left = _Side(x, w, left.rows[by], alike)
+    mine = theirs = label[:n][by]
+    if not same:
+        by = np.argsort(label[n:], kind="stable")
+        theirs = label[n:][by]
+    right = left if same else _Side(y, w, right.rows[by], alike)
+    low, high = (np.searchsorted(theirs, mine, s) for s in ("left", "right"))
+    known = high - low > same
+    seen = 0
+    for at in keys:
+        rows, key = right.keyed(at)
+        by = np.argsort(key, kind="stable")
+        held = np.bincount(key, minlength=16**size)
+        stop = np.cumsum(held)
+        start = stop - held
+        others = rows[by]
+        if not same:
+            rows, key = left.keyed(at)
+        first, last = start[key], stop[key]
+        if same:  # only rows after the own component
+            first[by] = np.arange(1, len(by) + 1)
+        t = np.flatnonzero(known[rows])
+        if len(t):
+            place = (key[by].astype(np.int64) if same else np.repeat(np.arange(len(held)), held)) << 32 | others
+            base = key[t].astype(np.int64) << 32
+            before, after = np.searchsorted(place, base | low[rows[t]]), np.searchsorted(place, base | high[rows[t]])
+            if same:
+                first[t] = after
+            else:
+                rows = np.concatenate([rows, rows[t]])
+                first, last = np.concatenate([first, after]), np.concatenate([last, last[t]])
+                last[t] = before
+        many = last - first
+        seen += PAIR_COST * int(many.sum())
+        if seen > pairs:
+            return False
+        t = np.flatnonzero(many)
+        rows, first, upto = rows[t], first[t], np.cumsum(many[t])
+        lo = 0
+        while lo < len(t):
+            done = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + EXPANDED, "right")))
+            each = np.diff(upto[lo:hi], prepend=done)
+            j = np.arange(upto[hi - 1] - done) + np.repeat(first[lo:hi] - upto[lo:hi] + done + each, each)
+            yield alike_of(np.repeat(rows[lo:hi], each), others[j])
+            lo = hi
+    return True
+
+
+def _labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Components after more links: each row's label is the least row of its component."""
+    node, root = _roots(label[a], label[b])
+    new = np.arange(len(label))
+    new[node] = root
+    return new[label]
+
+
+def _near(x: _Block, y: _Block, alike: float) -> Links:
+    """Places (in x, in y) of pairs whose ``likeness`` is ``alike`` or more, by the walks that say so; they span the same components as all such pairs."""
     for w in range(WALKS):
-        most = [np.floor(b.length[:, w] * (1 - alike) * 15 / 16 + 1e-6).astype(kind) for b in (x, y)]
-        mine, theirs = x.planes[:, w], y.planes[:, w]
-        for lo in range(0, len(x.ids), TILE):
-            rows = slice(lo, lo + TILE)
-            differ = np.zeros((len(x.ids[rows]), len(y.ids)), kind)
-            for a, b in zip(mine[0], theirs[0], strict=True):
-                differ += np.bitwise_count(a[rows, None] ^ b)
-            i, j = np.nonzero(differ <= np.maximum(most[0][rows, None], most[1]))
-            i += lo
-            unlike, ended = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-            for k in range(mine.shape[1]):
-                both = [(a[k][i], b[k][j]) for a, b in zip(mine, theirs, strict=True)]
-                unlike += np.bitwise_count(np.bitwise_or.reduce([a ^ b for a, b in both]))
-                ended += np.bitwise_count(both[4][0] & both[4][1])
-            counted = x.places - ended
-            near = ((counted - unlike) / np.maximum(counted, 1) - 1 / 16) * 16 / 15 >= alike
-            near &= counted > 0
-            yield i[near], j[near]
-
-
-BLOCKS = "k int, name string, low array<int>, high array<int>"
+        if not (yield from _met_by_keys(x, y, w, alike)):
+            yield from _met_all(x, y, w, alike)
+
+
+BLOCKS = "k int, name string, low array<int>, high array<int>, n int"
 
 
 def _block_in(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -359,7 +556,7 @@ def _block_in(folder: str) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         digits = np.where(said == ord("."), _ENDED, np.where(said >= ord("a"), said - 87, said - 48)).astype(np.uint8)
         store.put_all(folder, name, part["id"].to_numpy(np.int64), digits)
         length = (digits.reshape(len(part), WALKS, -1) != _ENDED).sum(axis=2)
-        return pd.DataFrame({"k": [k], "name": [name], "low": [length.min(axis=0).tolist()], "high": [length.max(axis=0).tolist()]})
+        return pd.DataFrame({"k": [k], "name": [name], "low": [length.min(axis=0).tolist()], "high": [length.max(axis=0).tolist()], "n": [len(part)]})
 
     return run
 
@@ -390,45 +587,59 @@ def likeness_of(x: str, y: str) -> Column:
     return run(x, y)
 
 
+def _dealt(blocks: list[tuple], alike: float) -> list[list[tuple[int, int]]]:
+    """Pairs of blocks that may link, by task: as many as have ``WORK`` pairs of rows, or one."""
+    tasks, work = [], WORK
+    for n, mine in enumerate(blocks):
+        for m, theirs in enumerate(blocks[n:], n):
+            if not _may_link(mine, theirs, common(mine[0], theirs[0])[0], alike):
+                continue
+            if work >= WORK:
+                tasks.append([])
+                work = 0
+            tasks[-1].append((n, m))
+            work += mine[4] * theirs[4]
+    return tasks
+
+
 def near_links(distinct: DataFrame, alike: float = ALIKE) -> DataFrame:
     """Links (a, b) between distinct fingerprints (id, fingerprint) that span the same components as all pairs whose likeness is ``alike``."""
     spark = distinct.sparkSession
     folder = shared_path(spark, "edit-blocks")
-    held = distinct.select("id", "fingerprint", F.substring("fingerprint", 1, 2).alias("_k"))
-    sizes = held.groupBy("_k").agg(F.ceil(F.count("*") / COMPARED).alias("_of"))  # a row a class
-    dealt = held.join(F.broadcast(sizes), "_k").withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_of")))
+    held = distinct.select("id", "fingerprint", F.substring("fingerprint", 1, 2).alias("_k"), F.length(F.translate("fingerprint", ".", "")).alias("_l"))
+    # blocks of like lengths: digits before the end, of which a row a class and number is held
+    shorter = Window.partitionBy("_k").orderBy("_l").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("_k", "_l").agg(F.count("*").alias("_n")).withColumn("_from", F.coalesce(F.sum("_n").over(shorter), F.lit(0)))
+    block = F.floor((F.col("_from") + F.pmod(F.xxhash64("id"), F.col("_n"))) / COMPARED).alias("_b")
+    dealt = held.join(F.broadcast(sizes), ["_k", "_l"]).select("id", "fingerprint", "_k", block)
     made = written(dealt.groupBy("_k", "_b").applyInPandas(_block_in(folder), BLOCKS), "edit-block-names")
-    blocks = [tuple(r) for r in made.orderBy("k", "name").collect()]  # a row a block
-    if not blocks:
+    blocks = [tuple(r) for r in made.orderBy("k", "low", "name").collect()]  # a row a block
+    tasks = _dealt(blocks, alike)
+    if not tasks:
         return spark.createDataFrame([], "a long, b long")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine, of = None, None
         for batch in batches:
-            for n in batch["id"].tolist():
-                k, name = blocks[n][:2]
-                a, b, many = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
-                mine, of = None, -1
-                for m in range(n, len(blocks)):
-                    other, theirs_name = blocks[m][:2]
-                    at, there = common(k, other)
-                    if not _may_link(blocks[n], blocks[m], at, alike):
-                        continue
-                    if of != other:
-                        mine, of = _read_block(folder, k, name, at), other
-                    theirs = mine if m == n else _read_block(folder, other, theirs_name, there)
-                    for i, j in _near(mine, theirs, alike):
-                        if m == n:
-                            i, j = i[i < j], j[i < j]
-                        a.append(mine.ids[i])
-                        b.append(theirs.ids[j])
-                        many += len(i)
-                        if many > 1 << 20:
-                            x, y = _roots(np.concatenate(a), np.concatenate(b))
-                            a, b, many = [x], [y], 0
-                x, y = _roots(np.concatenate(a), np.concatenate(b))
-                yield pd.DataFrame({"a": x, "b": y})
-
-    return spark.range(0, len(blocks), 1, min(len(blocks), TASKS)).mapInPandas(compared, "a long, b long")
+            a, b, many = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+            for n, m in [pair for k in batch["id"].tolist() for pair in tasks[k]]:
+                (k, name), (other, theirs_name) = blocks[n][:2], blocks[m][:2]
+                at, there = common(k, other)
+                if of != (n, other):
+                    mine, of = _read_block(folder, k, name, at), (n, other)
+                theirs = mine if m == n else _read_block(folder, other, theirs_name, there)
+                for i, j in _near(mine, theirs, alike):
+                    apart = mine.ids[i] != theirs.ids[j]
+                    a.append(mine.ids[i[apart]])
+                    b.append(theirs.ids[j[apart]])
+                    many += len(i)
+                    if many > 1 << 20:
+                        x, y = _roots(np.concatenate(a), np.concatenate(b))
+                        a, b, many = [x], [y], 0
+            x, y = _roots(np.concatenate(a), np.concatenate(b))
+            yield pd.DataFrame({"a": x, "b": y})
+
+    return spark.range(0, len(tasks), 1, min(len(tasks), TASKS)).mapInPandas(compared, "a long, b long")
 
 
 def near_duplicates(printed: DataFrame, alike: float = ALIKE) -> DataFrame:
